@@ -24,7 +24,6 @@ MODULUS = (1 << 31) - 1
 #: The two bases; the window in code points; the sketch's places.
 BASES = (911_382_323 % MODULUS, 972_663_749 % MODULUS)
 WINDOW, PLACES = 24, 64
-_EMPTY = "...."
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -56,20 +55,33 @@ class Powers:
 _KEPT = Powers()
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` below 2**62 modulo the prime 2**31 - 1, by folding its high bits down."""
+    x = (x & MODULUS) + (x >> 31)
+    x = (x & MODULUS) + (x >> 31)
+    return x - MODULUS * (x >= MODULUS)
+
+
 class Prefix:
     """Prefix arrays of one text; ``span(i, k)`` identifies its code points i .. i+k-1."""
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.n = codes, len(codes)
         self.p = _KEPT.upto(self.n + 1)
-        self.sums = tuple(np.r_[0, np.cumsum((codes + 1) * up[: self.n] % MODULUS)] for up in self.p.up)
+        self.sums = []
+        for up in self.p.up:
+            s = np.zeros(self.n + 1, np.int64)
+            np.cumsum(_reduced((codes + 1) * up[: self.n]), out=s[1:])
+            self.sums.append(s)
 
-    def spans(self, starts: np.ndarray, k: int) -> np.ndarray:
-        a, b = ((s[starts + k] - s[starts]) % MODULUS * down[starts] % MODULUS for s, down in zip(self.sums, self.p.down))
-        return (a.astype(np.uint64) << np.uint64(31)) | b.astype(np.uint64)
+    def windows(self, k: int) -> np.ndarray:
+        """Hashes of all spans of ``k`` code points, in order."""
+        a, b = (_reduced(_reduced(s[k:] - s[: len(s) - k]) * down[: len(s) - k]) for s, down in zip(self.sums, self.p.down))
+        return a.view(np.uint64) << np.uint64(31) | b.view(np.uint64)
 
     def span(self, i: int, k: int) -> int:
-        return int(self.spans(np.array([i]), k)[0])
+        a, b = (int(s[i + k] - s[i]) * int(down[i]) % MODULUS for s, down in zip(self.sums, self.p.down))
+        return a << 31 | b
 
 
 def common_extension(x: Prefix, i: int, y: Prefix, j: int) -> int:
@@ -88,31 +100,53 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
 
 
-def sketch(x: Prefix) -> str:
-    """16 hex digits of the whole text and its length, then four for each place of the sketch (dots where no window fell)."""
-    whole = (x.span(0, x.n) if x.n else 0) * 0x9E3779B97F4A7C15 + x.n & (1 << 64) - 1
-    places = [_EMPTY] * PLACES
-    if x.n:
-        w = min(WINDOW, x.n)
-        h = x.spans(np.arange(x.n - w + 1), w)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        h = np.sort(h ^ (h >> np.uint64(29)))
-        place = (h >> np.uint64(58)).astype(np.int64)
-        first = np.r_[0, np.flatnonzero(place[1:] != place[:-1]) + 1]
-        for k, v in zip(place[first].tolist(), ((h[first] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).tolist()):
-            places[k] = f"{v:04x}"
-    return f"{whole:016x}" + "".join(places)
+def _mixed(x: Prefix) -> np.ndarray:
+    """Hashes of all windows, spread over 64 bits; a shorter text is one window."""
+    if not x.n:
+        return np.zeros(0, np.uint64)
+    h = x.windows(min(WINDOW, x.n)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mark(whole: int, n: int, mixed: np.ndarray) -> str:
+    """16 hex digits of the whole text's hash and length, then four for each place of the sketch (zero where no window fell)."""
+    places = np.zeros(PLACES, ">u2")
+    if len(mixed):
+        h = np.sort(mixed)
+        at = h >> np.uint64(58)
+        first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+        places[at[first].view(np.int64)] = np.maximum((h[first] >> np.uint64(20)) & np.uint64(0xFFFF), np.uint64(1))
+    return f"{(whole * 0x9E3779B97F4A7C15 + n) & (1 << 64) - 1:016x}{places.tobytes().hex()}"
+
+
+def sketch(x: Prefix, mixed: np.ndarray | None = None) -> str:
+    """The fingerprint of a text."""
+    return _mark(x.span(0, x.n) if x.n else 0, x.n, _mixed(x) if mixed is None else mixed)
+
+
+def joined_sketch(x: Prefix, mx: np.ndarray, kept: int, y: Prefix, my: np.ndarray, m: int) -> str:
+    """The fingerprint of x's first ``kept`` code points followed by y's first ``m``, from what is known of both.
+
+    Window hashes don't depend on places, so only windows across the seam are
+    new; the whole text's hash is that of the first part plus the second's
+    times the base to the power ``kept``.
+    """
+    if min(kept, m) < WINDOW:
+        return sketch(Prefix(np.concatenate((x.codes[:kept], y.codes[:m]))))
+    seam = _mixed(Prefix(np.concatenate((x.codes[kept - WINDOW + 1 : kept], y.codes[: WINDOW - 1]))))
+    one, two = x.span(0, kept), y.span(0, m)
+    up = [int(u[kept]) for u in x.p.upto(kept + 1).up]
+    whole = ((one >> 31) + (two >> 31) * up[0]) % MODULUS << 31 | ((one & MODULUS) + (two & MODULUS) * up[1]) % MODULUS
+    return _mark(whole, kept + m, np.concatenate((mx[: kept - WINDOW + 1], seam, my[: m - WINDOW + 1])))
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1: 1 for equal fingerprints, else twice the shared windows by all windows of both, as the sketches tell."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(s[16:].encode(), "<u4") for s in (a, b))
-    none = int.from_bytes(_EMPTY.encode(), "little")
-    either = int(((x != none) | (y != none)).sum())
-    same = int(((x == y) & (x != none)).sum())
+    x, y = (np.frombuffer(bytes.fromhex(s[16:]), ">u2") for s in (a, b))
+    either = int(((x | y) != 0).sum())
+    same = int(((x == y) & (x != 0)).sum())
     return min(0.999999, 2 * same / (either + same)) if either else 0.0
 
 
@@ -131,8 +165,9 @@ def _along(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for pid, doc_id, guard, text in zip(pdf["pid"], pdf["doc_id"].astype("Int64"), pdf["guard"], pdf["text"]):
-            now = (pid, doc_id, text, Prefix(codes_of(text)))
-            now += (sketch(now[3]),)
+            x = Prefix(codes_of(text))
+            mixed = _mixed(x)
+            now = (pid, doc_id, text, x, mixed, sketch(x, mixed))
             if before is not None and before[0] == pid:
                 out.append(_answer(before, now))
             before = None if guard else now
@@ -142,11 +177,13 @@ def _along(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _answer(this: tuple, following: tuple) -> tuple:
-    _, doc_id, text, x, mark = this
-    changed = edited(text, following[2])
-    y = Prefix(codes_of(changed))
-    other = mark if changed == text else sketch(y)
-    return (doc_id, x.n, hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), mark, other, likeness(mark, other), likeness(mark, following[4]), common_extension(x, 0, y, 0))
+    _, doc_id, text, x, mixed, mark = this
+    half = x.n // 2
+    kept, m = x.n - half, min(half, following[3].n)
+    other = joined_sketch(x, mixed, kept, following[3], following[4], m)
+    same = kept + min(m, common_extension(x, kept, following[3], 0))
+    digest = hashlib.sha256(edited(text, following[2]).encode("utf-8", "replace")).hexdigest()
+    return (doc_id, x.n, digest, mark, other, likeness(mark, other), likeness(mark, following[5]), same)
 
 
 def with_followers(docs: DataFrame, ranges: int | None = None) -> DataFrame:
