@@ -45,3 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def small_or_joined(df: DataFrame, label: str, rows: int = 1_000_000) -> DataFrame:
+    """``df``, narrow rows, written once and marked for broadcast if there are at most ``rows``; else left for an ordinary join."""
+    kept = saved(df, label)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept

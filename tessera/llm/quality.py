@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,8 +126,16 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted good, all columns as they are; fitted on what ``labels`` says of them."""
-    bad = score(docs, fit(docs, labels)).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([statistics(t) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
+                batch = batch.filter(pa.array(shared.value.score(x) >= THRESHOLD))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
