@@ -32,7 +32,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int = 20) ->
     terms = sorted(set(query))
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    t = docs.select(key, tokens(F.col(text)).alias("_t"))
+    # a generator keeps the optimizer from copying the tokenizer into every count
+    t = docs.select(key, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
     times = lambda q: F.size(F.filter("_t", lambda x: x == q))
     t = t.select(key, F.size("_t").alias("dl"), *[times(q).alias(f"tf{i}") for i, q in enumerate(terms)])
     s = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
