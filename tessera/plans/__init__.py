@@ -1 +1,3 @@
-"""See the package README for what lives here."""
+"""Named queries over the driver's tables."""
+
+from tessera.plans import registry, texts  # noqa: F401
