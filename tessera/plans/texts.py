@@ -7,11 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import project as J
+from tessera.operators import rules as U
 from tessera.operators import security as S
+from tessera.plans import risk as V
 from tessera.plans.registry import query
+from tessera.sources import catalog as K
 from tessera.sources import code as P
 from tessera.sources import histories as H
 from tessera.sources import manifests as M
+from tessera.sources import schemas as T
 from tessera.sources.tables import load
 
 
@@ -185,3 +190,127 @@ def infrastructure_issues(spark, sf):
 def line_findings(spark, sf):
     """Every line rule over every document."""
     return S.line_findings(load(spark, sf, "documents").select(F.concat("doc_id", F.lit(".py")).alias("path"), "text"))
+
+
+def _models(spark, sf):
+    """Every customer a Python model, every supplier of the same key a TypeScript one."""
+    py = F.concat(F.lit("from pydantic import BaseModel\nclass M"), "c_custkey", F.lit("(BaseModel):\n    id: int\n    tags: list[str] = []\n    note: "), F.when(F.col("c_nationkey") % 2 == 0, "Optional[str]").otherwise("str"), F.lit("\n    only: bool\n"))
+    ts = F.concat(F.lit("export interface M"), "s_suppkey", F.lit(" {\n  id: "), F.when(F.col("s_nationkey") % 3 == 0, "string").otherwise("number"), F.lit(";\n  tags: Array<string>,\n  note?: string | null;\n  more: Record<string, number>\n}\n"))
+    c = load(spark, sf, "customer").select(F.lit("a").alias("project"), F.lit("m.py").alias("path"), py.alias("text"))
+    return c.unionByName(load(spark, sf, "supplier").select(F.lit("b").alias("project"), F.lit("m.ts").alias("path"), ts.alias("text")))
+
+
+@query("""
+WITH b AS (SELECT s_suppkey AS k, s_nationkey AS s, c_nationkey AS c FROM supplier JOIN customer ON s_suppkey = c_custkey)
+SELECT 'M' || k AS model, 'b' AS project, 'a' AS first_project, field, issue, severity
+FROM b, (VALUES ('only', 'missing_in_consumer', 'info', 0), ('more', 'missing_in_producer', 'error', 0), ('id', 'type_mismatch', 'error', 1), ('note', 'type_mismatch', 'error', 2)) r(field, issue, severity, w)
+WHERE w = 0 OR (w = 1 AND s % 3 = 0) OR (w = 2 AND c % 2 = 1)
+""")
+def contract_drift(spark, sf):
+    found = T.models(_models(spark, sf))
+    return T.drift(T.inherited(found.withColumn("bases", F.array().cast("array<string>")), depth=1))
+
+
+@query("""
+WITH s AS (SELECT user_id AS path, event_id AS id, event_id * 10 AS a, event_id * 10 + CAST(value AS BIGINT) % 9 AS b FROM events),
+r AS (SELECT user_id AS path, event_id * 10 - 35 AS a, event_id * 10 - 30 AS b FROM events WHERE event_type = 'click')
+SELECT DISTINCT s.path, s.id FROM s JOIN r ON s.path = r.path AND s.a <= r.b AND r.a <= s.b
+""")
+def changed_symbols(spark, sf):
+    e = load(spark, sf, "events").withColumn("path", F.col("user_id"))
+    s = e.select("path", F.col("event_id").alias("id"), (F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + F.col("value").cast("long") % 9).alias("end"))
+    r = e.where("event_type = 'click'").select("path", (F.col("event_id") * 10 - 35).alias("start"), (F.col("event_id") * 10 - 30).alias("end"))
+    return J.changed_symbols(s, r)
+
+
+def _tree(spark, sf):
+    """Every part a source file; parts of even size have a test."""
+    p = load(spark, sf, "part")
+    src = p.select(F.col("p_brand").alias("project"), F.concat(F.lit("src/a"), "p_size", F.lit("/f"), "p_partkey", F.lit(".py")).alias("path"))
+    tests = p.where("p_size % 2 = 0").select(F.col("p_brand").alias("project"), F.concat(F.lit("tests/test_f"), "p_partkey", F.lit(".py")).alias("path"))
+    return src.unionByName(tests)
+
+
+@query("SELECT p_brand AS project, 'src/a' || p_size || '/f' || p_partkey || '.py' AS source, 'tests/test_f' || p_partkey || '.py' AS test FROM part WHERE p_size % 2 = 0")
+def test_mapping(spark, sf):
+    return J.tests_of(_tree(spark, sf))
+
+
+@query("""
+WITH f AS (SELECT 'src/a' || p_size || '/f' || p_partkey || '.py' AS path, p_size FROM part UNION ALL SELECT 'tests/test_f' || p_partkey || '.py', NULL FROM part WHERE p_size % 2 = 0)
+SELECT path, 'no_seven' AS rule FROM f WHERE p_size = 7 UNION ALL SELECT path, 'tests' FROM f WHERE p_size IS NULL
+""")
+def denied_files(spark, sf):
+    return U.denied_files(_tree(spark, sf), {"no_seven": "src/a7/**", "tests": "**/test_*.py", "none": "src/*/x/**"})
+
+
+@query("""
+WITH l AS (SELECT CASE s.s_nationkey % 3 WHEN 0 THEN 'ui' WHEN 1 THEN 'core' ELSE 'db' END AS f, CASE l_partkey % 3 WHEN 0 THEN 'ui' WHEN 1 THEN 'core' ELSE 'db' END AS t, l_suppkey, l_partkey, l_linenumber
+  FROM lineitem JOIN supplier s ON s_suppkey = l_suppkey)
+SELECT f || '/s' || l_suppkey || '.py' AS from_file, t || '/p' || l_partkey || '.py' AS to_file, l_linenumber AS line, f AS from_layer, t AS to_layer,
+  CASE WHEN f = 'db' THEN 'cannot_import' ELSE 'not_in_can_import' END AS kind FROM l WHERE (f = 'db' AND t = 'ui') OR (f = 'ui' AND t = 'db')
+""")
+def layer_breaches(spark, sf):
+    name = lambda c: F.when(c % 3 == 0, "ui").when(c % 3 == 1, "core").otherwise("db")
+    l = load(spark, sf, "lineitem").join(load(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"))  # noqa: E741
+    e = l.select(F.concat(name(F.col("s_nationkey")), F.lit("/s"), "l_suppkey", F.lit(".py")).alias("from_file"), F.concat(name(F.col("l_partkey")), F.lit("/p"), "l_partkey", F.lit(".py")).alias("to_file"), F.col("l_linenumber").alias("line"))
+    return U.layer_breaches(e, {"ui": ["ui/**"], "core": ["core/*"], "db": ["db/**"]}, {"ui": ["core"]}, {"db": ["ui"]})
+
+
+@query("""
+SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'added' WHEN 2 THEN 'signature_change' ELSE 'body_change' END AS change,
+  CASE WHEN n = 0 THEN 'safe' WHEN o_orderkey % 5 = 3 OR n <= 3 THEN 'low' WHEN n <= 10 THEN 'moderate' ELSE 'high' END AS risk
+FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1) WHERE o_orderkey % 5 < 4
+""")
+def signature_changes(spark, sf):
+    """Two versions of every order's signature; callers are its lines."""
+    k = F.col("o_orderkey") % 5
+    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderkey", F.lit("str").alias("returns"))
+    old = o.where(k != 1).withColumn("params", F.array(F.lit("a"))).withColumn("digest", F.lit("x"))
+    new = o.where(k != 0).withColumn("params", F.when(k == 2, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))).withColumn("digest", F.when(k == 4, "x").otherwise("y"))
+    calls = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
+    return J.change_kind(old, new, "id").join(calls, "id", "left").select("id", "change", J.change_risk(F.coalesce("n", F.lit(0)), F.col("change")).alias("risk"))
+
+
+@query("""
+WITH c AS (SELECT l_suppkey AS id, count(*) AS total, count(*) FILTER (l_returnflag = 'R') AS covered, count(DISTINCT l_partkey) AS refs FROM lineitem GROUP BY 1)
+SELECT id, total, covered, refs, round((1 - covered / total) * (1 + refs), 6) AS gap FROM c
+""")
+def coverage_gaps(spark, sf):
+    g = load(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id"))
+    return J.coverage_gaps(g.agg(F.count("*").alias("total"), F.count_if(F.col("l_returnflag") == "R").alias("covered"), F.countDistinct("l_partkey").alias("refs")))
+
+
+@query("""
+SELECT CASE WHEN path LIKE 'tests/%' THEN 'tests' ELSE 'other' END AS category, regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS files
+FROM (SELECT 'src/a' || p_size || '/f' || p_partkey || '.py' AS path FROM part UNION ALL SELECT 'tests/test_f' || p_partkey || '.py' FROM part WHERE p_size % 2 = 0) GROUP BY 1, 2
+""")
+def code_map(spark, sf):
+    return K.code_map(_tree(spark, sf))
+
+
+@query("""
+WITH n AS (SELECT c_custkey AS id, count(o_orderkey) AS n, c_nationkey % 7 AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+b AS (SELECT id, n, k, CASE WHEN n = 0 THEN 0 WHEN n <= 3 THEN 3 WHEN n <= 10 THEN 6 ELSE 8 END + CASE WHEN n > 20 THEN 2 WHEN n > 10 THEN 1 ELSE 0 END AS b FROM n),
+s AS (SELECT *, CASE WHEN k = 0 AND b > 3 THEN greatest(2, least(10, b) * 0.4) ELSE least(10, b) END AS breaking, least(0.5 * n, 5) + least(0.8 * k, 3) + least(k, 2) AS depth FROM b),
+g AS (SELECT *, (CASE WHEN n > 10 THEN 1 ELSE 0 END) + (CASE WHEN breaking >= 7 THEN 1 ELSE 0 END) + (CASE WHEN depth >= 7 THEN 1 ELSE 0 END) + (CASE WHEN k > 3 THEN 1 ELSE 0 END) + (CASE WHEN k > 4 THEN 1 ELSE 0 END) + (CASE WHEN k > 5 THEN 1 ELSE 0 END) AS q FROM s)
+SELECT id, round(breaking, 6) AS breaking, round(depth, 6) AS depth, CASE q WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 5 WHEN 3 THEN 7 WHEN 4 THEN 8.5 ELSE least(9 + 0.5 * (q - 5), 10) END::DOUBLE AS rollback FROM g
+""")
+def task_risk(spark, sf):
+    """Breaking, depth and rollback scores of every customer; its orders are call sites."""
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 7).alias("k"))
+    o = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    d = c.join(o, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    d = d.withColumn("breaking", V.breaking(J.change_risk(F.col("n"), F.lit("signature_change")), F.col("n"), F.col("k") == 0)).withColumn("depth", V.depth(F.col("n"), F.col("k"), F.col("k")))
+    back = V.rollback(F.col("n") > 10, V.level(F.col("breaking")) == "high", V.level(F.col("depth")) == "high", F.col("k") > 3, F.col("k") > 4, F.col("k") > 5)
+    return d.select("id", F.round("breaking", 6).alias("breaking"), F.round("depth", 6).alias("depth"), back.alias("rollback"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN regexp_matches(text, '(?is)MIT License') THEN 'MIT' WHEN regexp_matches(text, '(?is)Apache License,?\s*Version\s*2\.0') THEN 'Apache-2.0' END AS licence
+FROM documents WHERE regexp_matches(text, '(?is)MIT License|Apache License,?\s*Version\s*2\.0')
+""")
+def licence_texts(spark, sf):
+    """The first of the listed licences that a whole text names, where it is one of the first two."""
+    d = load(spark, sf, "documents").select("doc_id", J.licence_of(F.col("text")).alias("licence"))
+    return d.where("licence in ('MIT', 'Apache-2.0')")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The log format's commit mark, its fields, a numstat line, a diff's file and hunk headers.
+SQLITE = b"SQLite format 3\0"
 COMMIT, HEADER = "COMMIT:", r"^([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
 NUMSTAT, ADDED_FILE, HUNK = r"^(\d+|-)\t(\d+|-)\t(.+)$", r"^\+\+\+ (b/(.*)|/dev/null.*)$", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
@@ -89,6 +90,18 @@ def coverage_json(texts: DataFrame, text: str, *keys: str) -> DataFrame:
     return f.select(*keys, "path", F.explode("f.executed_lines").alias("line")).distinct()
 
 
+def _line_bits(data: bytes) -> list[tuple[str, bytes]]:
+    """(path, bitmap) rows of a database's bytes; none if its tables are others or broken."""
+    con = sqlite3.connect(":memory:")
+    try:
+        con.deserialize(data)
+        return con.execute("SELECT f.path, b.numbits FROM line_bits b JOIN file f ON f.id = b.file_id").fetchall()
+    except sqlite3.Error:
+        return []
+    finally:
+        con.close()
+
+
 def coverage_sqlite(files: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
     """(key, path, line) of coverage databases read as bytes (``binaryFile``): every context's bitmaps united. Other bytes yield no rows."""
 
@@ -97,14 +110,7 @@ def coverage_sqlite(files: DataFrame, content: str = "content", key: str = "path
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                con = sqlite3.connect(":memory:")
-                try:
-                    con.deserialize(row[content] or b"")
-                    rows = con.execute("SELECT f.path, b.numbits FROM line_bits b JOIN file f ON f.id = b.file_id").fetchall()
-                except sqlite3.Error:
-                    rows = []
-                finally:
-                    con.close()
+                rows = _line_bits(row[content]) if (row[content] or b"").startswith(SQLITE) else []
                 yield pa.RecordBatch.from_pylist([{"report": row[key], "path": p, "numbits": n} for p, n in rows], schema)
 
     bits = files.select(key, content).mapInArrow(read, "report string, path string, numbits binary")
