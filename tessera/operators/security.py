@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
 from tessera.operators.quality import numbered_lines
-from tessera.sources.code import LANGUAGES, dotted
+from tessera.sources.arrow import batches
+from tessera.sources.code import dotted
 
 # ------------------------------------------------------------------ line rules
 
@@ -79,6 +80,7 @@ def line_flows(files: DataFrame, path: str = "path", text: str = "text") -> Data
 FLOW = "path string, row string, function string, line int, origin string, param int, category string, severity string, target string, arg int"
 FLOW_ARROW = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (c.split() for c in FLOW.split(", "))])
 HOPS = 3
+SOURCE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(R.SOURCES["python"], key=len, reverse=True))) + ")")
 
 
 def _matches(call: str, pattern: str) -> bool:
@@ -97,8 +99,7 @@ class _Flows:
         self.held = {p: f"param:{p}" for p in self.params}
 
     def source(self, node: ast.AST) -> str | None:
-        text = ast.unparse(node)
-        found = [s for s in R.SOURCES["python"] if re.search(r"(?<![\w])" + re.escape(s), text)]
+        found = SOURCE.findall(ast.unparse(node))
         return max(found, key=len) if found else None
 
     def cleans(self, node: ast.AST, category: str | None) -> bool:
@@ -213,13 +214,13 @@ def flows_of(path: str, text: str) -> list[dict]:
 def flows(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Tagged rows of every Python file among ``files``: ``row`` is flow, sanitized or argument."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pylist(flows_of(p, t), FLOW_ARROW)
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for part in parts:
+            for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                yield from flows_of(p, t)
 
     py = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where((extension(F.col("path")) == "py") & F.col("text").isNotNull())
-    return py.mapInArrow(read, FLOW)
+    return py.mapInArrow(lambda parts: batches(rows(parts), FLOW_ARROW), FLOW)
 
 
 def taint(rows: DataFrame, hops: int = HOPS) -> DataFrame:
@@ -358,10 +359,10 @@ def infrastructure_issues(path: str, text: str) -> set[tuple[int, str, str]]:
 def infrastructure(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, line, rule, severity) of all container and infrastructure files; null texts have none."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for part in parts:
+            for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 found = sorted(infrastructure_issues(p, t)) if p is not None and t is not None else []
-                yield pa.RecordBatch.from_pylist([{"path": p, "line": a, "rule": r, "severity": s} for a, r, s in found], ISSUES_ARROW)
+                yield from ({"path": p, "line": a, "rule": r, "severity": s} for a, r, s in found)
 
-    return files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(read, ISSUES)
+    return files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(lambda parts: batches(rows(parts), ISSUES_ARROW), ISSUES)

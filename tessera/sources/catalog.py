@@ -17,7 +17,10 @@ CATEGORIES = [
 
 
 def read_tree(spark: SparkSession, root: str, extensions: list[str], largest: int = LARGEST) -> DataFrame:
-    """(path, text, digest, lines, modified) of the files below ``root``: relative paths, sizes pruned by the reader, bytes that are no UTF-8 left out."""
+    """(path, text, digest, lines, modified) of the files below ``root``: relative paths, sizes pruned by the reader.
+
+    Bytes that are no UTF-8 are left out, and so are empty files, which the reader never lists.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= largest)
     at = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     base = F.regexp_replace(F.lit(root), r"^[a-z]+:/*", "/")

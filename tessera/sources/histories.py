@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.arrow import batches
+
 #: The log format's commit mark, its fields, a numstat line, a diff's file and hunk headers.
 SQLITE = b"SQLite format 3\0"
 COMMIT, HEADER = "COMMIT:", r"^([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
@@ -107,11 +109,11 @@ def coverage_sqlite(files: DataFrame, content: str = "content", key: str = "path
 
     schema = pa.schema([("report", pa.string()), ("path", pa.string()), ("numbits", pa.binary())])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = _line_bits(row[content]) if (row[content] or b"").startswith(SQLITE) else []
-                yield pa.RecordBatch.from_pylist([{"report": row[key], "path": p, "numbits": n} for p, n in rows], schema)
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for part in parts:
+            for row in part.to_pylist():
+                found = _line_bits(row[content]) if (row[content] or b"").startswith(SQLITE) else []
+                yield from ({"report": row[key], "path": p, "numbits": n} for p, n in found)
 
-    bits = files.select(key, content).mapInArrow(read, "report string, path string, numbits binary")
+    bits = files.select(key, content).mapInArrow(lambda parts: batches(rows(parts), schema), "report string, path string, numbits binary")
     return numbits(bits, "numbits", "report", "path")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.arrow import batches
+
 SCHEMA = "path string, kind string, ecosystem string, name string, version string, scope string"
 ARROW = pa.schema([(c.split()[0], pa.string()) for c in SCHEMA.split(", ")])
 
@@ -225,14 +227,13 @@ def parse(path: str, text: str) -> list[tuple]:
 def packages(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, kind, ecosystem, name, version, scope) of every manifest and lock file among ``files``; ``kind`` is declared or pinned."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for part in parts:
+            for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if p is not None and t is not None:
-                    rows = [dict(zip(ARROW.names, (p, *r))) for r in parse(p, t)]
-                    yield pa.RecordBatch.from_pylist(rows, ARROW)
+                    yield from (dict(zip(ARROW.names, (p, *r))) for r in parse(p, t))
 
-    return files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(read, SCHEMA)
+    return files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(lambda parts: batches(rows(parts), ARROW), SCHEMA)
 
 
 def inventory(found: DataFrame, *keys: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.arrow import batches
 from tessera.sources.code import blank, block_ends
 
 SCHEMA = "project string, path string, model string, model_kind string, bases array<string>, field string, type string, optional boolean"
@@ -131,17 +132,15 @@ def _typescript_models(text: str) -> Iterator[tuple]:
 def models(files: DataFrame, project: str = "project", path: str = "path", text: str = "text") -> DataFrame:
     """(project, path, model, model_kind, bases, field, type, optional) of every declared type; one without fields has one row with a null field."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for pr, pt, tx in zip(*(c.to_pylist() for c in batch.columns)):
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for part in parts:
+            for pr, pt, tx in zip(*(c.to_pylist() for c in part.columns)):
                 ext = (pt or "").rpartition(".")[2]
                 found = _python_models(tx or "") if ext == "py" else _typescript_models(tx or "") if ext in ("ts", "tsx") else ()
                 for model, kind, bases, fields in found:
-                    rows += [dict(zip(ARROW.names, (pr, pt, model, kind, bases, *f))) for f in fields or [(None, None, None)]]
-            yield pa.RecordBatch.from_pylist(rows, ARROW)
+                    yield from (dict(zip(ARROW.names, (pr, pt, model, kind, bases, *f))) for f in fields or [(None, None, None)])
 
-    return files.select(F.col(project).alias("project"), F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(read, SCHEMA)
+    return files.select(F.col(project).alias("project"), F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(lambda parts: batches(rows(parts), ARROW), SCHEMA)
 
 
 def inherited(found: DataFrame, depth: int = 3) -> DataFrame:

@@ -242,7 +242,7 @@ def test_tree_and_index(spark, tmp_path):
     for name, data in {"a.py": b"x\ny", "d/b.py": b"z\xff", "node_modules/c.py": b"1", "e.md": b"e", "empty.py": b""}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
-    assert rows(catalog.read_tree(spark, str(root), ["py"]), "path", "text", "lines") == [("a.py", "x\ny", 2), ("empty.py", "", 0)]
+    assert rows(catalog.read_tree(spark, str(root), ["py"]), "path", "text", "lines") == [("a.py", "x\ny", 2)]
     index = tmp_path / "index.json"
     index.write_text(json.dumps({"symbols": {"s": {"name": "n", "type": "function", "path": "a.py", "start_line": 1}}, "dependencies": {"d": {"source": "s", "target": "t", "type": "calls"}}}, indent=1))
     subprocess.run(["gzip", "-k", str(index)], check=True)
