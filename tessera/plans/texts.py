@@ -16,6 +16,7 @@ from tessera.sources import catalog as K
 from tessera.sources import code as P
 from tessera.sources import histories as H
 from tessera.sources import manifests as M
+from tessera.sources import metrics as N
 from tessera.sources import schemas as T
 from tessera.sources.tables import load
 
@@ -314,3 +315,19 @@ def licence_texts(spark, sf):
     """The first of the listed licences that a whole text names, where it is one of the first two."""
     d = load(spark, sf, "documents").select("doc_id", J.licence_of(F.col("text")).alias("licence"))
     return d.where("licence in ('MIT', 'Apache-2.0')")
+
+
+@query("""
+SELECT 'p' || p_partkey || '.py' AS path, 'f' AS name, p_size + 3 AS lines, p_size % 6 AS depth, p_partkey % 9 AS params, p_size % 6 AS branches,
+  5 * greatest(p_size % 6 - 3, 0) + 2 * greatest(p_partkey % 9 - 5, 0) AS score FROM part
+""")
+def function_complexity(spark, sf):
+    """Every part a function of as many lines and levels as its size tells."""
+    depth = F.col("p_size") % 6
+    nest = F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(F.repeat(F.lit(" "), i), F.lit("if x:")))
+    nest = F.when(depth > 0, F.concat(F.array_join(nest, "\n"), F.lit("\n"))).otherwise("")
+    params = F.array_join(F.slice(F.array(*[F.lit(f"a{i}") for i in range(9)]), F.lit(1), (F.col("p_partkey") % 9).cast("int")), ", ")
+    calls = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") - depth + 1), lambda i: F.concat(F.repeat(F.lit(" "), depth + 1), F.lit("g()"))), "\n")
+    text = F.concat(F.lit("def f("), params, F.lit("):\n"), nest, calls, F.lit("\n"), F.repeat(F.lit(" "), depth + 1), F.lit("return 1\n"))
+    files = load(spark, sf, "part").select(F.lit("p").alias("project"), F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"))
+    return N.scored(N.function_metrics(files)).select("path", "name", "lines", "depth", "params", "branches", "score")

@@ -271,3 +271,15 @@ def test_stateful_streams(spark, tmp_path):
     assert rows(drain(state.recently_used(stream(), "u", "i", "t", "long"), "update", "mru"), "u", "items") == [(1, ["a", "b"]), (2, ["d"])]
     out = drain(state.sliding_limit(stream(), "u", "t", "long", limit=2, seconds=60), "append", "limited")
     assert rows(out.groupBy("u").agg(F.sum(F.col("refused").cast("int")).alias("n")), "u", "n") == [(1, 1), (2, 0)]
+
+
+def test_function_metrics(spark):
+    from tessera.sources import metrics
+
+    py = "def f(a, *b, k=1, **c):\n    if a:\n        for x in b:\n            return 1\n    elif k:\n        pass\n    return 2\n"
+    go = "package m\nfunc g(a int) int {\n\tif a > 1 {\n\t\treturn 1 // if\n\t}\n\treturn 2\n}\n"
+    f = spark.createDataFrame([("p", "a.py", py), ("p", "b.go", go), ("p", "c.py", "def"), ("p", "d.py", None), ("p", "e.tsx", "")], "project string, path string, text string")
+    out = metrics.scored(metrics.function_metrics(f))
+    assert rows(out, "name", "lines", "depth", "params", "branches", "returns", "score") == [("f", 7, 2, 4, 4, 2, 0), ("g", 6, 2, 1, 1, 2, 0)]
+    long = metrics.scored(spark.createDataFrame([("p", "a.vue", "f", 1, 110, 4, 6, 12, 0), ("p", "a.py", "f", 1, 110, 0, 0, 0, 0)], metrics.SCHEMA))
+    assert rows(long, "score", "issues") == [(10, ["too long", "too deep", "too many parameters", "too many branches"]), (3, ["too long"])]
