@@ -21,7 +21,7 @@ def numbered_lines(files: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def chunks(files: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
-    """(key, start, hash): MD5 of every run of ``size`` trimmed non-blank lines; ``start`` is the first one's line.
+    """(key, start, end, hash): MD5 of every run of ``size`` trimmed non-blank lines, and the lines of the first and last.
 
     Cut inside each row's line array, so no text is shuffled.
     """
@@ -29,7 +29,7 @@ def chunks(files: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
     f = files.select(key, real.alias("l")).where(F.size("l") >= size)
     starts = f.select(key, "l", F.explode(F.sequence(F.lit(1), F.size("l") - size + 1)).alias("i"))
     run = F.array_join(F.transform(F.slice("l", F.col("i"), size), lambda x: x["s"]), "\n")
-    return starts.select(key, F.element_at("l", F.col("i")).getField("line").alias("start"), F.md5(run.cast("binary")).alias("hash"))
+    return starts.select(key, F.element_at("l", F.col("i")).getField("line").alias("start"), F.element_at("l", F.col("i") + size - 1).getField("line").alias("end"), F.md5(run.cast("binary")).alias("hash"))
 
 
 def duplicate_blocks(chunk: DataFrame, key: str) -> DataFrame:
@@ -38,6 +38,19 @@ def duplicate_blocks(chunk: DataFrame, key: str) -> DataFrame:
     return g.where("copies > 1").select("hash", "copies", "files", F.col(f"f.{key}").alias("first_file"), F.col("f.start").alias("first_line"))
 
 
+def duplicated_regions(chunk: DataFrame, key: str, slack: int = 2) -> DataFrame:
+    """(key, start, end): maximal stretches of a file made of runs found more than once, joined where at most ``slack`` lines part them.
+
+    Only repeated hashes are joined back, and a window holds one file's rows.
+    """
+    repeated = chunk.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    order = W.partitionBy(key).orderBy("start", "end")
+    d = chunk.join(repeated, "hash", "left_semi").select(key, "start", "end").distinct()
+    d = d.withColumn("reach", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    d = d.withColumn("region", F.sum(F.when(F.col("start") - F.col("reach") <= slack, 0).otherwise(1)).over(order))
+    return d.groupBy(key, "region").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("region")
+
+
 def duplicate_rate(chunk: DataFrame, size: int = 6) -> DataFrame:
     g = chunk.groupBy("hash").agg(F.count("*").alias("n"))
     return g.agg(F.sum("n").alias("chunks"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("duplicated")).withColumn("rate", F.round(F.col("duplicated") / F.col("chunks"), 6))

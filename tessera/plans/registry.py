@@ -426,6 +426,17 @@ def duplicate_rate(spark, sf):
     return Q.duplicate_rate(_chunks(spark, sf), 3)
 
 
+REGIONS = CHUNKS.replace("line AS start,", "line AS start, max(line) OVER o AS last,").replace("SELECT doc_id, start, md5(run)", "SELECT doc_id, start, last, md5(run)")
+
+
+@query(f"""WITH {REGIONS}, g AS (SELECT hash FROM chunk GROUP BY 1 HAVING count(*) > 1), d AS (SELECT DISTINCT doc_id, start, last FROM chunk SEMI JOIN g USING (hash)),
+e AS (SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY start, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d),
+f AS (SELECT *, sum(CASE WHEN start - reach <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, last) AS region FROM e)
+SELECT doc_id, min(start)::INT AS start, max(last)::INT AS "end" FROM f GROUP BY doc_id, region""")
+def duplicated_regions(spark, sf):
+    return Q.duplicated_regions(_chunks(spark, sf), "doc_id")
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[a-z]+", "token": r"(token|key|secret|password) *= *\"", "ipv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "license": r"(?i)(license|copyright|all rights reserved)"}
 
 
