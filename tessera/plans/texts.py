@@ -213,13 +213,13 @@ def contract_drift(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT user_id AS path, event_id AS id, event_id * 10 AS a, event_id * 10 + CAST(value AS BIGINT) % 9 AS b FROM events),
+WITH s AS (SELECT user_id AS path, event_id AS id, event_id * 10 AS a, event_id * 10 + CAST(floor(value) AS BIGINT) % 9 AS b FROM events),
 r AS (SELECT user_id AS path, event_id * 10 - 35 AS a, event_id * 10 - 30 AS b FROM events WHERE event_type = 'click')
 SELECT DISTINCT s.path, s.id FROM s JOIN r ON s.path = r.path AND s.a <= r.b AND r.a <= s.b
 """)
 def changed_symbols(spark, sf):
     e = load(spark, sf, "events").withColumn("path", F.col("user_id"))
-    s = e.select("path", F.col("event_id").alias("id"), (F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + F.col("value").cast("long") % 9).alias("end"))
+    s = e.select("path", F.col("event_id").alias("id"), (F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + F.floor("value") % 9).alias("end"))
     r = e.where("event_type = 'click'").select("path", (F.col("event_id") * 10 - 35).alias("start"), (F.col("event_id") * 10 - 30).alias("end"))
     return J.changed_symbols(s, r)
 
