@@ -16,9 +16,32 @@ LICENCES = [
     (r"Mozilla Public License.*2\.0", "MPL-2.0"), ("The Unlicense", "Unlicense"), ("Boost Software License", "BSL-1.0"), ("Eclipse Public License", "EPL"),
     ("Permission is hereby granted.*without restriction", "MIT"),
 ]
-FRAMEWORKS = [
-    ("django", "web"), ("flask", "web"), ("fastapi", "web"), ("tornado", "web"), ("aiohttp", "web"), ("express", "web"), ("koa", "web"), ("fastify", "web"), ("nestjs/core", "web"), ("gin-gonic/gin", "web"),
-    ("react", "ui"), ("vue", "ui"), ("svelte", "ui"), ("angular/core", "ui"), ("next", "fullstack"), ("nuxt", "fullstack"), ("sqlalchemy", "data"), ("pytest", "test"), ("jest", "test"), ("vitest", "test"),
+FRAMEWORKS = [  # name, kind, packages, marker files
+    ("fastapi", "api", ["fastapi"], []),
+    ("django", "api", ["django"], ["manage.py"]),
+    ("flask", "api", ["flask"], []),
+    ("nextjs", "ssr", ["next"], ["next.config.js", "next.config.ts", "next.config.mjs"]),
+    ("nuxt", "ssr", ["nuxt"], ["nuxt.config.ts", "nuxt.config.js"]),
+    ("react", "spa", ["react"], []),
+    ("vue", "spa", ["vue"], []),
+    ("express", "api", ["express"], []),
+    ("nestjs", "api", ["@nestjs/core"], []),
+    ("gin", "api", ["github.com/gin-gonic/gin"], []),
+    ("echo", "api", ["github.com/labstack/echo"], []),
+    ("fiber", "api", ["github.com/gofiber/fiber"], []),
+    ("chi", "api", ["github.com/go-chi/chi"], []),
+    ("actix", "api", ["actix-web"], []),
+    ("axum", "api", ["axum"], []),
+    ("flutter", "mobile", [], ["pubspec.yaml"]),
+    ("react_native", "mobile", ["react-native"], []),
+    ("tauri", "desktop", ["tauri", "@tauri-apps/api"], ["tauri.conf.json"]),
+    ("electron", "desktop", ["electron"], []),
+    ("mantine", "ui", ["@mantine/core"], []),
+    ("tailwindcss", "ui", ["tailwindcss"], ["tailwind.config.js", "tailwind.config.ts"]),
+    ("tanstack_query", "data", ["@tanstack/react-query"], []),
+    ("openapi_fetch", "data", ["openapi-fetch"], []),
+    ("react_router", "routing", ["react-router-dom"], []),
+    ("lucide", "ui", ["lucide-react"], []),
 ]
 
 
@@ -30,12 +53,21 @@ def licence_of(text: Column) -> Column:
     return out
 
 
-def frameworks(packages: DataFrame, *keys: str) -> DataFrame:
-    """(keys, framework, kind, version): declared packages that are frameworks, names compared without case, dashes and scope marks."""
-    flat = lambda c: F.regexp_replace(F.lower(c), "[-_@]|^github\\.com/", "")
-    known = F.create_map(*[F.lit(x) for name, kind in FRAMEWORKS for x in (name.replace("-", ""), kind)])
-    found = packages.withColumn("framework", flat(F.regexp_replace("name", r"\[.*\]", ""))).withColumn("kind", F.try_element_at(known, F.col("framework"))).where("kind is not null")
-    return found.groupBy(*keys, "framework", "kind").agg(F.max("version").alias("version"))
+def frameworks(packages: DataFrame, files: DataFrame, *keys: str) -> DataFrame:
+    """(keys, framework, kind, version): frameworks that a declared package names or a marker file among ``files`` (keys, path) shows.
+
+    Package names are compared without case, dashes, underscores, extras and a Go module's major version; a marker alone has no version.
+    """
+    flat = lambda name: name.lower().replace("-", "").replace("_", "")
+    literal = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    by_package = literal([(flat(d), n) for n, _, deps, _ in FRAMEWORKS for d in deps])
+    by_file = literal([(f, n) for n, _, _, marks in FRAMEWORKS for f in marks])
+    kinds = literal([(n, k) for n, k, _, _ in FRAMEWORKS])
+    name = F.regexp_replace(F.lower(F.regexp_replace("name", r"\[.*\]|/v\d+$", "")), "[-_]", "")
+    found = packages.select(*keys, F.try_element_at(by_package, name).alias("framework"), "version")
+    found = found.unionByName(files.select(*keys, F.try_element_at(by_file, F.substring_index("path", "/", -1)).alias("framework"), F.lit(None).cast("string").alias("version")))
+    g = found.where("framework is not null").groupBy(*keys, "framework").agg(F.max("version").alias("version"))
+    return g.select(*keys, "framework", F.element_at(kinds, F.col("framework")).alias("kind"), "version")
 
 
 def stem(path: Column) -> Column:

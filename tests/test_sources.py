@@ -92,7 +92,9 @@ def test_inventory(spark):
     doc = json.loads(manifests.sbom(inv, "project").first()["sbom"])
     assert [c["purl"] for c in doc["components"]] == ["pkg:npm/%40a/b@1.2.3", "pkg:npm/jest@29"] and doc["dependencies"][0]["dependsOn"] == ["pkg:npm/%40a/b@1.2.3", "pkg:npm/jest@29"]
     assert manifests.conflicts(inv, "project").count() == 0
-    assert rows(J.frameworks(inv, "project"), "framework", "kind") == [("jest", "test")]
+    used = spark.createDataFrame([("p", "Next", "^14"), ("p", "github.com/gofiber/fiber/v2", "v2.1"), ("p", "jest", "29")], "project string, name string, version string")
+    seen = J.frameworks(used, spark.createDataFrame([("p", "a/manage.py"), ("p", None)], "project string, path string"), "project")
+    assert set(rows(seen, "framework", "kind", "version")) == {("django", "api", None), ("fiber", "api", "v2.1"), ("nextjs", "ssr", "^14")}
 
 
 # ---------------------------------------------------------------- code
