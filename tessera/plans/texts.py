@@ -283,7 +283,7 @@ def coverage_gaps(spark, sf):
 
 
 @query("""
-SELECT CASE WHEN path LIKE 'tests/%' THEN 'tests' ELSE 'other' END AS category, regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS files
+SELECT CASE WHEN path LIKE 'tests/%' THEN 'test' ELSE 'module' END AS category, regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS files
 FROM (SELECT 'src/a' || p_size || '/f' || p_partkey || '.py' AS path FROM part UNION ALL SELECT 'tests/test_f' || p_partkey || '.py' FROM part WHERE p_size % 2 = 0) GROUP BY 1, 2
 """)
 def code_map(spark, sf):

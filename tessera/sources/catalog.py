@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that are no source, and the largest file that is read.
 IGNORED = r"(^|/)(?:node_modules|__pycache__|\.git|dist|build|\.venv|venv|\.nuxt|\.output)(/|$)"
 LARGEST = 1 << 20
-#: The part of a project that a folder name tells, first fit wins.
+#: The category of a lower-case path, first fit wins.
 CATEGORIES = [
-    ("tests", r"(^|/)(?:tests?|__tests__|spec)(/|$)|(^|/)test_|_test\.|\.(?:test|spec)\."), ("api", r"(^|/)(?:api|routes?|controllers?|handlers?)(/|$)"), ("components", r"(^|/)components?(/|$)"),
-    ("pages", r"(^|/)(?:pages|views)(/|$)"), ("composables", r"(^|/)(?:composables|hooks)(/|$)"), ("stores", r"(^|/)stores?(/|$)"), ("services", r"(^|/)services?(/|$)"),
-    ("models", r"(^|/)(?:models?|schemas?|types)(/|$)"), ("utils", r"(^|/)(?:utils?|helpers?|lib)(/|$)"), ("config", r"(^|/)config(/|$)|\.(?:toml|ya?ml|ini|json)$"),
+    ("api", r"/api/|_api\.(?:py|js)$"), ("composable", "/composable"), ("component", "/component"), ("service", "/service"), ("store", "/store"), ("view", "/view|/pages/"), ("util", "/util|/helpers/"),
+    ("model", "/model"), ("test", "/test|^test"), ("config", "/config"), ("middleware", "/middleware"), ("route", "/route"), ("gateway", "/gateway"), ("repository", "/repositor"),
 ]
 
 
@@ -62,11 +61,11 @@ def export(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").json(f"{folder}/{name}")
 
 
-def category(path):
-    """The part of a project a path belongs to; ``other`` if none fits."""
-    out = F.lit("other")
+def category(path: Column) -> Column:
+    """The category of a file; ``module`` if none fits."""
+    out = F.lit("module")
     for name, pattern in reversed(CATEGORIES):
-        out = F.when(path.rlike("(?i)" + pattern), name).otherwise(out)
+        out = F.when(F.lower(path).rlike(pattern), name).otherwise(out)
     return out
 
 
