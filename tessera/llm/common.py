@@ -47,6 +47,14 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def row_key(df: DataFrame) -> Column:
+    """A digest of a whole row, which ids that are null or repeated cannot tell apart; equal rows have equal keys.
+
+    The hash passes over nulls, so flags tell which columns are null.
+    """
+    return F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns])
+
+
 def small_or_joined(df: DataFrame, label: str, rows: int = 1_000_000) -> DataFrame:
     """``df``, narrow rows, written once and marked for broadcast if there are at most ``rows``; else left for an ordinary join."""
     kept = saved(df, label)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_or_joined, table, text_or_empty
+from tessera.llm.common import row_key, small_or_joined, table, text_or_empty
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -145,11 +145,11 @@ def identify(rows: DataFrame, keep: list[str], langs: list[str], model: np.ndarr
     ).withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("confidence") >= 0.5))
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, language, confidence, accepted of every document: ``lang`` is its declaration, ``source`` its host."""
+def identify_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, language, confidence, accepted of every document: ``lang`` is its declaration, ``source`` its host."""
     langs, model = fit(docs)
-    rows = docs.select(F.col("doc_id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address"), F.coalesce("source", F.lit("")).alias("host"))
-    return identify(rows, ["doc_id"], langs, model, ["host"])
+    rows = docs.select(*keep, "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address"), F.coalesce("source", F.lit("")).alias("host"))
+    return identify(rows, [*keep], langs, model, ["host"])
 
 
 def identify_pages(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
@@ -165,10 +165,11 @@ def identify_pages(pages: DataFrame, langs: list[str], model: np.ndarray) -> Dat
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, all columns as they are.
 
-    Rows that share an id are kept or dropped together.
+    Every row is judged by itself, whatever other rows have its id, or none.
     """
-    no = small_or_joined(identify_documents(docs).where("not accepted").select("doc_id").distinct(), "rejected")
-    return docs.join(no, docs["doc_id"].eqNullSafe(no["doc_id"]), "left_anti")
+    rows = docs.withColumn("_row", row_key(docs))
+    no = small_or_joined(identify_documents(rows, ("doc_id", "_row")).where("not accepted").select("doc_id", "_row").distinct(), "rejected")
+    return rows.join(no, rows["doc_id"].eqNullSafe(no["doc_id"]) & (rows["_row"] == no["_row"]), "left_anti").select(*docs.columns)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, saved, table, text_or_empty
+from tessera.llm.common import cut, row_key, saved, table, text_or_empty
 
 WORDS, SEED, BUDGET = 4, 42, 4
 #: Block widths, from the highest bit; they sum to 64.
@@ -54,12 +54,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)})
+        fp = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
+        yield pdf.drop(columns="text").assign(doc_id=pdf["doc_id"].astype("Int64"), fp=fp)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long). Null texts count as empty."""
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` (longs), fp (the 64 bits as a signed long). Null texts count as empty."""
+    rows = docs.select(F.col("doc_id").cast("long"), *keep, text_or_empty().alias("text"))
+    return rows.mapInPandas(_fingerprints, "".join(f"{c} long, " for c in ("doc_id", *keep)) + "fp long")
 
 
 # ---------------------------------------------------------------- the trie
@@ -243,17 +245,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     an empty table gives an empty result.
     """
     known = saved(fingerprints(docs), "fingerprints")
-    distinct = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp")))
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    distinct = rooted(known.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = distinct.join(distinct.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return known.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def rooted(distinct: DataFrame) -> DataFrame:
+    """Adds root, the smallest fingerprint of the component, to rows of one fingerprint (fp) each."""
+    roots = components(links(distinct.select("fp")))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of every component: the one with the smallest id; of rows that repeat that id, one."""
-    groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of every component: the one with the smallest id, a null id last; of rows that share that id, the one whose key is smallest.
+
+    A row is found again by its id and its key; rows alike in all columns have
+    one fingerprint, so of those of a component any one is left.
+    """
+    rows = docs.withColumn("_row", row_key(docs))
+    known = saved(fingerprints(rows, ("_row",)), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("one")
+    distinct = rooted(known.groupBy("fp").agg(first))
+    ones = distinct.groupBy("root").agg(F.min("one").alias("one")).select("root", F.col("one.doc_id").alias("_id"), F.col("one._row").alias("_one"))
+    kept = rows.join(ones, (rows["_row"] == ones["_one"]) & rows["doc_id"].eqNullSafe(ones["_id"]))
+    return kept.dropDuplicates(["root"]).select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,6 +316,21 @@ def test_components_against_brute_force(spark, odd, none):
     assert kept == sorted(set(b for _, b in brute({r[0]: r[1] for r in ODD if r[0] is not None}).values()))
 
 
+def test_rows_are_kept_or_dropped_each_by_itself(spark, odd):
+    docs = odd.union(odd.where("doc_id = 7").selectExpr("2 AS doc_id", "'another text that nobody copies' AS text", "lang", "source", "n_chars", "fp", "size"))
+    fps = lambda rows: sorted(simhash.fingerprint(r["text"]) for r in rows)
+    rows = docs.collect()
+    distinct = set(fps(rows))
+    assert all((a ^ b).bit_count() > 4 for a in distinct for b in distinct if a != b)
+    kept = simhash.keep_one(docs).collect()
+    assert fps(kept) == sorted(distinct)  # one row of every class of texts: those without an id and those that share one included
+    assert {r["doc_id"] for r in kept} == {1, 2, 5, 7, None} and [r["source"] for r in kept if r["doc_id"] == 1] == ["a"]
+
+    both = docs.where("doc_id = 1").selectExpr("2 AS doc_id", *docs.columns[1:]).union(docs.where("doc_id = 2 and text is null")).union(docs.where("doc_id is null"))
+    said = language.keep_identified(docs.union(both)).collect()
+    assert sum(r["doc_id"] == 2 and r["text"] == ODD[0][1] for r in said) == 1 and not any(r["text"] is None for r in said)
+
+
 def test_large_groups_are_dealt_out(spark):
     rng = np.random.default_rng(3)
     fps = {int(x) for x in rng.integers(0, 1 << 40, 300)} | {1 << int(k) | 5 << 50 for k in range(40)} | {5 << 50}
