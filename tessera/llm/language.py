@@ -90,13 +90,16 @@ def address_language(url: Column, langs: list[str]) -> Column:
 
 
 def host_prior(rows: DataFrame, langs: list[str], levels: list[str]) -> DataFrame:
-    """(first level, prior array): declared languages counted per level, each smoothed towards the next, the last towards all rows."""
+    """(first level, prior array): declared languages counted per level, each smoothed towards the next, the last towards all rows.
+
+    A host that declares nothing has the prior of its next level.
+    """
     known = rows.where(F.col("declared").isin(langs)) if langs else rows.limit(0)
-    each = F.array(*[F.sum((F.col("declared") == x).cast("double")) for x in langs])
+    each = F.array(*[F.coalesce(F.sum((F.col("declared") == x).cast("double")), F.lit(0.0)) for x in langs])
     world = known.agg(each.alias("c")).first()
     top = np.array(world["c"] if world and world["c"] and world["c"][0] is not None else [0.0] * len(langs)) + 1.0
     base = F.array(*[F.lit(float(x)) for x in top / top.sum()])
-    counts = known.groupBy(*levels).agg(each.alias("c"))
+    counts = (rows if langs else known).groupBy(*levels).agg(each.alias("c"))
     prior: Column = base
     for i in range(len(levels) - 1, -1, -1):
         if i:
@@ -106,7 +109,7 @@ def host_prior(rows: DataFrame, langs: list[str], levels: list[str]) -> DataFram
         c = F.col(f"_c{i}") if i else F.col("c")
         n = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
         prior = F.zip_with(c, prior, lambda x, p: x + p * SMOOTHING)
-        prior = F.transform(prior, lambda x, n=n: x / (n + SMOOTHING))
+        prior = F.transform(prior, (lambda n: lambda x: x / (n + SMOOTHING))(n))  # a second argument of the inner function would be the index
     return counts.select(levels[0], prior.alias("prior"))
 
 
@@ -174,3 +177,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by the whole fusion; the trigrams are fitted on the documents' declared languages."""
+    langs, model = fit(table(spark, sf_dir, "documents"))
+    return identify_pages(table(spark, sf_dir, "pages"), langs, model)

@@ -7,7 +7,7 @@ import corpus_pipeline
 from tessera.llm.chat import op4_chat
 from tessera.llm.fingerprint import op5_fingerprint
 from tessera.llm.html_extract import op2_html
-from tessera.llm.language import op3_language
+from tessera.llm.language import op3_language, op3_pages
 from tessera.llm.media import op6_media
 from tessera.llm.mixing import op8_mixing
 from tessera.llm.packing import op1_packing
@@ -17,7 +17,7 @@ from tessera.llm.simhash import op10_simhash
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_html, op3_language, op4_chat, op5_fingerprint, op6_media, op7_quality, op8_mixing, op9_sharding, op10_simhash)
+    for f in (op1_packing, op2_html, op3_language, op3_pages, op4_chat, op5_fingerprint, op6_media, op7_quality, op8_mixing, op9_sharding, op10_simhash)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {

@@ -135,6 +135,35 @@ def test_pages_language(spark):
     assert language.identify_pages(pages, langs, model).count() == pages.count()
 
 
+def test_pages_language_by_all_evidence(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    said = [(r["text"], r["lang"]) for r in docs.where("length(text) between 300 and 3000").orderBy("doc_id").limit(60).collect()]
+    rows, want = [], {}
+    for k, (text, lang) in enumerate(said):  # the text stands against a wrong declaration
+        rows.append((k, f"http://h{k}.example.com/", f"<html lang='{'en' if lang != 'en' else 'fr'}'><p>{text.replace('<', ' ')}</p></html>"))
+        want[k] = lang
+    langs, model = language.fit(docs)
+    columns = "page_id long, url string, html string"
+    named = lambda rows: {r["page_id"]: r["language"] for r in language.identify_pages(spark.createDataFrame(rows, columns), langs, model).collect()}
+    got = named(rows)
+    assert sum(got[k] == x for k, x in want.items()) >= 0.95 * len(said)
+    # short texts of two languages, the first named a little more likely: what is declared, the address and the parents of the host decide
+    en, de = "<p>on</p>", "<p>en</p>"
+    rows = [(k, f"http://h{k}.some{k}.com/", f"<html lang={langs[k % 4]}>{de}</html>") for k in range(40)]
+    rows += [(k, f"http://s{k}.gens.net/", f"<html lang=fr>{de}</html>") for k in range(50, 70)]
+    rows += [(100, "http://a.court.org/", en), (101, "http://b.court.org/fr/", en), (102, "http://c.court.fr/", en), (103, "http://d.court.org/", f"<html lang=fr>{en}</html>")]
+    rows += [(104, "http://e.court.org/", de), (105, "http://quiet.gens.net/", de), (106, "http://vide.org/", "<p>1 2</p>"), (107, None, None)]
+    got = named(rows)
+    assert [got[k] for k in range(100, 108)] == ["en", "fr", "fr", "fr", "de", "fr", "und", "und"]
+
+
+def test_pages_are_a_query(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r["page_id"]: r["language"] for r in registry.QUERIES["op3_pages"](spark, SF).collect()}
+    assert set(got) == set(pages)
+    assert sum(f'lang="{got[k]}"' in (h or "")[:200] for k, h in pages.items()) >= 0.9 * len(pages)
+
+
 # ---------------------------------------------------------------- chat
 
 
