@@ -317,6 +317,12 @@ def licence_texts(spark, sf):
     return d.where("licence in ('MIT', 'Apache-2.0')")
 
 
+@query()
+def document_licences(spark, sf):
+    """The first of all listed licences that a whole text names, of every document that names one."""
+    return load(spark, sf, "documents").select("doc_id", J.licence_of(F.col("text")).alias("licence")).where("licence is not null")
+
+
 @query("""
 SELECT 'p' || p_partkey || '.py' AS path, 'f' AS name, p_size + 3 AS lines, p_size % 6 AS depth, p_partkey % 9 AS params, p_size % 6 AS branches,
   5 * greatest(p_size % 6 - 3, 0) + 2 * greatest(p_partkey % 9 - 5, 0) AS score FROM part
