@@ -3,7 +3,9 @@
 Slot i of the schedule maps the golden-ratio point frac(i * phi) through the
 cumulative weights of the sources. Slots are ranked within their source; rank
 r draws block r of the source's shuffled stream of words, which is cut into
-blocks of equal tokens and starts anew after the last.
+blocks of equal tokens and starts anew after the last. Small sources have
+smaller blocks, and every source gets its target in blocks to the nearest one:
+ranks beyond are cut, ranks that the points leave out are added at the end.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ WEIGHTS, MOST = (5, 2, 1), 3
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Slots of a schedule at most, while a block has at most BLOCK[1] tokens; blocks have at least BLOCK[0].
 SLOTS, BLOCK = 1 << 18, (16, 1 << 16)
+#: Blocks that a source has at least, if it has as many words, however large its table is.
+PIECES = 256
 #: Shares that a source's shuffle and its ranks are counted in, so that a hot source is many tasks' work.
 SHARES, RUN = 4096, 4096
 _ALL = (W.unboundedPreceding, W.unboundedFollowing)
@@ -55,31 +59,51 @@ def block_tokens(total: int) -> int:
     return min(BLOCK[1], max(BLOCK[0], -(-total // SLOTS)))
 
 
+def blocks_of(block: int) -> Column:
+    """Blocks of a source: of ``block`` tokens, or of fewer where that makes less than PIECES of it."""
+    return F.expr(f"ceil(source_size / greatest(1, least({block}, source_size div {PIECES})))")
+
+
 def blocked(src: DataFrame, block: int) -> DataFrame:
-    """Adds the number of blocks of every source that has words, and its slots wanted: target in blocks."""
-    n = F.ceil(F.col("source_size") / block)
-    return src.where("source_size > 0").withColumn("blocks", n).withColumn("wanted", F.col("target") * F.col("blocks") / F.col("source_size"))
+    """Adds, for every source that has words, the number of its blocks, its slots wanted (target in blocks), and its quota.
+
+    The quota is the number of draws whose tokens come nearest to the target.
+    """
+    s = src.where("source_size > 0").withColumn("blocks", blocks_of(block))
+    s = s.withColumn("wanted", F.col("target") * F.col("blocks") / F.col("source_size"))
+    s = s.withColumn("_rounds", F.floor(F.col("target") / F.col("source_size"))).withColumn("_rest", F.col("target") - F.col("_rounds") * F.col("source_size"))
+    s = s.withColumn("_at", _block_at("bigint(_rest)"))
+    nearer = (_first_of("(_at + 1)") - F.col("_rest") < F.col("_rest") - _first_of("_at")).cast("int")
+    quota = F.least(F.col("_rounds") * F.col("blocks") + F.col("_at") + nearer, MOST * F.col("blocks"))  # the cap on repeats holds to the word
+    return s.withColumn("quota", quota).drop("_rounds", "_rest", "_at")
 
 
-def schedule(spark: SparkSession, src: DataFrame, slots: int, cells: int = 256, most: int = MOST) -> DataFrame:
-    """(slot, source_id, rank, epoch, block): ``src`` has source_id, blocks and wanted.
+def schedule(spark: SparkSession, src: DataFrame, slots: int, cells: int = 256) -> DataFrame:
+    """(slot, source_id, rank, epoch, block): ``src`` has source_id, blocks, wanted and quota.
 
     A point finds its source by an equi-join on the cell of [0, 1) that it
-    falls in; the intervals of the sources are cut at the cells.
+    falls in; the intervals of the sources are cut at the cells. Every source
+    has ``quota`` slots; how far the points alone are off it follows
+    the logarithm of the slots, and so do the slots added.
     """
     whole = F.sum("wanted").over(W.orderBy(F.lit(0)).rowsBetween(*_ALL))
     low = F.coalesce(F.sum("wanted").over(W.orderBy("source_id").rowsBetween(*_BEFORE)), F.lit(0.0)) / whole
     s = src.withColumn("low", low).withColumn("high", F.coalesce(F.lead("low").over(W.orderBy("source_id")), F.lit(1.0)))
     cell = lambda c: F.least(F.floor(F.col(c) * cells), F.lit(cells - 1))
+    quota = src.select("source_id", "blocks", "quota")
     s = s.select("source_id", "blocks", "low", "high", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
     point = F.col("slot") * F.lit(GOLDEN) + 0.5
     points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("x", point - F.floor(point)).withColumn("cell", cell("x"))
     hit = points.join(s, "cell").where("x >= low and x < high").select("slot", "source_id", "blocks", F.floor(F.col("slot") / RUN).alias("run"))
     runs = hit.groupBy("source_id", "run").agg(F.count("*").alias("n"))
-    runs = runs.select("source_id", "run", F.coalesce(F.sum("n").over(W.partitionBy("source_id").orderBy("run").rowsBetween(*_BEFORE)), F.lit(0)).alias("before"))
+    runs = runs.select("source_id", "run", "n", F.coalesce(F.sum("n").over(W.partitionBy("source_id").orderBy("run").rowsBetween(*_BEFORE)), F.lit(0)).alias("before"))
     rank = F.row_number().over(W.partitionBy("source_id", "run").orderBy("slot")) - 1
     ranked = hit.withColumn("in_run", rank).join(runs, ["source_id", "run"]).withColumn("rank", F.col("before") + F.col("in_run"))
-    ranked = ranked.where(F.col("rank") < most * F.col("blocks"))  # the cap on repeats holds to the word
+    ranked = ranked.join(quota.select("source_id", "quota"), "source_id").where("rank < quota").select("slot", "source_id", "blocks", "rank")
+    short = quota.join(runs.groupBy("source_id").agg(F.sum("n").alias("n")), "source_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < quota")
+    short = short.select("source_id", "blocks", F.explode(F.sequence(F.col("n"), F.col("quota") - 1)).alias("rank"))
+    added = short.select((F.row_number().over(W.orderBy("rank", "source_id")) - 1 + slots).cast("long").alias("slot"), "source_id", "blocks", "rank")
+    ranked = ranked.unionByName(added)
     return ranked.select("slot", "source_id", "rank", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block"))
 
 
@@ -125,10 +149,11 @@ def mix(docs: DataFrame) -> DataFrame:
     if not total:
         return rows.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     block = block_tokens(total)
-    cut = blocked(src, block).select("source_id", "source_size", "blocks", "wanted")
-    slots = int(math.ceil(cut.agg(F.sum("wanted").alias("n")).first()["n"]))
-    drawn = schedule(spark, cut, slots).groupBy("source_id", "block").agg(F.count("*").alias("times"))
-    placed = positions(rows).withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)))
+    cut = blocked(src, block).select("source_id", "source_size", "blocks", "wanted", "quota")
+    sums = cut.agg(F.sum("wanted").alias("n"), F.count("*").alias("c")).first()
+    slots, cells = int(math.ceil(sums["n"])), max(256, sums["c"])
+    drawn = schedule(spark, cut, slots, cells).groupBy("source_id", "block").agg(F.count("*").alias("times"))
+    placed = positions(rows).withColumn("blocks", F.greatest(blocks_of(block), F.lit(1)))
     some, none = placed.where("size > 0"), rows.where("size = 0")
     each = some.withColumn("block", F.explode(F.sequence(_block_at("start"), _block_at("(start + size - 1)"))))
     over = F.least(F.col("start") + F.col("size"), _first_of("(block + 1)")) - F.greatest(F.col("start"), _first_of("block"))
@@ -151,10 +176,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     if not total:
         return docs.limit(0)
     block = block_tokens(total)
-    cut = blocked(src, block).select("source_id", "source_size", "blocks", "wanted")
-    slots = int(math.ceil(cut.agg(F.sum("wanted").alias("n")).first()["n"]))
-    drawn = schedule(spark, cut, slots).groupBy("source_id").agg(F.count("*").alias("drawn"))
-    d = positions(rows).join(drawn, "source_id").withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)))
+    cut = blocked(src, block).select("source_id", "source_size", "blocks", "wanted", "quota")
+    sums = cut.agg(F.sum("wanted").alias("n"), F.count("*").alias("c")).first()
+    slots, cells = int(math.ceil(sums["n"])), max(256, sums["c"])
+    drawn = schedule(spark, cut, slots, cells).groupBy("source_id").agg(F.count("*").alias("drawn"))
+    d = positions(rows).join(drawn, "source_id").withColumn("blocks", F.greatest(blocks_of(block), F.lit(1)))
     edge = _first_of("(drawn % blocks)") - F.col("start")
     d = d.withColumn("_part", F.least(F.greatest(edge, F.lit(0)), F.col("size"))).withColumn("_whole", F.expr("drawn div blocks") + (F.col("_part") == F.col("size")).cast("int")).where("size > 0")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_whole").cast("int")), F.when((F.col("_part") > 0) & (F.col("_part") < F.col("size")), F.array("_part")).otherwise(F.array().cast("array<bigint>")))

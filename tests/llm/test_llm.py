@@ -285,6 +285,25 @@ def test_mixing(spark, odd, none):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_small_sources_reach_their_targets_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", (1 << 12, 1 << 16))  # blocks as large as big tables have
+    sizes = {f"s{k:02}": n for k, n in enumerate((90_000, 700, 5, 4096, 5000, 40, 1300, 9000, 256, 20_000, 3, 1))}
+    rows = [(1000 * k + j, "w " * (n // 4 + (j < n % 4)), "en", s, 0) for k, (s, n) in enumerate(sizes.items()) for j in range(4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got, source = mixing.mix(docs).collect(), {r[0]: r[3] for r in rows}
+    taken, target = Counter(), {}
+    for r in got:
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    text = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        text[r["source"]] += len(r["text"].split())
+    for s, n in sizes.items():
+        block = max(1, min(4096, n // 256))
+        assert abs(taken[s] - target[s]) <= block and text[s] == taken[s], s
+
+
 # ---------------------------------------------------------------- sharding
 
 
