@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,8 +187,8 @@ def align(a: Node, b: Template, most_cells: int = 20_000) -> list[tuple[Node, Te
     """Pairs of leaves that the largest order-preserving matching of the two trees puts together.
 
     The matching of two nodes is found by dynamic programming over their
-    children. Children lists whose table would be large are matched by equal
-    labels in order instead.
+    children. Where the table of two lists would be large, its rows are numpy
+    arrays and only the way back is kept; the matching is as good.
     """
     memo: dict[tuple[int, int], tuple[float, list]] = {}
 
@@ -211,7 +212,7 @@ def align(a: Node, b: Template, most_cells: int = 20_000) -> list[tuple[Node, Te
         p, q = x.kids, y.kids
         m, n = len(p), len(q)
         if m * n > most_cells:
-            got = [match(u, v) for u, v in _in_order(p, q)]
+            got = [match(p[i], q[j]) for i, j in _tracks(p, q, weight)]
             memo[key] = out = (1 + sum(g[0] for g in got), [z for g in got for z in g[1]])
             return out
         names = [(v.tag, v.name) for v in q]
@@ -245,18 +246,35 @@ def align(a: Node, b: Template, most_cells: int = 20_000) -> list[tuple[Node, Te
     return match(a, b)[1] if same(a, b) else []
 
 
-def _in_order(p: list[Node], q: list[Template]) -> list[tuple[Node, Template]]:
+def _tracks(p: list[Node], q: list[Template], weight) -> list[tuple[int, int]]:
+    """Places of the pairs of a best matching of two long lists: the table of ``match`` row by row, of which two bits a cell are kept."""
+    n = len(q)
     at: dict[tuple[str, str], list[int]] = {}
     for j, v in enumerate(q):
         at.setdefault((v.tag, v.name), []).append(j)
-    out, low = [], 0
-    for u in p:
-        js = at.get((u.tag, u.name), ())
-        j = next((j for j in js if j >= low), None) if not js or js[-1] >= low else None
-        if j is not None:
-            out.append((u, q[j]))
-            low = j + 1
-            js[:] = [k for k in js if k >= low] if len(js) > 64 and js[0] < low else js
+    places = {label: np.array(js) for label, js in at.items()}
+    below, rows = np.zeros(n + 1), []
+    for u in reversed(p):
+        row = below.copy()
+        js = places.get((u.tag, u.name))
+        if js is not None:
+            js = js[below[js + 1] + u.size * 2 > below[js]]
+            gain = below[js + 1] + np.array([weight(u, q[j]) for j in js.tolist()])
+            row[js] = np.maximum(row[js], gain)
+            row[:n] = np.maximum.accumulate(row[n - 1 :: -1])[::-1] if n else row[:n]
+        rows.append((np.packbits(row[:n] == below[:n]), np.packbits(row[:n] == row[1:])))
+        below = row
+    rows.reverse()
+    out, i, j = [], 0, 0
+    while i < len(p) and j < n:
+        down, right = (x[j >> 3] >> (7 - (j & 7)) & 1 for x in rows[i])
+        if down:
+            i += 1
+        elif right:
+            j += 1
+        else:
+            out.append((i, j))
+            i, j = i + 1, j + 1
     return out
 
 

@@ -107,6 +107,20 @@ def test_induction_drops_what_stays_the_same():
     assert html_extract.extract(page(8), t, seen) == ("story 8 " * 9).strip() + "\n\n" + ("more 88 " * 7).strip()
 
 
+def test_long_lists_are_matched_like_short_ones():
+    rng = np.random.default_rng(5)
+    some = lambda n: "".join(f"<{t}>{w}</{t}>" for t, w in zip(rng.choice(["p", "div", "section"], n), rng.choice(list("abcdefgh"), n)))
+    weigh = lambda pairs: sum(2 if n.mark in at.texts else 1 for n, at in pairs)
+    for n in (1, 7, 30, 60):
+        page, t = html_extract.parse(some(n)), html_extract.Template.of(html_extract.parse(some(40)))
+        short, long = html_extract.align(page, t), html_extract.align(page, t, most_cells=0)
+        assert weigh(short) == weigh(long) and [n.text for n, _ in short] == [n.text for n, _ in long]
+    flat = lambda k, n: "".join(f"<p>words {k} {i}</p>" for i in range(n)) + "<p>Sign up here</p><p>All rights reserved</p>"
+    template, seen = html_extract.induce([flat(k, 150 + k) for k in range(5)])
+    text = html_extract.extract(flat(9, 140), html_extract.Template.unpacked(template.packed(3)), seen)
+    assert text.endswith("words 9 139") and text.count("words") == 140
+
+
 def test_pages_odd(spark):
     d = spark.createDataFrame([(1, None, None, 1), (2, "http://h/x", "", 2), (2, "http://h/x", "<article>a</article>", 3), (3, "bad", "<p>t</p>", 4)], "page_id long, url string, html string, text int")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_pages(d).collect()) == [(1, "", 0), (2, "", 0), (2, "a", 1), (3, "t", 1)]
