@@ -5,8 +5,9 @@ into DOM trees and aligned by simple tree matching; nodes whose text stays the
 same over references with different articles are the host's template, nodes
 whose text varies are content slots. Every page is then aligned with its
 host's template tree. Inside what markup itself names as the article only
-parts that are constant or named as something else go; where nothing is named,
-the varying slots outside menus and other link lists are the article.
+parts that are constant or named as something else go, prose if over half of
+the references, and three at least, show it at its place; where nothing is
+named, the varying slots outside menus and other link lists are the article.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ def digest(text: str) -> str:
 
 
 class Template:
-    """A tree whose leaves know the digests of texts that references showed there."""
+    """A tree whose leaves know the digests of texts that references showed there, and of how many; unpacked, 2 marks texts that most of them showed."""
 
     __slots__ = ("tag", "name", "kids", "texts")
 
@@ -175,12 +176,14 @@ class Template:
     def of(cls, n: Node) -> Template:
         return cls(n.tag, n.name, [cls.of(k) for k in n.kids], {n.mark: 1} if n.tag == "#" else {})
 
-    def packed(self, least: int) -> list:
-        return [self.tag, self.name, [k.packed(least) for k in self.kids], [d for d, c in self.texts.items() if c >= least]]
+    def packed(self, least: int, most: int = 1 << 30) -> list:
+        """Texts of at least ``least`` references, and apart from these the texts of at least ``most``."""
+        some, many = ([d for d, c in self.texts.items() if c >= least and (c >= most) == x] for x in (False, True))
+        return [self.tag, self.name, [k.packed(least, most) for k in self.kids], some, many]
 
     @classmethod
     def unpacked(cls, x: list) -> Template:
-        return cls(x[0], x[1], [cls.unpacked(k) for k in x[2]], dict.fromkeys(x[3], 1))
+        return cls(x[0], x[1], [cls.unpacked(k) for k in x[2]], dict.fromkeys(x[3], 1) | dict.fromkeys(x[4], 2))
 
 
 def align(a: Node, b: Template, most_cells: int = 20_000) -> list[tuple[Node, Template]]:
@@ -317,11 +320,11 @@ def extract(html: str | None, template: Template | None, seen: int = 0) -> str:
     """The main text: blocks in page order, joined by two line feeds; empty if there is none."""
     root = parse(html)
     all_ = leaves(root)
-    constant = {id(n) for n, at in align(root, template) if n.mark in at.texts} if template and seen >= 3 else set()
+    constant = {id(n): at.texts[n.mark] for n, at in align(root, template) if n.mark in at.texts} if template and seen >= 3 else {}
     inside = [(n, p) for n, (apart, main, p) in all_ if main and not apart]
     if inside:
-        # prose that several articles quote is theirs; only constant parts that no markup calls prose are the template's
-        kept = [n for n, p in inside if id(n) not in constant or p.tag in PROSE]
+        # prose that several articles quote is theirs, until most show it at the same place: then it is the template's, as are all constant parts that no markup calls prose
+        kept = [n for n, p in inside if constant.get(id(n), 0) < (2 if p.tag in PROSE else 1)]
     else:
         kept = [n for n, (apart, _, p) in all_ if not apart and id(n) not in constant and not (2 * n.links > len(n.text) and p.tag != "p")]
     return "\n\n".join(n.text for n in kept)
@@ -339,7 +342,7 @@ def _induce(pdf: pd.DataFrame) -> pd.DataFrame:
     if not found:
         return pd.DataFrame({"host": [], "template": [], "seen": []}).astype({"host": str, "template": str, "seen": int})
     template, seen = found
-    packed = json.dumps(template.packed(max(2, (seen + 1) // 2)), separators=(",", ":"))
+    packed = json.dumps(template.packed(max(2, (seen + 1) // 2), max(3, seen // 2 + 1)), separators=(",", ":"))
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [packed], "seen": [seen]})
 
 

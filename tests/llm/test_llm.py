@@ -107,6 +107,21 @@ def test_induction_drops_what_stays_the_same():
     assert html_extract.extract(page(8), t, seen) == ("story 8 " * 9).strip() + "\n\n" + ("more 88 " * 7).strip()
 
 
+def templated(pages):
+    pdf = html_extract.pd.DataFrame({"host": "h", "bucket": range(len(pages)), "html": pages})
+    got = html_extract._induce(pdf)
+    return (html_extract.Template.unpacked(json.loads(got["template"][0])), int(got["seen"][0])) if len(got) else (None, 0)
+
+
+def test_constant_prose_goes_from_named_articles():
+    page = lambda k: f"<article><h1>Head {k}</h1><p>{f'story {k} ' * 9}</p>{'<p>A saying</p>' if k < 2 else ''}<ul><li>Sign up for our letter</li></ul><p>All rights are ours</p></article>"
+    t, seen = templated([page(k) for k in range(6)])
+    assert html_extract.extract(page(1), t, seen) == "Head 1\n\n" + ("story 1 " * 9).strip() + "\n\nA saying"
+    assert html_extract.extract(page(9), t, seen) == "Head 9\n\n" + ("story 9 " * 9).strip()
+    t, seen = templated([page(k) for k in (0, 1)])  # two pages are too few to take prose from named articles
+    assert html_extract.extract(page(1), t, seen).endswith("All rights are ours")
+
+
 def test_long_lists_are_matched_like_short_ones():
     rng = np.random.default_rng(5)
     some = lambda n: "".join(f"<{t}>{w}</{t}>" for t, w in zip(rng.choice(["p", "div", "section"], n), rng.choice(list("abcdefgh"), n)))
