@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -287,10 +288,10 @@ def induce(pages: list[str]) -> tuple[Template, int] | None:
     if len(trees) < 2:
         return None
     template, seen = Template.of(trees[0]), 1
-    said = [frozenset(n.mark for n, _ in leaves(trees[0]))]
-    for t in trees[1:]:
-        own = frozenset(n.mark for n, _ in leaves(t))
-        if any(2 * len(own & s) > min(len(own), len(s)) for s in said):
+    told = _told(trees)
+    said = [told[0]]
+    for t, own in zip(trees[1:], told[1:]):
+        if not own or any(2 * len(own & s) > min(len(own), len(s)) for s in said):
             continue  # a copy tells nothing about what stays the same
         said.append(own)
         seen += 1
@@ -300,6 +301,14 @@ def induce(pages: list[str]) -> tuple[Template, int] | None:
     return (template, seen) if seen > 1 else None
 
 
+def _told(trees: list[Node]) -> list[frozenset[str]]:
+    """Of each tree the texts by which it can be a copy of another: not menus and other link lists, nor what three of four different pages show."""
+    told = [frozenset(n.mark for n, (apart, _, _) in leaves(t) if not apart and 2 * n.links <= len(n.text)) for t in trees]
+    pages = set(told)
+    shown = Counter(d for t in pages for d in t)
+    return [frozenset(d for d in t if len(pages) < 4 or 4 * shown[d] < 3 * len(pages)) for t in told]
+
+
 def leaves(root: Node) -> list[tuple[Node, tuple[bool, bool, Node]]]:
     """Leaves in page order with: inside something apart, inside the main part, their parent."""
     out, stack = [], [(root, False, False, root)]
@@ -320,7 +329,7 @@ def extract(html: str | None, template: Template | None, seen: int = 0) -> str:
     """The main text: blocks in page order, joined by two line feeds; empty if there is none."""
     root = parse(html)
     all_ = leaves(root)
-    constant = {id(n): at.texts[n.mark] for n, at in align(root, template) if n.mark in at.texts} if template and seen >= 3 else {}
+    constant = {id(n): at.texts[n.mark] for n, at in align(root, template) if n.mark in at.texts} if template and seen >= 2 else {}
     inside = [(n, p) for n, (apart, main, p) in all_ if main and not apart]
     if inside:
         # prose that several articles quote is theirs, until most show it at the same place: then it is the template's, as are all constant parts that no markup calls prose

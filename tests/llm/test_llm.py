@@ -122,6 +122,19 @@ def test_constant_prose_goes_from_named_articles():
     assert html_extract.extract(page(1), t, seen).endswith("All rights are ours")
 
 
+def test_templates_of_boilerplate_and_of_two_pages():
+    menu = "".join(f"<div class=x>part {k} of the site</div>" for k in range(12))
+    page = lambda k: f"<div>{menu}</div><div>story {k}</div>"
+    t, seen = templated([page(k) for k in range(6)])
+    assert seen == 6 and html_extract.extract(page(7), t, seen) == "story 7"
+    linked = "<ul>" + "".join(f"<li><a href=x>go {k}</a></li>" for k in range(12)) + "</ul>"
+    two = lambda k: f"{linked}<div>Welcome</div><div>one {k}</div><div>two {k}</div>"
+    t, seen = templated([two(1), two(2)])
+    assert seen == 2 and html_extract.extract(two(3), t, seen) == "one 3\n\ntwo 3"
+    copies = ["<div>" + "".join(f"<p>line {i} of a story</p>" for i in range(9)) + f"<p>copy {k}</p></div>" for k in range(2)]
+    assert templated(copies) == (None, 0)
+
+
 def test_long_lists_are_matched_like_short_ones():
     rng = np.random.default_rng(5)
     some = lambda n: "".join(f"<{t}>{w}</{t}>" for t, w in zip(rng.choice(["p", "div", "section"], n), rng.choice(list("abcdefgh"), n)))
