@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a session with a local master gets a temporary one;
+    on a cluster it is an error, as its machines don't share their disks.
+    """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -59,3 +65,12 @@ def small_or_joined(df: DataFrame, label: str, rows: int = 1_000_000) -> DataFra
     """``df``, narrow rows, written once and marked for broadcast if there are at most ``rows``; else left for an ordinary join."""
     kept = saved(df, label)
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name made of ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name

@@ -4,16 +4,18 @@ The length histogram (at most ``capacity`` bins, whatever the corpus size) is
 the whole input of the optimiser. Its linear program -- cover every length's
 count with as few capacity-bounded patterns as possible -- is solved by
 multiplicative weights: each round prices lengths, a knapsack dynamic program
-returns the best pattern at those prices, and covered lengths lose weight. The
-fractional solution is rounded down over patterns that fill their sequence,
-the residual histogram goes through the same loop again, and what remains at
-last is placed best-fit decreasing. Pieces then find their place by rank
-within their length, so the corpus itself is never collected.
+gives the best patterns at those prices, and covered lengths lose weight. The
+fractional solution is rounded over patterns that fill their sequence, the
+residual histogram goes through the program again, several times, and what
+remains at last, a tenth of the tokens or less where lengths repeat often, is
+placed best-fit decreasing. Pieces then find their place by rank within their
+length, so the corpus itself is never collected.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
 from array import array
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, table, text_or_empty
+from tessera.llm.common import row_key, saved, table, text_or_empty, unused
 
 CAPACITY = 1024
 END_ID = 2
@@ -120,77 +122,109 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bp
 # ---------------------------------------------------------------- the configuration program
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack by dynamic programming, for every capacity at once: best value, and the length to take first (or -1: leave a place)."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack by dynamic programming: the best value of a pattern in each capacity up to ``capacity``; places may stay open."""
+    best = np.zeros(capacity + 1)
     for c in range(1, capacity + 1):
         k = np.searchsorted(lengths, c, side="right")
-        best[c] = best[c - 1]
-        if k:
-            gain = best[c - lengths[:k]] + values[:k]
-            j = int(gain.argmax())
-            if gain[j] > best[c]:
-                best[c], take[c] = gain[j], j
-    return best, take
+        best[c] = max(best[c - 1], (best[c - lengths[:k]] + values[:k]).max()) if k else best[c - 1]
+    return best
 
 
-def multiplicative_weights(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 64, step: float = 1.0) -> dict[tuple[tuple[int, int], ...], float]:
+def multiplicative_weights(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 8, step: float = 1.0) -> dict[tuple[tuple[int, int], ...], float]:
     """Fractional copies of patterns, ((index of length, items), ...), that about cover ``counts``.
 
-    Weights start at each length's share of all tokens and fall by a factor
-    exp(-step * excess) with the share of its count that is covered beyond
-    the round's. At these prices one knapsack table gives, for every length,
-    the best pattern that holds it; a length takes as much of its pattern as
-    it lacks for the round, the longest first, so that short ones are covered
-    as fillers.
+    Weights start equal and fall by a factor exp(-step * excess) with the
+    share of a length's count that is covered beyond the round's. The
+    knapsack table is priced once a round; a pattern is read from it item by
+    item at the weights of the moment, with no more items of a length than
+    there are. A length takes as much of its pattern as it lacks for the
+    round, the longest first, so that short ones are covered as fillers.
     """
     covered, found = np.zeros(len(lengths)), {}
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    size, most = lengths.tolist(), counts.tolist()
     for r in range(1, rounds + 1):
-        excess = covered / counts - (r - 1) / rounds
-        _, take = price(lengths * np.exp(-step * excess), lengths, capacity)
-        for j in range(len(lengths) - 1, -1, -1):
-            lack = counts[j] * r / rounds - covered[j]
+        now = lengths * np.exp(-step * (covered / counts - (r - 1) / rounds))
+        best = price(now, lengths, capacity)
+        for j in range(len(size) - 1, -1, -1):
+            lack = most[j] * r / rounds - covered[j]
             if lack <= 0:
                 continue
-            items, c = {j: 1}, capacity - int(lengths[j])
-            while c > 0:
-                k = int(take[c])
-                if k < 0:
-                    c -= 1
-                else:
-                    items[k] = items.get(k, 0) + 1
-                    c -= int(lengths[k])
+            items, c = {j: 1}, capacity - size[j]
+            spent = [j] if most[j] == 1 else []
+            while fits[c]:
+                gain = best[c - lengths[: fits[c]]] + now[: fits[c]]
+                gain[[k for k in spent if k < fits[c]]] = -1.0
+                k = int(gain.argmax())
+                if gain[k] < 0:
+                    break
+                items[k] = items.get(k, 0) + 1
+                c -= size[k]
+                if items[k] == most[k]:
+                    spent.append(k)
             x = lack / items[j]
             for k, m in items.items():
                 covered[k] += m * x
+                now[k] = size[k] * math.exp(-step * (covered[k] / most[k] - (r - 1) / rounds))
             key = tuple(sorted(items.items()))
             found[key] = found.get(key, 0.0) + x
     return found
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 64, passes: int = 1) -> list[tuple[dict[int, int], int]]:
-    """(pattern, copies) that hold exactly ``histogram``: length to count. The number of patterns is bounded by the bins, not the pieces."""
+def rounded(found: dict[tuple[tuple[int, int], ...], float], lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole copies of the patterns that fill a sequence, and the counts they leave.
+
+    Copies are rounded so that they and their running sum, the largest first,
+    never differ by one or more; copies that the counts no longer hold are
+    left out.
+    """
+    out, left, sum_ = [], counts.copy(), 0.0
+    for items, x in sorted(found.items(), key=lambda t: (-t[1], t[0])):
+        wanted = math.floor(sum_ + x) - math.floor(sum_)
+        sum_ += x
+        j, m = (np.array(v) for v in zip(*items))
+        if wanted and int(lengths[j] @ m) == capacity:
+            copies = min(wanted, int((left[j] // m).min()))
+            if copies:
+                left[j] -= copies * m
+                out.append(({int(lengths[a]): int(b) for a, b in items}, copies))
+    return out, left
+
+
+def programmed(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 8, passes: int = 12, rest: float = 0.1) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Patterns that the program places, with copies, and the histogram that is left to best fit.
+
+    What rounding leaves goes through the program again, ``passes`` times or
+    until at most ``rest`` of the tokens are left. Of all passes the last is
+    taken after which program and best fit need the fewest sequences together.
+    """
     todo = {int(n): int(c) for n, c in histogram.items() if c > 0}
-    out: list[tuple[dict[int, int], int]] = []
+    placed: list[tuple[dict[int, int], int]] = []
     if todo.get(capacity):
-        out.append(({capacity: 1}, todo.pop(capacity)))
+        placed.append(({capacity: 1}, todo.pop(capacity)))
+    tokens = sum(n * c for n, c in todo.items())
+    need = lambda: sum(c for _, c in placed) + sum(c for _, c in best_fit(todo, capacity))
+    fewest, taken = need(), (len(placed), todo)
     for _ in range(passes):
-        if not todo:
+        if sum(n * c for n, c in todo.items()) <= rest * tokens:
             break
         lengths = np.array(sorted(todo))
         counts = np.array([todo[n] for n in lengths])
-        tokens, placed = int(lengths @ counts), 0
-        for items, x in sorted(multiplicative_weights(lengths, counts, capacity, rounds).items(), key=lambda t: (-t[1], t[0])):
-            j, m = (np.array(v) for v in zip(*items))
-            copies = int(min((counts[j] // m).min(), x))
-            if copies > 0 and int(lengths[j] @ m) == capacity:  # rounded down; what leaves places open is better placed by best fit
-                counts[j] -= copies * m
-                placed += copies * capacity
-                out.append(({int(lengths[a]): int(b) for a, b in items}, copies))
-        todo = {int(n): int(c) for n, c in zip(lengths, counts) if c}
-        if 4 * placed < tokens:
+        got, left = rounded(multiplicative_weights(lengths, counts, capacity, rounds), lengths, counts, capacity)
+        if not got:
             break
-    return out + best_fit(todo, capacity)
+        placed += got
+        todo = {int(n): int(c) for n, c in zip(lengths, left) if c}
+        if (n := need()) <= fewest:
+            fewest, taken = n, (len(placed), todo)
+    return placed[: taken[0]], taken[1]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """(pattern, copies) that hold exactly ``histogram``: length to count. The number of patterns is bounded by the bins, not the pieces."""
+    placed, left = programmed(histogram, capacity)
+    return placed + best_fit(left, capacity)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -237,20 +271,20 @@ def _slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.nda
     return {n: tuple(np.array(c, np.int64) for c in zip(*[r[:4] for r in rows])) for n, rows in by.items()}
 
 
-def _place(slots):
+def _place(slots, rank: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where = slots.value
         for pdf in batches:
-            n, rank = pdf["length"].to_numpy(), pdf["rank"].to_numpy()
+            n, ranks = pdf["length"].to_numpy(), pdf[rank].to_numpy()
             sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
             for one in np.unique(n):
                 at = np.flatnonzero(n == one)
                 first, m, base, off = where[int(one)]
-                k = np.searchsorted(first, rank[at], side="right") - 1
-                within = rank[at] - first[k]
+                k = np.searchsorted(first, ranks[at], side="right") - 1
+                within = ranks[at] - first[k]
                 sequence[at] = base[k] + within // m[k]
                 offset[at] = off[k] + within % m[k] * one
-            yield pdf.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            yield pdf.drop(columns=rank).assign(sequence_id=sequence, offset=offset)
 
     return run
 
@@ -261,19 +295,22 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFra
     Ranks within a length are counted in ``salts`` shares, so that a length
     that a third of all rows have does not meet in one task. Only the
     histogram, at most ``capacity`` rows, reaches the driver. Repeated rows
-    are placed each on its own; an empty input gives an empty result.
+    are placed each on its own, in any order among themselves; an empty input
+    gives an empty result. Columns named sequence_id or offset are replaced,
+    columns of any other name may be there.
     """
-    spark = parts.sparkSession
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*parts.columns), F.lit(salts)))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)))
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    spark, parts = parts.sparkSession, parts.drop("sequence_id", "offset")
+    salt, n, before, row, rank = (unused(parts, x) for x in ("salt", "n", "before", "row", "rank"))
+    salted = parts.withColumn(salt, F.pmod(row_key(parts), F.lit(salts)))
+    counts = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    counts = counts.withColumn(before, F.sum(n).over(W.partitionBy("length").orderBy(salt).rowsBetween(W.unboundedPreceding, -1)))
+    histogram = {r[0]: r[1] for r in parts.groupBy("length").agg(F.count("*").alias(n)).collect()}
     slots = spark.sparkContext.broadcast(_slots(plan(histogram, capacity)))
-    ranked = salted.withColumn("_row", F.row_number().over(W.partitionBy("length", "_salt").orderBy(*[c for c in parts.columns if c != "length"])))
-    ranked = ranked.join(counts.select("length", "_salt", "_before"), ["length", "_salt"])
-    ranked = ranked.select(*parts.columns, (F.col("_row") - 1 + F.coalesce("_before", F.lit(0))).alias("rank"))
+    ranked = salted.withColumn(row, F.row_number().over(W.partitionBy("length", salt).orderBy(*[c for c in parts.columns if c != "length"])))
+    ranked = ranked.join(counts.select("length", salt, before), ["length", salt])
+    ranked = ranked.select(*parts.columns, (F.col(row) - 1 + F.coalesce(before, F.lit(0))).alias(rank))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields]
-    return ranked.mapInPandas(_place(slots), ", ".join([*fields, "sequence_id long", "offset long"]))
+    return ranked.mapInPandas(_place(slots, rank), ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -286,4 +323,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one piece of one id; rows with a null or repeated
+    id are packed each on its own; very long texts are cut into whole
+    sequences after a first, shorter piece; an empty table gives no rows.
+    """
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -86,6 +86,39 @@ def test_plan_holds_the_histogram():
     assert packing.plan({}) == []
 
 
+def test_the_program_places_most_and_needs_no_more_than_best_fit(spark):
+    """Lengths of the largest test table: its tokens below full length, by who places them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    h = {r["length"]: r["n"] for r in packing.pieces(docs).groupBy("length").agg({"*": "count"}).toDF("length", "n").collect()}
+    tokens = sum(n * c for n, c in h.items() if n < 1024)
+    placed, left = packing.programmed(h)
+    assert all(sum(n * m for n, m in p.items()) == 1024 for p, _ in placed)
+    assert sum(c * sum(n * m for n, m in p.items() if n < 1024) for p, c in placed) >= 0.8 * tokens
+    copies = lambda patterns: sum(c for _, c in patterns)
+    assert copies(placed) + copies(packing.best_fit(left, 1024)) <= copies(packing.best_fit(h, 1024))
+
+
+def test_prices_against_brute_force():
+    lengths, values = np.array([3, 4, 9]), np.array([2.0, 3.1, 7.0])
+    best = packing.price(values, lengths, 30)
+    for c in range(31):
+        want = max(2.0 * a + 3.1 * b + 7.0 * d for a in range(11) for b in range(8) for d in range(4) if 3 * a + 4 * b + 9 * d <= c)
+        assert best[c] == pytest.approx(want)
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = [(k, 1 + k % 9, k, 1, 2, 3, 4, 5) for k in range(40)]
+    parts = spark.createDataFrame(rows, "doc_id long, length long, rank int, _rank int, _salt int, _n int, _row int, offset long")
+    got = packing.pack(parts, 16).collect()
+    assert sorted((r["doc_id"], r["length"], r["rank"], r["_rank"]) for r in got) == sorted(r[:4] for r in rows)
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in places.values():
+        ends = [o + n for o, n in sorted(spans)]
+        assert [o for o, _ in sorted(spans)] == [0, *ends[:-1]] and ends[-1] <= 16
+
+
 def test_packing_odd(spark, odd, none):
     assert packing.pack_documents(odd).count() >= len(ODD)
     assert packing.pack_documents(none).count() == 0
