@@ -35,22 +35,28 @@ APART = frozenset("nav footer aside form script style noscript template iframe s
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption summary".split())
 CLOSED_BY_BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_APART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|sidebar|sidenav|menu|nav|navbar|navigation|breadcrumbs?"
-    r"|footer|masthead|comments?|commentlist|respond|repl(?:y|ies)|disqus|shar(?:e|ing)|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|copyright|disclaimer|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+HEAD = frozenset("base link meta noscript script style template title".split())
+LISTS = frozenset("ul ol dl table tbody thead".split())
+BOXES = frozenset("div section span main article center font".split())
+_word = lambda words: re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.IGNORECASE)
+_ADVERTS = _word(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*")
+_COMMENTS = _word(r"comments?|commentlist|respond|repl(?:y|ies)|disqus")
+_APART_NAMES = _word(
+    r"banner|cookies?|consent|gdpr|notice|notification|alert|sidebar|sidenav|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead"
+    r"|shar(?:e|ing)|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|copyright|disclaimer|skip"
 )
 _MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main)(?:[_-](?:body|content|text))?(?:$|\s)", re.IGNORECASE)
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
 class Node:
-    __slots__ = ("tag", "name", "kids", "text", "links", "apart", "main", "size", "_mark")
+    __slots__ = ("tag", "name", "kids", "text", "links", "apart", "said", "main", "size", "_mark")
 
     def __init__(self, tag: str, name: str = ""):
         self.tag, self.name, self.kids = tag, name, []
         self.text, self.links = "", 0
-        self.apart = self.main = False
+        #: Apart by its tag, role or attributes; by the words of its class alone; the main part.
+        self.apart = self.said = self.main = False
         self.size = 1
         self._mark = None
 
@@ -63,15 +69,22 @@ class Node:
 
 
 class _Tree(HTMLParser):
-    """Block elements are nodes; runs of text between them are leaves with the tag "#"."""
+    """Block elements are nodes; runs of text between them are leaves with the tag "#".
+
+    Elements end where the standard lets their end tags be left out: ``head``
+    at the first thing that cannot be in it, ``p`` at blocks, list items and
+    cells at their like. Text of inline elements that are hidden or adverts
+    is left out; such an element ends with the block that it stands in.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}  # tag -> places of its open elements
         self.words: list[str] = []
         self.anchor = self.linked = 0
-        self.mute = 0
+        self.mute: list[tuple[int, str]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -84,60 +97,81 @@ class _Tree(HTMLParser):
 
     def _pop(self, to: int) -> None:
         self.flush()
-        del self.open[max(1, to) :]
+        to = max(1, to)
+        for n in self.open[to:]:
+            self.places[n.tag].pop()
+        del self.open[to:]
+        while self.mute and self.mute[-1][0] >= to:
+            self.mute.pop()
+
+    def _end_head(self) -> None:
+        if self.places.get("head"):
+            self._pop(self.places["head"][-1])
+
+    def _last(self, tag: str) -> int:
+        """The place of the innermost open element of that tag, or 0."""
+        at = self.places.get(tag)
+        return at[-1] if at else 0
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or (tag not in HEAD and tag not in ("html", "head")):
+            self._end_head()
+        if tag in ("html", "body"):
+            return
+        a = {k: v or "" for k, v in attrs}
+        said = " ".join(x for x in (a.get("class"), a.get("id")) if x)
+        hidden = "hidden" in a or a.get("aria-hidden") == "true"
         if tag in INLINE:
             if tag == "a":
                 self.anchor = 1
             elif tag == "br":
                 self.words.append(" ")
-            elif tag in ("span", "label", "small", "em", "strong", "b", "i", "img"):
-                pass
-            return
-        if tag in ("html", "body"):
+            if tag not in VOID and (self.mute or hidden or (said and _ADVERTS.search(said))):
+                self.mute.append((len(self.open) - 1, tag))
             return
         self.flush()
-        stack = [n.tag for n in self.open]
-        if tag in CLOSED_BY_BLOCKS and "p" in stack:
-            self._pop(len(stack) - 1 - stack[::-1].index("p"))
+        if tag in CLOSED_BY_BLOCKS and self._last("p"):
+            self._pop(self._last("p"))
         elif tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k] in ENDS[tag]:
-                    self._pop(k)
-                    break
-                if stack[k] in ("ul", "ol", "dl", "table", "tbody", "thead"):
-                    break
+            inside = max(map(self._last, LISTS))
+            ended = [at for at in map(self._last, ENDS[tag]) if at > inside]
+            if ended:
+                self._pop(min(ended))
         self.anchor = 0
-        a = {k: v or "" for k, v in attrs}
-        said = " ".join(x for x in (a.get("class"), a.get("id")) if x)
         node = Node(tag, re.sub(r"\d+", "", said).strip())
         role = a.get("role", "").lower()
-        node.apart = tag in APART or role in _APART_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(said and _APART_NAMES.search(said))
+        node.apart = tag in APART or role in _APART_ROLES or hidden or bool(self.mute) or bool(said and _ADVERTS.search(said)) or bool(said and _COMMENTS.search(said))
+        node.said = bool(said and _APART_NAMES.search(said))
         node.main = tag in ("article", "main") or role in ("main", "article") or bool(said and _MAIN_NAMES.search(said))
-        if tag in ("article", "main") and not re.search(r"comment|repl|related|promo|teaser|\bads?\b", said, re.IGNORECASE):
-            node.apart = False
+        if tag in ("article", "main") and not hidden and not re.search(r"comment|repl|related|promo|teaser|\bads?\b", said, re.IGNORECASE):
+            node.apart = node.said = False
         self.open[-1].kids.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE:
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag in INLINE:
             if tag == "a":
                 self.anchor = 0
+            if self.mute and self.mute[-1][1] == tag:
+                self.mute.pop()
             return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                self._pop(k)
-                return
-        self.flush()
+        if self._last(tag):
+            self._pop(self._last(tag))
+        else:
+            self.flush()
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip():
+            self._end_head()
+        if self.mute:
+            return
         if self.anchor:
             self.linked += len(data)
         self.words.append(data)
@@ -175,50 +209,68 @@ class Template:
 
     @classmethod
     def of(cls, n: Node) -> Template:
-        return cls(n.tag, n.name, [cls.of(k) for k in n.kids], {n.mark: 1} if n.tag == "#" else {})
+        root = cls(n.tag, n.name, [], {n.mark: 1} if n.tag == "#" else {})
+        todo = [(n, root)]
+        while todo:
+            x, own = todo.pop()
+            for k in x.kids:
+                own.kids.append(cls(k.tag, k.name, [], {k.mark: 1} if k.tag == "#" else {}))
+                todo.append((k, own.kids[-1]))
+        return root
 
     def packed(self, least: int, most: int = 1 << 30) -> list:
-        """Texts of at least ``least`` references, and apart from these the texts of at least ``most``."""
-        some, many = ([d for d, c in self.texts.items() if c >= least and (c >= most) == x] for x in (False, True))
-        return [self.tag, self.name, [k.packed(least, most) for k in self.kids], some, many]
+        """The nodes, parents first, each with its number of children; of texts those of at least ``least`` references, and apart from these those of at least ``most``."""
+        out, stack = [], [self]
+        while stack:
+            n = stack.pop()
+            some, many = ([d for d, c in n.texts.items() if c >= least and (c >= most) == x] for x in (False, True))
+            out.append([n.tag, n.name, len(n.kids), some, many])
+            stack += reversed(n.kids)
+        return out
 
     @classmethod
-    def unpacked(cls, x: list) -> Template:
-        return cls(x[0], x[1], [cls.unpacked(k) for k in x[2]], dict.fromkeys(x[3], 1) | dict.fromkeys(x[4], 2))
-
-
-def align(a: Node, b: Template, most_cells: int = 20_000) -> list[tuple[Node, Template]]:
-    """Pairs of leaves that the largest order-preserving matching of the two trees puts together.
+    def unpacked(cls, rows: list) -> Template:
+        made = [cls(x[0], x[1], [], dict.fromkeys(x[3], 1) | dict.fromkeys(x[4], 2)) for x in rows]
+        lacking: list[list] = []  # open nodes, and how many children they still wait for
+        for x, n in zip(rows, made):
+            if lacking:
+                lacking[-1][0].kids.append(n)
+                lacking[-1][1] -= 1
+                if not lacking[-1][1]:
+                    lacking.pop()
+            if x[2]:
+                lacking.append([n, x[2]])
+        return made[0]
+
+
+def matchings(a: Node, b: Template, most_cells: int = 20_000) -> dict[tuple[int, int], tuple[float, list]]:
+    """Of two trees, and of pairs of their nodes: the weight of the largest order-preserving matching, and the pairs of children in it.
 
     The matching of two nodes is found by dynamic programming over their
-    children. Where the table of two lists would be large, its rows are numpy
-    arrays and only the way back is kept; the matching is as good.
+    children; what it needs of their matchings is computed first, on a stack
+    of its own, so that trees may be of any depth. Where the table of two
+    lists would be large, its rows are numpy arrays and only the way back is
+    kept; the matching is as good.
     """
-    memo: dict[tuple[int, int], tuple[float, list]] = {}
+    known: dict[tuple[int, int], tuple[float, list]] = {}
 
-    def weight(x: Node, y: Template) -> float:
-        """Of a pair with one label; a block with nothing but text needs no table."""
+    def plain(x: Node, y: Template) -> float | None:
+        """The weight of a pair with one label that needs no table."""
         p, q = x.kids, y.kids
         if x.tag == "#":
             return 2.0 if x.mark in y.texts else 1.0
         if len(p) == 1 and len(q) == 1 and p[0].tag == "#" == q[0].tag:
             return 3.0 if p[0].mark in q[0].texts else 2.0
-        if not p or not q:
-            return 1.0
-        return match(x, y)[0]
+        return None if p and q else 1.0
 
-    def match(x: Node, y: Template) -> tuple[float, list]:
-        if x.tag == "#":
-            return weight(x, y), [(x, y)]
-        key = (id(x), id(y))
-        if key in memo:
-            return memo[key]
+    def matching(x: Node, y: Template):
+        """A generator: asks for pairs whose weight it needs and is not known, then leaves its own in ``known``."""
         p, q = x.kids, y.kids
         m, n = len(p), len(q)
         if m * n > most_cells:
-            got = [match(p[i], q[j]) for i, j in _tracks(p, q, weight)]
-            memo[key] = out = (1 + sum(g[0] for g in got), [z for g in got for z in g[1]])
-            return out
+            pairs, total = yield from _tracks(p, q, plain, known)
+            known[id(x), id(y)] = 1 + total, [(p[i], q[j]) for i, j in pairs]
+            return
         names = [(v.tag, v.name) for v in q]
         best = [[0.0] * (n + 1) for _ in range(m + 1)]
         for i in range(m - 1, -1, -1):
@@ -228,9 +280,14 @@ def align(a: Node, b: Template, most_cells: int = 20_000) -> list[tuple[Node, Te
                 if below[j] > right:
                     right = below[j]
                 if names[j] == label and below[j + 1] + u.size * 2 > right:
-                    w = below[j + 1] + weight(u, q[j])
-                    if w > right:
-                        right = w
+                    w = plain(u, q[j])
+                    if w is None:
+                        key = id(u), id(q[j])
+                        if key not in known:
+                            yield u, q[j]
+                        w = known[key][0]
+                    if below[j + 1] + w > right:
+                        right = below[j + 1] + w
                 row[j] = right
         pairs, i, j = [], 0, 0
         while i < m and j < n:
@@ -239,19 +296,47 @@ def align(a: Node, b: Template, most_cells: int = 20_000) -> list[tuple[Node, Te
             elif best[i][j] == best[i][j + 1]:
                 j += 1
             else:
-                pairs += match(p[i], q[j])[1]
+                pairs.append((p[i], q[j]))
                 i, j = i + 1, j + 1
-        memo[key] = out = (1 + best[0][0], pairs)
-        return out
+        known[id(x), id(y)] = 1 + best[0][0], pairs
+
+    stack = [matching(a, b)]
+    while stack:
+        asked = next(stack[-1], None)
+        if asked is None:
+            stack.pop()
+        else:
+            stack.append(matching(*asked))
+    return known
+
+
+def align(a: Node, b: Template, most_cells: int = 20_000) -> list[tuple[Node, Template]]:
+    """Pairs of leaves that the largest matching of the two trees puts together, in page order."""
+    if (a.tag, a.name) != (b.tag, b.name):
+        return []
+    known = matchings(a, b, most_cells)
+    out, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x.tag == "#":
+            out.append((x, y))
+        elif x.kids and y.kids:
+            found = known.get((id(x), id(y)))
+            todo += reversed(found[1] if found else [(x.kids[0], y.kids[0])])  # of a pair without a table: one leaf each
+    return out
 
-    def same(x: Node, y: Template) -> bool:
-        return x.tag == y.tag and x.name == y.name
 
-    return match(a, b)[1] if same(a, b) else []
+def _tracks(p: list[Node], q: list[Template], plain, known: dict):
+    """Like ``matching`` for two long lists, row by row, of which two bits a cell are kept: places of the pairs, and their weight."""
 
+    def weight(u: Node, v: Template):
+        w = plain(u, v)
+        if w is None:
+            if (id(u), id(v)) not in known:
+                yield u, v
+            w = known[id(u), id(v)][0]
+        return w
 
-def _tracks(p: list[Node], q: list[Template], weight) -> list[tuple[int, int]]:
-    """Places of the pairs of a best matching of two long lists: the table of ``match`` row by row, of which two bits a cell are kept."""
     n = len(q)
     at: dict[tuple[str, str], list[int]] = {}
     for j, v in enumerate(q):
@@ -263,7 +348,10 @@ def _tracks(p: list[Node], q: list[Template], weight) -> list[tuple[int, int]]:
         js = places.get((u.tag, u.name))
         if js is not None:
             js = js[below[js + 1] + u.size * 2 > below[js]]
-            gain = below[js + 1] + np.array([weight(u, q[j]) for j in js.tolist()])
+            each = []
+            for j in js.tolist():
+                each.append((yield from weight(u, q[j])))
+            gain = below[js + 1] + np.array(each)
             row[js] = np.maximum(row[js], gain)
             row[:n] = np.maximum.accumulate(row[n - 1 :: -1])[::-1] if n else row[:n]
         rows.append((np.packbits(row[:n] == below[:n]), np.packbits(row[:n] == row[1:])))
@@ -279,26 +367,46 @@ def _tracks(p: list[Node], q: list[Template], weight) -> list[tuple[int, int]]:
         else:
             out.append((i, j))
             i, j = i + 1, j + 1
+    return out, float(below[0])
+
+
+def layouts(pages: list[str]) -> list[tuple[Template, int]]:
+    """A template for every layout of the reference pages, and of how many with different articles it is.
+
+    Pages are of one layout if at least half of the smaller one's leaves find
+    their like in the larger. Layouts of fewer than two different pages have
+    no template.
+    """
+    rest, out = sorted((parse(h) for h in pages), key=lambda t: -t.size), []
+    while len(rest) > 1:
+        template, seen = Template.of(rest[0]), 1
+        size, pairs, others = len(leaves(rest[0])), [[]], []
+        group = rest[:1]
+        for t in rest[1:]:
+            found = align(t, template)
+            if 2 * len(found) >= min(size, len(leaves(t))):
+                group.append(t)
+                pairs.append(found)
+            else:
+                others.append(t)
+        told = _told(group)
+        said = [told[0]]
+        for found, own in zip(pairs[1:], told[1:]):
+            if not own or any(2 * len(own & s) > min(len(own), len(s)) for s in said):
+                continue  # a copy tells nothing about what stays the same
+            said.append(own)
+            seen += 1
+            for n, at in found:
+                at.texts[n.mark] = at.texts.get(n.mark, 0) + 1
+        if seen > 1:
+            out.append((template, seen))
+        rest = others
     return out
 
 
 def induce(pages: list[str]) -> tuple[Template, int] | None:
-    """The template of reference pages, and of how many with different articles; None if there are fewer than two."""
-    trees = sorted((parse(h) for h in pages), key=lambda t: -t.size)
-    if len(trees) < 2:
-        return None
-    template, seen = Template.of(trees[0]), 1
-    told = _told(trees)
-    said = [told[0]]
-    for t, own in zip(trees[1:], told[1:]):
-        if not own or any(2 * len(own & s) > min(len(own), len(s)) for s in said):
-            continue  # a copy tells nothing about what stays the same
-        said.append(own)
-        seen += 1
-        for n, at in align(t, template):
-            d = n.mark
-            at.texts[d] = at.texts.get(d, 0) + 1
-    return (template, seen) if seen > 1 else None
+    """The template of the largest layout; None if no two references are alike but for their articles."""
+    return next(iter(layouts(pages)), None)
 
 
 def _told(trees: list[Node]) -> list[frozenset[str]]:
@@ -309,31 +417,58 @@ def _told(trees: list[Node]) -> list[frozenset[str]]:
     return [frozenset(d for d in t if len(pages) < 4 or 4 * shown[d] < 3 * len(pages)) for t in told]
 
 
-def leaves(root: Node) -> list[tuple[Node, tuple[bool, bool, Node]]]:
-    """Leaves in page order with: inside something apart, inside the main part, their parent."""
-    out, stack = [], [(root, False, False, root)]
+def leaves(root: Node, wrapped: bool = False) -> list[tuple[Node, tuple[bool, bool, Node]]]:
+    """Leaves in page order with: inside something apart, inside the main part, their parent.
+
+    What a class is called sets boxes apart everywhere, but lists, tables and
+    paragraphs of the main part only if they are mostly links: an article may
+    have a menu of dishes. With ``wrapped``, what the boxes around the main
+    part are called does not count.
+    """
+    out, stack = [], [(root, False, False, False, root)]
     while stack:
-        n, apart, main, parent = stack.pop()
+        n, apart, said, main, parent = stack.pop()
         if n.tag == "#":
-            out.append((n, (apart, main, parent)))
+            out.append((n, (apart or said, main, parent)))
             continue
         if n.tag == "header" and not apart:
             apart = not (main and any(k.tag in ("h1", "h2") for k in n.kids))
         apart = apart or n.apart
-        main = main or (n.main and not apart)
-        stack += [(k, apart, main, n) for k in reversed(n.kids)]
+        if n.main and wrapped:
+            said = False
+        said = said or (n.said and (not main or n.tag in BOXES or _linked(n)))
+        main = main or (n.main and not apart and not said)
+        stack += [(k, apart, said, main, n) for k in reversed(n.kids)]
     return out
 
 
+def _linked(root: Node) -> bool:
+    """Whether most of a part's text is in links."""
+    text, links, stack = 0, 0, [root]
+    while stack:
+        n = stack.pop()
+        text, links = text + len(n.text), links + n.links
+        stack += n.kids
+    return 2 * links > text
+
+
 def extract(html: str | None, template: Template | None, seen: int = 0) -> str:
     """The main text: blocks in page order, joined by two line feeds; empty if there is none."""
+    return extract_by(html, [(template, seen)] if template else [])
+
+
+def extract_by(html: str | None, known: list[tuple[Template, int]]) -> str:
+    """The main text by that of the templates which has a place for most of the page's leaves."""
     root = parse(html)
+    pairs = max((align(root, t) for t, seen in known if seen >= 2), key=len, default=[])
+    constant = {id(n): at.texts[n.mark] for n, at in pairs if n.mark in at.texts}
     all_ = leaves(root)
-    constant = {id(n): at.texts[n.mark] for n, at in align(root, template) if n.mark in at.texts} if template and seen >= 2 else {}
+    if not any(main and not apart for _, (apart, main, _) in all_):
+        all_ = leaves(root, wrapped=True)
     inside = [(n, p) for n, (apart, main, p) in all_ if main and not apart]
     if inside:
-        # prose that several articles quote is theirs, until most show it at the same place: then it is the template's, as are all constant parts that no markup calls prose
-        kept = [n for n, p in inside if constant.get(id(n), 0) < (2 if p.tag in PROSE else 1)]
+        # prose that several articles quote is theirs, until most show it at the same place: then it is the template's, as are all constant parts that no markup calls prose, or that are named like boilerplate
+        kept = [n for n, p in inside if constant.get(id(n), 0) < (2 if p.tag in PROSE and not p.said else 1)]
     else:
         kept = [n for n, (apart, _, p) in all_ if not apart and id(n) not in constant and not (2 * n.links > len(n.text) and p.tag != "p")]
     return "\n\n".join(n.text for n in kept)
@@ -347,16 +482,14 @@ def host_of(url):
 
 
 def _induce(pdf: pd.DataFrame) -> pd.DataFrame:
-    found = induce([h for h in pdf.sort_values("bucket")["html"] if h])
-    if not found:
-        return pd.DataFrame({"host": [], "template": [], "seen": []}).astype({"host": str, "template": str, "seen": int})
-    template, seen = found
-    packed = json.dumps(template.packed(max(2, (seen + 1) // 2), max(3, seen // 2 + 1)), separators=(",", ":"))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [packed], "seen": [seen]})
+    rows = []
+    for template, seen in layouts([h for h in pdf.sort_values("bucket")["html"] if h]):
+        rows.append((pdf["host"].iloc[0], json.dumps(template.packed(max(2, (seen + 1) // 2), max(3, seen // 2 + 1)), separators=(",", ":")), seen))
+    return pd.DataFrame(rows, columns=["host", "template", "seen"]).astype({"host": str, "template": str, "seen": int})
 
 
 def templates(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
-    """(host, template, seen) of hosts with at least two different pages.
+    """(host, template, seen): the layouts of hosts with at least two different pages, the largest first.
 
     The references are the pages whose ids hash lowest in each of a few
     buckets: an aggregate that map tasks reduce first, so a host with most of
@@ -370,48 +503,43 @@ def templates(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
 
 def _extract(shipped):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sys_limit()
-        known: dict[str, Template] = {}
+        known: dict[str, list[tuple[Template, int]]] = {}
         for pdf in batches:
             out = []
-            for k, html in enumerate(pdf["html"]):
-                host = pdf["host"].iloc[k]
-                packed, seen = (pdf["template"].iloc[k], pdf["seen"].iloc[k]) if shipped is None else shipped.value.get(host, (None, 0))
-                if packed and host not in known:
+            found = pdf["layouts"] if shipped is None else [shipped.value.get(h) for h in pdf["host"]]
+            for html, host, packed in zip(pdf["html"], pdf["host"], found):
+                if packed is not None and host not in known:
                     if len(known) > 256:
                         known.clear()
-                    known[host] = Template.unpacked(json.loads(packed))
-                out.append(extract(html, known[host] if packed else None, int(seen) if packed else 0))
+                    known[host] = [(Template.unpacked(json.loads(x["template"])), int(x["seen"])) for x in packed]
+                out.append(extract_by(html, known[host] if packed is not None else []))
             text = pd.Series(out, dtype=object)
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": text.str.len().astype("int64") if len(text) else pd.Series([], dtype="int64")})
 
     return run
 
 
-def sys_limit() -> None:
-    """Deeply nested pages are walked by recursion only in the matching; this much depth is allowed for."""
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-
-
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, shipped_bytes: int = SHIPPED_BYTES) -> DataFrame:
     """page_id, url, text, n_chars of every page; null pages have an empty text, null urls no template.
 
     Templates are induced once and written to the shared folder. Up to a
     measured size they are shipped to all tasks; beyond it they are joined by
-    host, where adaptive execution splits a host that has most pages.
+    host, where adaptive execution splits a host that has most pages. Repeated
+    ids keep their rows, other columns are ignored; pages may be nested to any
+    depth.
     """
     spark = pages.sparkSession
     t = saved(templates(pages), "templates")
     p = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"))
     size = t.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0
+    each = t.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("seen", "template")), asc=False).alias("layouts"))
     out = "page_id long, url string, text string, n_chars long"
-    if size <= SHIPPED_BYTES:
-        shipped = spark.sparkContext.broadcast({r["host"]: (r["template"], r["seen"]) for r in t.collect()})
+    if size <= shipped_bytes:
+        shipped = spark.sparkContext.broadcast({r["host"]: [x.asDict() for x in r["layouts"]] for r in each.collect()})
         return p.mapInPandas(_extract(shipped), out)
-    return p.join(t, "host", "left").mapInPandas(_extract(None), out)
+    return p.join(each, "host", "left").mapInPandas(_extract(None), out)
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of all ``pages``; see ``extract_pages`` for nulls, repeated ids and empty pages."""
     return extract_pages(table(spark, sf_dir, "pages"))

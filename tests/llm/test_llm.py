@@ -182,6 +182,84 @@ def test_long_lists_are_matched_like_short_ones():
     assert text.endswith("words 9 139") and text.count("words") == 140
 
 
+def test_ends_that_are_left_out():
+    e = lambda h: html_extract.extract(h, None)
+    assert e("<html><head><title>T</title><body><p>Hello world text</p></body></html>") == "Hello world text"
+    assert e("<head><meta charset=x><title>T</title><p>One") == "One" and e("<head><title>T</title>Two <span>words</span>") == "Two words"
+    assert e("<article><p>Body text.</p><table class='menu prices'><tr><th>Soup<td>4<tr><th>Bread<td>2</table></article>") == "Body text.\n\nSoup\n\n4\n\nBread\n\n2"
+    assert e("<article><p>One <span class='ad' hidden>Buy <b>now</b></span> two <i hidden>x<p>Three <b>four</b></p></article>") == "One two\n\nThree four"
+    assert e("<article><p>One</p><ul class='share'><li><a>x</a><li><a>y</a></ul><div class='related'>Two</div><p class='ad'>Buy</p></article>") == "One"
+    assert e("<div class='has-sidebar'><article><p>One</p></article></div><div class=sidebar>x</div>") == "One"
+    assert e("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == "a\n\nb\n\nc\n\nd"
+
+
+def test_matching_against_brute_force():
+    """The weight of simple tree matching by its definition, on random small trees."""
+    rng = np.random.default_rng(11)
+
+    def some(depth):
+        return "".join(f"<{t}>{some(depth - 1) if depth else rng.choice(list('ab'))}</{t}>" for t in rng.choice(["div", "section"], rng.integers(0, 4))) or str(rng.choice(list("ab")))
+
+    def weight(x, y):
+        if x.tag == "#":
+            return 2 if x.mark in y.texts else 1
+
+        def best(i, j):
+            if i == len(x.kids) or j == len(y.kids):
+                return 0
+            with_ = weight(x.kids[i], y.kids[j]) + best(i + 1, j + 1) if (x.kids[i].tag, x.kids[i].name) == (y.kids[j].tag, y.kids[j].name) else 0
+            return max(with_, best(i + 1, j), best(i, j + 1))
+
+        return 1 + best(0, 0)
+
+    for _ in range(100):
+        x, y = html_extract.parse(some(2)), html_extract.Template.of(html_extract.parse(some(2)))
+        for cells in (20_000, 0):
+            assert html_extract.matchings(x, y, cells)[id(x), id(y)][0] == weight(x, y)
+
+
+def unnamed(html, around):
+    """A page without any name: every element of the body that is not prose is a div; menu, advert and footer are those of ``around``."""
+    cut = lambda h: html_extract.re.search(r"(?s)(.*?<body>)(.*?)(<article>.*</article>)(.*)", h).groups()
+    (head, _, article, _), (_, top, _, bottom) = cut(html), cut(around)
+    return head + html_extract.re.sub(r"<(/?)(?:nav|article|footer|ul|li|a|div)\b[^>]*>", r"<\1div>", top + article + bottom)
+
+
+def test_the_template_decides_where_nothing_is_named(spark):
+    """Real articles, all names taken away, each within the menu, advert and footer of its host's first page: the template finds what names told before.
+
+    The pages as they are have other menus, adverts and footers each, so their hosts show no constant text at all.
+    """
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").withColumn("host", html_extract.host_of("url")).toPandas()
+    pages = pages[pages.groupby("host")["html"].transform("size") >= 3]
+    first = pages.groupby("host")["html"].transform("first")
+    bare = pages.assign(html=[unnamed(h, f) for h, f in zip(pages["html"], first)])
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(bare)).collect()}
+    alone = {k: html_extract.extract(h, None) for k, h in zip(bare["page_id"], bare["html"])}
+    want = {k: html_extract.extract(h, None) for k, h in zip(pages["page_id"], pages["html"])}
+    boiler = lambda got, k: len(set(got[k].split("\n\n")) - set(want[k].split("\n\n")))
+    lost = sum(len(set(want[k].split("\n\n")) - set(got[k].split("\n\n"))) for k in want)
+    assert sum(got[k] != alone[k] for k in want) >= 0.5 * len(want)
+    assert sum(boiler(got, k) for k in want) < 0.5 * sum(boiler(alone, k) for k in want)
+    assert lost <= 0.01 * sum(len(t.split("\n\n")) for t in want.values())
+
+
+def test_deep_pages_pass_through(spark):
+    deep = lambda k: "<div>" * 10_000 + f"<p>story {k} of this site</p>" + "</div>" * 10_000 + "<div>All rights</div>"
+    d = spark.createDataFrame([(k, "http://h/x", deep(k), "x", "y", 1) for k in range(4)], "page_id long, url string, html string, host string, template string, seen int")
+    for shipped in (1 << 24, 0):
+        assert sorted((r["page_id"], r["text"]) for r in html_extract.extract_pages(d, shipped).collect()) == [(k, f"story {k} of this site") for k in range(4)]
+
+
+def test_layouts_have_templates_of_their_own():
+    one = lambda k: f"<div class=a><div>Welcome to us</div><div>story {k}</div><div>more {k}</div></div>"
+    two = lambda k: f"<section class=b><h2>Our shop</h2><section>item {k}</section><section>price {k}</section><section>Buy here</section></section>"
+    found = html_extract.layouts([one(k) for k in range(4)] + [two(k) for k in range(4)])
+    known = [(html_extract.Template.unpacked(json.loads(json.dumps(t.packed(2)))), seen) for t, seen in found]
+    assert [seen for _, seen in known] == [4, 4]
+    assert html_extract.extract_by(one(9), known) == "story 9\n\nmore 9" and html_extract.extract_by(two(9), known) == "item 9\n\nprice 9"
+
+
 def test_pages_odd(spark):
     d = spark.createDataFrame([(1, None, None, 1), (2, "http://h/x", "", 2), (2, "http://h/x", "<article>a</article>", 3), (3, "bad", "<p>t</p>", 4)], "page_id long, url string, html string, text int")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_pages(d).collect()) == [(1, "", 0), (2, "", 0), (2, "a", 1), (3, "t", 1)]
