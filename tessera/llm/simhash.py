@@ -23,16 +23,17 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, row_key, saved, table, text_or_empty
+from tessera.llm.common import cut, row_key, saved, table, text_or_empty, unused
 
 WORDS, SEED, BUDGET = 4, 42, 4
 #: Block widths, from the highest bit; they sum to 64.
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Leaves of one subtrie that a task walks at once; larger ones are dealt out as pairs of parts.
+#: Leaves of one subtrie that a task walks at once; larger ones go down one more block.
 LEAVES = 20_000
+#: Blocks more, at most, that a large subtrie goes down.
+DEEPER = 2
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
 
 
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _orders(fp: str) -> list[Column]:
-    """Per choice of two leading blocks: (order, bits of the blocks, all bits in that order)."""
+    """Per choice of two leading blocks: (order, bits of the blocks, how many these are, all bits in that order)."""
     low = np.cumsum(BLOCKS)
     shifts = [64 - int(x) for x in low]
     part = [f"(shiftrightunsigned({fp}, {s}) & {(1 << n) - 1}L)" for s, n in zip(shifts, BLOCKS)]
@@ -80,7 +81,7 @@ def _orders(fp: str) -> list[Column]:
             terms.append(f"shiftleft({part[x]}, {at})")
         n = BLOCKS[a] + BLOCKS[b]
         bits = " | ".join(terms)
-        out.append(F.expr(f"named_struct('t', {t}, 'head', shiftrightunsigned({bits}, {64 - n}), 'bits', {bits})"))
+        out.append(F.expr(f"named_struct('t', {t}L, 'head', shiftrightunsigned({bits}, {64 - n}), 'lead', {n}, 'bits', {bits})"))
     return out
 
 
@@ -166,9 +167,6 @@ def _half(bits: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, b
         lo = np.where(open_ & ~one, mid + 1, lo)
 
 
-_LEAD = np.array([BLOCKS[a] + BLOCKS[b] for a, b in combinations(range(len(BLOCKS)), 2)])
-
-
 def _walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a partition, sorted by group: whole groups are walked as soon as the next begins."""
 
@@ -177,7 +175,7 @@ def _walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = pdf["bits"].to_numpy().view(np.uint64)
         order = np.lexsort((bits, group))
         group, bits, fp = group[order], bits[order], pdf["fp"].to_numpy()[order]
-        links = walk(bits, group, _LEAD[pdf["t"].to_numpy()[order]])
+        links = walk(bits, group, pdf["lead"].to_numpy()[order])
         a, b = (np.array(x, np.int64) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
         return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
@@ -197,31 +195,76 @@ def _walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done(pd.concat(rest, ignore_index=True))
 
 
-def links(distinct: DataFrame, leaves: int = LEAVES) -> DataFrame:
-    """(a, b): links of at most four differing bits that span every component of ``distinct`` (column fp, no repeats)."""
-    keyed = distinct.select("fp", F.inline(F.array(*_orders("fp"))))
-    keyed = keyed.withColumn("n", F.count("*").over(W.partitionBy("t", "head"))).where("n > 1")
-    small = keyed.where(F.col("n") <= leaves).select("t", "head", F.lit(0).alias("i"), F.lit(0).alias("j"), "bits", "fp")
-    small = small.sortWithinPartitions("t", "head")
-    parts = F.ceil(F.col("n") / (leaves // 2)).cast("int")
-    large = keyed.where(F.col("n") > leaves).withColumn("p", F.pmod(F.xxhash64("fp"), parts).cast("int"))
-    large = large.withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-    large = large.select("t", "head", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "bits", "fp")
-    large = large.repartition("t", "head", "i", "j").sortWithinPartitions("t", "head", "i", "j")
-    out = "a long, b long"
-    return small.mapInPandas(_walks, out).union(large.mapInPandas(_walks, out)).distinct()
-
+def _deeper(lead: int) -> Column:
+    """The orders of a subtrie whose first ``lead`` bits agree: the bits below in five blocks, each of which comes first once.
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    Four differing bits leave one of five blocks equal, so every link of the
+    subtrie is in one of the groups that the blocks' values make.
+    """
+    low = 64 - lead
+    ends = [low * k // 5 for k in range(6)]
+    out = []
+    for u in range(5):
+        a, b = ends[u], ends[u + 1]  # bits a .. b-1 from the lowest
+        mask = lambda n: (1 << n) - 1
+        block = f"(shiftrightunsigned(bits, {a}) & {mask(b - a)}L)"
+        above = f"shiftleft(shiftrightunsigned(bits, {b}) & {mask(low - b)}L, {a})"
+        kept = f"shiftleft(shiftrightunsigned(bits, {low}), {low})"
+        bits = f"({kept} | shiftleft({block}, {low - (b - a)}) | {above} | (bits & {mask(a)}L))"
+        out.append(f"named_struct('t', t * 5 + {u}, 'head', shiftrightunsigned({bits}, {low - (b - a)}), 'lead', {lead + b - a}, 'bits', {bits})")
+    return F.expr(f"array({', '.join(out)})")
+
+
+def links(distinct: DataFrame, leaves: int = LEAVES, tasks: int | None = None) -> DataFrame:
+    """(a, b): links of at most four differing bits that span every component of ``distinct`` (column fp, no repeats).
+
+    Subtries of more than ``leaves`` leaves are counted first, by sums that
+    map tasks begin, and go down one more block, five orders for each row, and
+    another. What is still larger then agrees in about 36 bits; it is dealt
+    out as pairs of parts.
+    """
+    spark = distinct.sparkSession
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    key, out, walked = ["t", "head", "lead"], "a long, b long", []
+
+    def deal(rows: DataFrame) -> None:
+        by = ["t", "head", "i", "j"]
+        walked.append(rows.select(*by, "lead", "bits", "fp").repartition(tasks, *by).sortWithinPartitions(*by).mapInPandas(_walks, out))
+
+    whole = [F.lit(0).alias("i"), F.lit(0).alias("j")]
+    # rows become fifteen each: they are dealt to all tasks before, not to the few that a small table is read by
+    keyed = distinct.select("fp").repartition(tasks, "fp").select("fp", F.inline(F.array(*_orders("fp"))))
+    for level in range(DEEPER + 1):
+        large = saved(keyed.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > leaves), "subtries")
+        leads = sorted(r["lead"] for r in large.select("lead").distinct().collect())
+        deal((keyed.join(large, key, "left_anti") if leads else keyed).select("*", *whole))
+        if not leads:
+            break
+        rest = keyed.join(large, key)
+        if level < DEEPER:
+            below = F.coalesce(*[F.when(F.col("lead") == x, _deeper(x)) for x in leads])
+            keyed = saved(rest.select("fp", F.inline(below)), "deeper")
+        else:
+            parts = F.ceil(F.col("n") / max(1, leaves // 2)).cast("int")
+            rest = rest.withColumn("p", F.pmod(F.xxhash64("fp"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+            deal(rest.select(*key, "bits", "fp", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")))
+    links = walked[0]
+    for more in walked[1:]:
+        links = links.union(more)
+    return links.distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of ``edges`` (a, b) the smallest node that it reaches.
 
-    Large and small stars in turn; every round is checkpointed and the rounds
-    follow the logarithm of the longest chain. Neighbours are only ever
-    reduced to a minimum, so a node with many links is summed map-side.
+    Large and small stars in turn until nothing changes; every round is
+    checkpointed and the rounds follow the logarithm of the longest chain.
+    Neighbours are only ever reduced to a minimum, so a node with many links
+    is summed map-side.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         star = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -242,34 +285,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Every row keeps its place: repeated ids stay repeated, null texts have the
     zero fingerprint, which links like any other. Extra columns are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result. A component of rows without ids has
+    a null component_id.
     """
     known = saved(fingerprints(docs), "fingerprints")
-    distinct = rooted(known.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = distinct.join(distinct.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = least_of_component(known.groupBy("fp").agg(F.min("doc_id").alias("least"))).select("fp", F.col("least").alias("component_id"))
     return known.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def rooted(distinct: DataFrame) -> DataFrame:
-    """Adds root, the smallest fingerprint of the component, to rows of one fingerprint (fp) each."""
-    roots = components(links(distinct.select("fp")))
-    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+def least_of_component(distinct: DataFrame, shares: int = 16) -> DataFrame:
+    """(fp, root, least) of rows (fp, least), one a fingerprint: root is the smallest fingerprint of its component, least becomes the component's.
+
+    Only linked fingerprints are summed by root; the sums are dealt back in
+    ``shares``, so that the largest component is many tasks' work.
+    """
+    roots = components(links(distinct))
+    share = F.pmod(F.xxhash64("fp"), F.lit(shares)).cast("int")
+    known = saved(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "root"), "roots")
+    alone, linked = known.where("root is null").select("fp", F.col("fp").alias("root"), "least"), known.where("root is not null")
+    sums = linked.groupBy("root").agg(F.min("least").alias("least")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return alone.union(linked.select("fp", "root", share.alias("share")).join(sums, ["root", "share"]).select("fp", "root", "least"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of every component: the one with the smallest id, a null id last; of rows that share that id, the one whose key is smallest.
 
-    A row is found again by its id and its key; rows alike in all columns have
-    one fingerprint, so of those of a component any one is left.
+    A row is found again by its id and its key; of rows alike in all columns
+    one is left. Null and empty texts are one component, unless others are as
+    near to the zero fingerprint. All columns are kept; an empty table stays
+    empty.
     """
-    rows = docs.withColumn("_row", row_key(docs))
-    known = saved(fingerprints(rows, ("_row",)), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("one")
-    distinct = rooted(known.groupBy("fp").agg(first))
-    ones = distinct.groupBy("root").agg(F.min("one").alias("one")).select("root", F.col("one.doc_id").alias("_id"), F.col("one._row").alias("_one"))
-    kept = rows.join(ones, (rows["_row"] == ones["_one"]) & rows["doc_id"].eqNullSafe(ones["_id"]))
-    return kept.dropDuplicates(["root"]).select(*docs.columns)
+    key = unused(docs, "row")
+    rows = docs.withColumn(key, row_key(docs))
+    known = saved(fingerprints(rows.select("doc_id", F.col(key).alias("key"), "text"), ("key",)), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("least")
+    ones = least_of_component(known.groupBy("fp").agg(first)).where("fp = root").select(F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_one"))
+    kept = rows.join(ones, (rows[key] == ones["_one"]) & rows["doc_id"].eqNullSafe(ones["_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of all ``documents``; see ``near_duplicates`` for nulls, repeated rows and empty tables."""
     return near_duplicates(table(spark, sf_dir, "documents"))

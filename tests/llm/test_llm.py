@@ -536,10 +536,15 @@ def test_large_groups_are_dealt_out(spark):
     rng = np.random.default_rng(3)
     fps = {int(x) for x in rng.integers(0, 1 << 40, 300)} | {1 << int(k) | 5 << 50 for k in range(40)} | {5 << 50}
     d = spark.createDataFrame([(x,) for x in sorted(fps)], "fp long")
-    edges = simhash.links(d, leaves=8)
-    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     want = brute_fps(sorted(fps))
-    assert {x: got.get(x, x) for x in fps} == want
+    for leaves in (100, 8):
+        got = {r["node"]: r["root"] for r in simhash.components(simhash.links(d, leaves)).collect()}
+        assert {x: got.get(x, x) for x in fps} == want
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    edges = spark.range(300).selectExpr("id as a", "id + 1 as b")
+    assert {r["root"] for r in simhash.components(edges).collect()} == {0}
 
 
 def brute_fps(fps):
