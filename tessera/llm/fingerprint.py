@@ -186,41 +186,74 @@ def _answer(this: tuple, following: tuple) -> tuple:
     return (doc_id, x.n, digest, mark, other, likeness(mark, other), likeness(mark, following[5]), same)
 
 
+#: Bytes of the input, as it is stored, that a range has about.
+RANGE_BYTES = 16 << 20
+NULL_ID = -(1 << 63)
+
+
+def ranges_of(docs: DataFrame) -> int:
+    """Ranges that suit the input: by its files' bytes where the plan knows them, at least as many as tasks."""
+    spark = docs.sparkSession
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, min(size // RANGE_BYTES, 1 << 14))
+
+
 def with_followers(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rows dealt into ranges of ids, each range followed by a guard: the first row of the next range, of the first after the last.
 
-    The driver sees the bounds of the ranges and the least id in each, nothing
-    else; texts are shuffled once.
+    Rows of one id stand in the order of their texts' hashes, and an id that
+    has the rows of several ranges is cut by these hashes. The driver sees the
+    bounds of the ranges and the least place in each, nothing else; texts are
+    shuffled once, every range to a task of its own.
     """
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
-    ranges = ranges or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    quantiles = sorted(set(int(x) for x in ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    place = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_or_empty()).alias("h")]
+    ids = docs.select(place[0])
+    ranges = ranges or ranges_of(docs)
+    bounds = sorted(int(x) for x in ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)) if ranges > 1 else []
     step = 64
-    coarse = F.array(*[F.lit(x) for x in quantiles[step - 1 :: step]]).cast("array<bigint>")
-    fine = F.array(*[F.lit(x) for x in quantiles]).cast("array<bigint>")
-    skip = F.size(F.filter(coarse, lambda b: b <= F.col("id"))) * step
-    pid = (skip + F.size(F.filter(F.slice(fine, skip + 1, step), lambda b: b <= F.col("id")))).alias("pid")
-    least = {r["pid"]: r["id"] for r in ids.withColumn("pid", pid).groupBy("pid").agg(F.min("id").alias("id")).collect()}
-    there = sorted(least)
-    #: By range: its least id, and the range that it guards.
-    first = F.array(*[F.lit(least.get(p)).cast("bigint") for p in range(len(quantiles) + 1)])
-    guards = F.array(*[F.lit(there[there.index(p) - 1] if p in least else None).cast("int") for p in range(len(quantiles) + 1)])
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), text_or_empty().alias("text")).withColumn("pid", pid)
+    coarse = F.array(*[F.lit(x) for x in bounds[step - 1 :: step]]).cast("array<bigint>")
+    fine = F.array(*[F.lit(x) for x in bounds]).cast("array<bigint>")
+
+    def upto(closed: bool):
+        """How many bounds are below the id, or up to it."""
+        test = (lambda b: b <= F.col("id")) if closed else (lambda b: b < F.col("id"))
+        skip = F.size(F.filter(coarse, test)) * step
+        return skip + F.size(F.filter(F.slice(fine, skip + 1, step), test))
+
+    share = (F.shiftright("h", 32) + (1 << 31)) / float(1 << 32)
+    pid = F.when(F.col("high") - F.col("low") > 1, F.col("low") + 1 + F.floor(share * (F.col("high") - F.col("low")))).otherwise(F.col("high")).cast("int").alias("pid")
+    dealt = lambda *cols: docs.select(*cols, *place).withColumn("low", upto(False)).withColumn("high", upto(True)).select("*", pid).drop("low", "high")
+    several = len(set(bounds)) < len(bounds)
+    # texts are read for this only if some id is cut by their hashes
+    starts = dealt() if several else ids.withColumn("h", F.lit(0).cast("long")).withColumn("pid", upto(True).cast("int"))
+    least = {r["pid"]: (r["id"], r["h"]) for r in starts.groupBy("pid").agg(F.min(F.struct("id", "h")).alias("s")).select("pid", "s.*").collect()}
+    there, n = sorted(least), len(bounds) + 1
+    #: By range: its least place, and the range that it guards.
+    first = [F.array(*[F.lit(least[p][k] if p in least else None).cast("bigint") for p in range(n)]) for k in (0, 1)]
+    guards = F.array(*[F.lit(there[there.index(p) - 1] if p in least else None).cast("int") for p in range(n)])
+    rows = dealt("doc_id", text_or_empty().alias("text"))
     own = F.struct("pid", F.lit(False).alias("guard"))
     guard = F.struct(F.element_at(guards, F.col("pid") + 1).alias("pid"), F.lit(True).alias("guard"))
-    at = F.when(F.element_at(first, F.col("pid") + 1) == F.col("id"), F.array(own, guard)).otherwise(F.array(own))
-    rows = rows.select("doc_id", "id", "text", F.explode(at).alias("at")).select("doc_id", "id", "text", "at.pid", "at.guard")
-    return rows.repartition(ranges, "pid").sortWithinPartitions("pid", "guard", "id", "text")
+    opens = F.element_at(first[0], F.col("pid") + 1) == F.col("id")
+    if several:
+        opens = opens & (F.element_at(first[1], F.col("pid") + 1) == F.col("h"))
+    rows = rows.select("doc_id", "id", "h", "text", F.explode(F.when(opens, F.array(own, guard)).otherwise(F.array(own))).alias("at"))
+    rows = rows.select("doc_id", "id", "h", "text", "at.pid", "at.guard")
+    return rows.repartitionById(n, F.col("pid")).sortWithinPartitions("pid", "guard", "id", "h", "text")
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, with their likenesses.
 
     Null texts are empty. Documents follow one another by id, null ids first,
-    equal ids by text; the last is followed by the first, a lone one by itself.
+    equal ids by the XXH64 of their texts, then by text; the last is followed
+    by the first, a lone one by itself. Extra columns are ignored, an empty
+    table gives no rows.
     """
     return with_followers(docs, ranges).select("pid", "doc_id", "guard", "text").mapInPandas(_along, OUT)
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents``; see ``fingerprints`` for nulls, equal ids and empty tables."""
     return fingerprints(table(spark, sf_dir, "documents"))
