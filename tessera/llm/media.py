@@ -76,14 +76,20 @@ def feature(samples: np.ndarray) -> str:
 # ---------------------------------------------------------------- sequences
 
 
+#: Elements that end a run of text.
+BLOCKS = frozenset(
+    "address article aside blockquote body dd details dialog div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table td th tr ul".split()
+)
+
+
 class _Sequence(HTMLParser):
-    """Ordered items of a page; a figure's caption goes to the media in it, an image without one keeps its alt text."""
+    """Ordered items of a page; a figure's caption goes to all media in it, before or after it, an image without one keeps its alt text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.figure: list[dict] | None = None
+        self.figures: list[tuple[list[dict], list[str]]] = []  # media and captions of the figures that are open
         self.caption: list[str] | None = None
         self.mute = 0
 
@@ -99,30 +105,46 @@ class _Sequence(HTMLParser):
             self.mute += 1
         elif tag == "figure":
             self._flush()
-            self.figure = []
-        elif tag == "figcaption" and self.figure is not None:
-            self.caption = []
-        elif tag in ("img", "video", "audio", "source") and a.get("src"):
+            self.figures.append(([], []))
+        elif tag == "figcaption" and self.figures:
             self._flush()
+            self.caption = []
+        elif tag in ("img", "video", "audio", "source", "embed") and a.get("src"):
+            if self.caption is None:
+                self._flush()
             src = a["src"]
-            item = {"kind": "media", "text": None, "digest": src[7:] if src.startswith("sha256:") else hashlib.sha256(src.encode()).hexdigest(), "caption": a.get("alt") or None}
+            item = {"kind": "media", "text": None, "digest": src[7:] if src.startswith("sha256:") else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest(), "caption": a.get("alt") or None}
             self.items.append(item)
-            if self.figure is not None:
-                self.figure.append(item)
-        elif tag in ("p", "div", "h1", "h2", "h3", "li", "article", "section"):
+            if self.figures:
+                self.figures[-1][0].append(item)
+        elif tag == "br":
+            self.handle_data(" ")
+        elif tag in BLOCKS and self.caption is None:
             self._flush()
 
+    def _end_caption(self):
+        if self.caption is not None:
+            self.figures[-1][1].append(" ".join("".join(self.caption).split()))
+            self.caption = None
+
+    def end_figure(self):
+        self._end_caption()
+        self._flush()
+        media, captions = self.figures.pop()
+        said = " ".join(filter(None, captions))
+        if said and not media:
+            self.items.append({"kind": "text", "text": said, "digest": None, "caption": None})
+        for item in media:
+            item["caption"] = said or item["caption"]
+
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.mute = max(0, self.mute - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for item in self.figure or ():
-                item["caption"] = said or item["caption"]
-            self.caption = None
-        elif tag == "figure":
-            self.figure = self.caption = None
-        elif tag in ("p", "div", "h1", "h2", "h3", "li", "article", "section"):
+        elif tag == "figcaption":
+            self._end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+        elif tag in BLOCKS and self.caption is None:
             self._flush()
 
     def handle_data(self, data):
@@ -134,6 +156,8 @@ def sequence_of(html: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(html or "")
     p.close()
+    while p.figures:
+        p.end_figure()
     p._flush()
     return [{"position": k, **item} for k, item in enumerate(p.items)]
 
@@ -154,10 +178,11 @@ def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
     """Media items joined with their payloads' columns by digest; text items and unknown digests keep nulls there.
 
-    ``media`` has one row per digest. The references of a digest that many
-    rows share are narrow, and the join is one that adaptive execution splits.
+    Of rows of ``media`` that share a digest one is taken, so that no item is
+    repeated. The references of a digest that many rows share are narrow, and
+    the join is one that adaptive execution splits.
     """
-    return items.join(media, "digest", "left")
+    return items.join(media.dropDuplicates(["digest"]), "digest", "left")
 
 
 # ---------------------------------------------------------------- whole documents as media
@@ -206,9 +231,22 @@ def document_media(docs: DataFrame) -> DataFrame:
     refs = docs.select(F.col("doc_id").cast("long"), n.cast("long").alias("n_bytes"), digest.alias("digest"))
     page = F.concat(F.lit('<figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure>"))
     items = sequences(refs.select("doc_id", page.alias("html")), "doc_id").where("kind = 'media'")
-    out = resolve(items, measured(media_table(docs)))
+    out = items.join(measured(media_table(docs)), "digest", "left")  # one row a digest already
     return out.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
 
 
+def page_media(pages: DataFrame, media: DataFrame) -> DataFrame:
+    """(page_id, position, kind, text, digest, caption, payload_bytes, media_sha256): the sequences of pages, their media resolved in a table (digest, media)."""
+    return resolve(sequences(pages, "page_id"), measured(media).select("digest", "payload_bytes", "media_sha256")).select(
+        "page_id", "position", "kind", "text", "digest", "caption", "payload_bytes", "media_sha256"
+    )
+
+
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` as sequences of text and media; media are looked up among the stored ``documents``, unknown ones keep nulls."""
+    return page_media(table(spark, sf_dir, "pages"), media_table(table(spark, sf_dir, "documents")))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` stored and read back; see ``document_media``. An empty table gives no rows."""
     return document_media(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ from tessera.llm.chat import op4_chat
 from tessera.llm.fingerprint import op5_fingerprint
 from tessera.llm.html_extract import op2_html
 from tessera.llm.language import op3_language, op3_pages
-from tessera.llm.media import op6_media
+from tessera.llm.media import op6_media, op6_pages
 from tessera.llm.mixing import op8_mixing
 from tessera.llm.packing import op1_packing
 from tessera.llm.quality import op7_quality
@@ -17,7 +17,7 @@ from tessera.llm.simhash import op10_simhash
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_html, op3_language, op3_pages, op4_chat, op5_fingerprint, op6_media, op7_quality, op8_mixing, op9_sharding, op10_simhash)
+    for f in (op1_packing, op2_html, op3_language, op3_pages, op4_chat, op5_fingerprint, op6_media, op6_pages, op7_quality, op8_mixing, op9_sharding, op10_simhash)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
@@ -36,24 +36,33 @@ ORACLES = {
                  first_value(tokens) OVER o AS system_tokens, first_value(n) OVER o AS system_n,
                  lag(tokens, 1) OVER o AS t1, lag(tokens, 2) OVER o AS t2, lag(n, 1) OVER o AS n1, lag(n, 2) OVER o AS n2
           FROM counted WINDOW o AS (PARTITION BY conv_id ORDER BY i)
-        ), cut AS (
-          SELECT *, floor(before / floor((2048 - 512 - least(CASE WHEN has_system THEN system_tokens ELSE 0 END, 1534)) / 2.0)) AS w,
-                 CASE WHEN has_system THEN 2 ELSE 1 END AS oldest
+        ), strode AS (
+          SELECT *, CASE WHEN has_system THEN system_tokens ELSE 0 END AS always, CASE WHEN has_system THEN 2 ELSE 1 END AS oldest,
+                 floor((2048 - 512 - least(CASE WHEN has_system THEN system_tokens ELSE 0 END, 1534)) / 2.0) AS stride
           FROM summed
+        ), cut AS (
+          SELECT *, floor(before / stride) AS cell, tokens > stride AS long FROM strode
         ), opened AS (
-          SELECT *, coalesce(lag(w) OVER (PARTITION BY conv_id ORDER BY i) <> w, false) AS opens,
-                 coalesce(i - 1 >= oldest AND t1 <= 512, false) AS one,
-                 coalesce(i - 1 >= oldest AND t1 <= 512 AND i - 2 >= oldest AND t1 + t2 <= 512, false) AS two
-          FROM cut
+          SELECT *, coalesce(lag(cell) OVER c <> cell OR long OR lag(long) OVER c, false) AND i > 1 AS opens,
+                 CASE WHEN long THEN least(512, 2048 - always - tokens) ELSE 512 END AS room
+          FROM cut WINDOW c AS (PARTITION BY conv_id ORDER BY i)
+        ), repeated AS (
+          SELECT *, opens AND has_system AS three, opens AND coalesce(i - 1 >= oldest AND t1 <= room, false) AS one,
+                 opens AND coalesce(i - 1 >= oldest AND t1 <= room AND i - 2 >= oldest AND t1 + t2 <= room, false) AS two,
+                 sum(opens::INT) OVER (PARTITION BY conv_id ORDER BY i) AS w
+          FROM opened
+        ), laden AS (
+          SELECT *, sum(tokens + CASE WHEN three THEN system_tokens ELSE 0 END + CASE WHEN one THEN t1 ELSE 0 END + CASE WHEN two THEN t2 ELSE 0 END)
+                    OVER (PARTITION BY conv_id, w) > 2048 AS over
+          FROM repeated
         )
         SELECT conv_id, count(*)::BIGINT AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
-               sum(n + CASE WHEN opens AND has_system THEN system_n ELSE 0 END + CASE WHEN opens AND one THEN n1 ELSE 0 END
-                     + CASE WHEN opens AND two THEN n2 ELSE 0 END)::BIGINT AS formatted_chars,
-               count(DISTINCT w)::BIGINT AS n_windows
-        FROM opened GROUP BY conv_id
+               sum(n + CASE WHEN three THEN system_n ELSE 0 END + CASE WHEN one THEN n1 ELSE 0 END + CASE WHEN two THEN n2 ELSE 0 END)::BIGINT AS formatted_chars,
+               count(DISTINCT w)::BIGINT AS n_windows, count(DISTINCT w) FILTER (over)::BIGINT AS n_over
+        FROM laden GROUP BY conv_id
     """,
     "op9_sharding": f"""
         WITH k AS (
