@@ -23,6 +23,8 @@ BUCKETS = 1 << 15
 UNKNOWN = "und"
 #: Share of declarations and addresses that are taken to be right, weight of the parent in a host prior.
 DECLARED, ADDRESS, SMOOTHING, UNKNOWN_PRIOR = 0.9, 0.8, 20.0, 1e-3
+#: Languages that are modelled at most.
+MOST_LANGUAGES = 64
 #: Trigrams of a text count as independent up to about this many.
 TEMPER = 40.0
 _ASCII = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -47,14 +49,20 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": list(seen), "counts": [c.astype("<i8").tobytes() for c in seen.values()]})
 
 
-def fit(docs: DataFrame, per_language: int = 1000) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, per_language: int = 1000, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages and log P(trigram | language), the background last.
 
-    Fitted on the ``per_language`` declared rows of each language whose ids
-    hash lowest -- the documented bound of this classifier's sample.
+    Modelled are the ``most`` languages that the most rows declare, ties by
+    name; a rarer declaration counts as none. Fitted on at most
+    ``per_language`` rows of each, those whose ids hash lowest in each of as
+    many buckets -- the documented bounds of this classifier's sample. Map
+    tasks reduce the buckets first, so a language that most rows declare is no
+    task's work alone. Rows without a text, a language or an id are not used.
     """
-    ranked = docs.where("lang is not null and lang <> '' and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ids = ranked.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language).select("doc_id", "lang")
+    known = docs.where("lang is not null and lang <> '' and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    often = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
+    buckets = known.where(F.col("lang").isin(often)).groupBy("lang", F.pmod("h", F.lit(per_language)).alias("b"))
+    ids = buckets.agg(F.min_by("doc_id", F.struct("h", "doc_id")).alias("doc_id")).select("doc_id", "lang")
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
     rows = sample.select("lang", "text").repartition(8).mapInPandas(_count, "lang string, counts binary").collect()
     langs = sorted({r["lang"] for r in rows})
@@ -149,7 +157,11 @@ def identify(rows: DataFrame, keep: list[str], langs: list[str], model: np.ndarr
 
 
 def identify_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, language, confidence, accepted of every document: ``lang`` is its declaration, ``source`` its host."""
+    """``keep``, language, confidence, accepted of every document: ``lang`` is its declaration, ``source`` its host.
+
+    A null source is a host of its own. Columns besides ``keep``, whatever
+    their names, are not looked at.
+    """
     langs, model = fit(docs)
     rows = docs.select(*keep, "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("address"), F.coalesce("source", F.lit("")).alias("host"))
     return identify(rows, [*keep], langs, model, ["host"])
@@ -176,6 +188,11 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, language, confidence, accepted of all ``documents``.
+
+    Null, empty and letterless texts are "und" and not accepted; null or
+    repeated ids keep their rows; an empty table gives no rows.
+    """
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
