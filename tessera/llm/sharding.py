@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, table, text_or_empty
 
 #: Bits of a key; bytes of a shard at most; bits summed beyond the even depth.
-BITS, LIMIT, SPARE = 60, 16 << 20, 6
+BITS, LIMIT, SPARE = 60, 256 << 10, 6
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -41,8 +41,8 @@ def split(rows: DataFrame, limit: int, top: int, depth: int) -> tuple[DataFrame,
     kids = large.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix")).where(F.col("depth") <= depth)
     roots = sums.where(F.col("depth") == top).select("depth", "prefix")
     final = kids.union(roots).join(large.select("depth", "prefix"), ["depth", "prefix"], "left_anti").join(sums, ["depth", "prefix"])
-    span = F.expr(f"sequence(shiftleft(prefix, cast({depth} - depth as int)), shiftleft(prefix + 1, cast({depth} - depth as int)) - 1)")
-    return final.withColumn("leaf", F.explode(span)), large.where(F.col("depth") == depth).select(F.col("prefix").alias("leaf"))
+    # of the leaves that exist, each finds its bucket among the prefixes above it
+    return each.select("leaf", "depth", at.alias("prefix")).join(final, ["depth", "prefix"]), large.where(F.col("depth") == depth).select(F.col("prefix").alias("leaf"))
 
 
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -80,10 +80,12 @@ def _named(rows: DataFrame, oversized: bool) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """The documents themselves, one folder of Parquet for every shard."""
-    names = assign(docs, limit).select("doc_id", "shard").distinct()
-    docs.join(names, docs["doc_id"].eqNullSafe(names["doc_id"])).drop(names["doc_id"]).repartition("shard").write.partitionBy("shard").parquet(path)
+    """The documents themselves, one folder of Parquet for every shard; a column named shard is replaced."""
+    names = assign(docs, limit).select(F.col("doc_id").alias("_id"), "shard").distinct()
+    rows = docs.drop("shard")
+    rows.join(names, rows["doc_id"].eqNullSafe(names["_id"])).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every row of ``documents``; see ``assign`` for nulls, repeated ids and rows over the limit. An empty table gives no rows."""
     return assign(table(spark, sf_dir, "documents"))

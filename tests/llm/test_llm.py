@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, fingerprint, html_extract, language, media, mixing, packing, quality, registry, sharding, simhash
 from tests.oracle import SF, agree
@@ -281,6 +282,22 @@ def test_language(spark, odd, none):
     assert set(language.keep_identified(odd).columns) == set(odd.columns)
 
 
+def test_text_decides_where_declarations_are_missing_or_wrong(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    langs, model = language.fit(docs)
+    said = docs.where("length(text) > 200").selectExpr("doc_id", "text", "lang AS truth", "cast(null AS string) AS address", "'h' AS host")
+    for declared in (F.lit(None).cast("string"), F.when(F.col("truth") == "en", "fr").otherwise("en")):
+        got = language.identify(said.withColumn("declared", declared), ["doc_id", "truth"], langs, model, ["host"]).collect()
+        assert sum(r["language"] == r["truth"] for r in got) >= 0.97 * len(got)
+
+
+def test_languages_are_bounded(spark):
+    rows = [(k, f"words of kind {k % 3} and more", ("en", "en", "de")[k % 3], "a", 1) for k in range(60)] + [(100 + k, "noise text", f"junk{k}", "a", 1) for k in range(50)]
+    d = spark.createDataFrame(rows, DOCS)
+    assert language.fit(d, most=2)[0] == ["de", "en"]
+    assert language.identify_documents(d).count() == len(rows)
+
+
 def test_pages_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     langs, model = language.fit(docs)
@@ -337,6 +354,20 @@ def test_chat_odd(spark):
     assert chat.read_back(chat.windows(d.limit(0))).count() == 0
 
 
+def test_windows_keep_their_budget(spark):
+    said = [(1, k, ("user", "assistant")[k % 2], "word " * n) for k, n in enumerate([30, 2400, 1800, 5, 1500, 1000, 3000, 8, 300, 400])]
+    said += [(2, 0, "system", "rule " * 40)] + [(2, k + 1, *r[2:]) for k, r in enumerate(said)] + [(3, 0, "system", "rule " * 3000), (3, 1, "user", "hi"), (3, 2, "assistant", "yes")]
+    w = chat.windows(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()
+    long = lambda c: max(n for k, _, _, t in said if k == c for n in [len(t)])
+    for x in w:
+        assert x["over"] == (x["tokens"] > chat.BUDGET) and len(x["formatted"]) <= 4 * x["tokens"]
+        if x["over"]:
+            assert x["formatted"].count(chat.OPEN) == (2 if x["conv_id"] == 2 else 1) or x["conv_id"] == 3
+    assert long(1) > 4 * chat.BUDGET and sum(x["over"] for x in w if x["conv_id"] == 1) == 3  # the turns of over 8192 characters
+    back = {r["conv_id"]: r["n_turns"] for r in chat.read_back(chat.windows(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))).collect()}
+    assert back == {1: 10, 2: 11, 3: 3}
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
@@ -366,6 +397,19 @@ def test_fingerprints_odd(spark, odd, none):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_a_hot_id_is_cut_by_hashes(spark):
+    rows = [(k if k % 2 else 5, f"text {k} " * (1 + k % 7)) for k in range(200)] + [(None, f"nil {k} " * 9) for k in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.fingerprints(d, 9).collect()
+    hashes = {r["text"]: r["h"] for r in d.selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1]))
+    want = [(d, hashlib.sha256(fingerprint.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (d, t) in enumerate(order)]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in got), key=key) == sorted(want, key=key)
+    dealt = fingerprint.with_followers(d, 9)
+    assert dealt.where("not guard").groupBy("pid").count().agg({"count": "max"}).first()[0] < 100
+
+
 # ---------------------------------------------------------------- media
 
 
@@ -387,6 +431,30 @@ def test_sequences_keep_order_and_captions():
     items = media.sequence_of('<p>One</p><figure><img src="sha256:ab" alt="x"><figcaption>Two &amp; three</figcaption></figure>end<img src="u">')
     assert [(i["position"], i["kind"], i["text"], i["caption"]) for i in items] == [(0, "text", "One", None), (1, "media", None, "Two & three"), (2, "text", "end", None), (3, "media", None, None)]
     assert items[1]["digest"] == "ab" and media.sequence_of(None) == []
+    told = lambda h: [(i["kind"], i["text"] or i["caption"]) for i in media.sequence_of(h)]
+    assert told("<figure><figcaption>C</figcaption><img src=x></figure>") == [("media", "C")]
+    assert told("<figure><img src=a><img src=b><figcaption>Both</figcaption></figure><table><tr><td>x<td>y</table>") == [("media", "Both"), ("media", "Both"), ("text", "x"), ("text", "y")]
+    assert told("<figure><figcaption>Alone</figcaption></figure>a<br>b<figure><img src=c alt=d>") == [("text", "Alone"), ("text", "a b"), ("media", "d")]
+
+
+def test_page_media(spark):
+    pages = spark.createDataFrame([(1, "<p>One</p><img src='sha256:ab'>", "x"), (2, None, "y"), (2, "<img src='sha256:zz' alt=q>two", "z")], "page_id long, html string, media string")
+    stored = media.store(media.padded(b"abc"))
+    table = spark.createDataFrame([("ab", bytearray(stored)), ("ab", bytearray(stored))], "digest string, media binary")
+    got = sorted((r["page_id"], r["position"], r["kind"], r["text"], r["digest"], r["payload_bytes"]) for r in media.page_media(pages, table).collect())
+    assert got == [(1, 0, "text", "One", None, None), (1, 1, "media", None, "ab", 192), (2, 0, "media", None, "zz", None), (2, 1, "text", "two", None, None)]
+    all_ = registry.QUERIES["op6_pages"](spark, SF)
+    html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert all_.count() == sum(len(media.sequence_of(h)) for h in html.values())
+
+
+def test_the_feature_by_its_definition():
+    rng = np.random.default_rng(2)
+    for h in (1, 3, 8, 30):
+        x = rng.integers(0, 256, (h, 192)).astype(np.uint8)
+        cells = [[x[i * h // 8 : max(i * h // 8 + 1, (i + 1) * h // 8), 192 * j // 9 : 192 * (j + 1) // 9].astype(float).sum(axis=1).mean() for j in range(9)] for i in range(8)]
+        bits = "".join("1" if row[j] > row[j + 1] else "0" for row in cells for j in range(8))
+        assert media.feature(x) == f"{int(bits, 2):016x}"
 
 
 # ---------------------------------------------------------------- quality
@@ -452,6 +520,10 @@ def test_small_sources_reach_their_targets_at_any_size(spark, monkeypatch):
     text = Counter()
     for r in mixing.mixed_documents(docs).collect():
         text[r["source"]] += len(r["text"].split())
+    twins = spark.createDataFrame([(1, "a b c d", "en", "s", 7), (1, "e f g h", "en", "s", 7), (1, "e f g h", "en", "s", 7), (None, "i j", "en", None, 3), (3, None, "en", "s", 0)], DOCS)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in mixing.mixed_documents(twins).collect())
+    assert got == sorted((r["doc_id"] or 0, r["text"]) for r in mixing.mixed_documents(twins).collect())
+    assert {t[:3] for _, t in got} >= {"a b", "e f", "i j"} and sum(len(t.split()) for _, t in got) == sum(r["taken"] for r in mixing.mix(twins).collect())
     for s, n in sizes.items():
         block = max(1, min(4096, n // 256))
         assert abs(taken[s] - target[s]) <= block and text[s] == taken[s], s
@@ -477,6 +549,16 @@ def test_sharding(spark, odd, none):
     assert sharding.assign(odd).count() == len(ODD) and sharding.assign(none).count() == 0
 
 
+def test_shards_are_written(spark, odd, tmp_path):
+    d = odd.withColumn("shard", F.lit("clash"))
+    sharding.write(d, str(tmp_path / "x"), 1000)
+    back = spark.read.schema("doc_id long, text string, source string, shard string").parquet(str(tmp_path / "x")).collect()
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "", r["source"] or "")
+    assert [key(r) for r in sorted(back, key=key)] == [key(r) for r in sorted(odd.collect(), key=key)]
+    want = {(r["doc_id"], r["shard"]) for r in sharding.assign(odd, 1000).collect()}
+    assert {(r["doc_id"], r["shard"] or "") for r in back} == want or len({s for _, s in want}) > 1
+
+
 # ---------------------------------------------------------------- simhash
 
 
