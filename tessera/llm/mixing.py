@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, table, text_or_empty
+from tessera.llm.common import WORD, row_key, saved, table, text_or_empty, unused
 
 WEIGHTS, MOST = (5, 2, 1), 3
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -107,12 +107,12 @@ def schedule(spark: SparkSession, src: DataFrame, slots: int, cells: int = 256)
     return ranked.select("slot", "source_id", "rank", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block"))
 
 
-def positions(docs: DataFrame, seed: int = 8) -> DataFrame:
-    """Adds ``start``: the words before the row in its source's shuffled stream. Needs source_id and size; keeps all columns."""
+def positions(docs: DataFrame, seed: int = 8, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``start``: the words before the row in its source's shuffled stream, rows of one id by size and ``ties``. Needs source_id and size; keeps all columns."""
     d = docs.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_share", F.shiftrightunsigned("_h", 64 - int(math.log2(SHARES))))
     shares = d.groupBy("source_id", "_share").agg(F.sum("size").alias("_n"))
     shares = shares.select("source_id", "_share", F.coalesce(F.sum("_n").over(W.partitionBy("source_id").orderBy("_share").rowsBetween(*_BEFORE)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum("size").over(W.partitionBy("source_id", "_share").orderBy("_h", "doc_id", "size").rowsBetween(*_BEFORE)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(W.partitionBy("source_id", "_share").orderBy("_h", "doc_id", "size", *ties).rowsBetween(*_BEFORE)), F.lit(0))
     out = d.withColumn("_in", inside).join(shares, ["source_id", "_share"])
     return out.withColumn("start", F.col("_before") + F.col("_in")).drop("_h", "_share", "_in", "_before")
 
@@ -126,25 +126,27 @@ def _first_of(b: str) -> Column:
     return F.expr(f"{b} * (source_size div blocks) + least({b}, source_size % blocks)")
 
 
-def _prepared(docs: DataFrame):
-    rows = sized(docs)
+def _prepared(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Sized rows with their source's numbers, the sources, and all words."""
     src = sources(rows.select("source", "size"))
-    total = src.agg(F.sum("source_size").alias("t"), F.sum("target").alias("g")).first()
+    total = src.agg(F.sum("source_size").alias("t")).first()["t"]
     src = src.withColumn("_key", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
     rows = rows.withColumn("_key", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
     rows = rows.join(src.drop("source"), ["_key", "_null"]).drop("_key", "_null")
-    return rows, src.drop("_key", "_null"), int(total["t"] or 0)
+    return rows, src.drop("_key", "_null"), int(total or 0)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: how many words of every row the mix takes, repeats counted.
 
+    Texts are read once, for their sizes; the rest works on a narrow table.
+
     Null texts and texts without words have size 0 and are never taken; a null
     source is a source. Repeated rows are streamed each on its own. An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
-    rows, src, total = _prepared(docs.select("doc_id", "source", "text"))
+    rows, src, total = _prepared(saved(sized(docs.select("doc_id", "source", "text")).drop("text"), "sizes"))
     rows = rows.select("doc_id", "size", "source_id", "source_size", "target")
     if not total:
         return rows.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
@@ -170,9 +172,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Blocks are drawn in order, so what a source gives is whole rounds of its
     stream and the first words of one more; a document at that edge is cut
     after its last word drawn. ``n_chars`` follows the text where there is one.
+    Rows without words, null texts among them, are never drawn; a null source
+    is a source. Sizes are counted once, and texts meet their draws in one
+    join. All other columns are kept; an empty table stays empty.
     """
     spark, cols = docs.sparkSession, docs.columns
-    rows, src, total = _prepared(docs)
+    # two digests of a whole row tell rows apart; rows alike in all columns share one text
+    keys = [unused(docs, "row"), unused(docs, "again")]
+    keyed = docs.withColumn(keys[0], row_key(docs)).withColumn(keys[1], F.xxhash64(F.lit(1), *docs.columns))
+    narrow = keyed.select("doc_id", "source", *keys, "text").transform(sized).drop("text").withColumnsRenamed({keys[0]: "_row1", keys[1]: "_row2"})
+    rows, src, total = _prepared(saved(narrow, "sizes"))
     if not total:
         return docs.limit(0)
     block = block_tokens(total)
@@ -180,17 +189,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     sums = cut.agg(F.sum("wanted").alias("n"), F.count("*").alias("c")).first()
     slots, cells = int(math.ceil(sums["n"])), max(256, sums["c"])
     drawn = schedule(spark, cut, slots, cells).groupBy("source_id").agg(F.count("*").alias("drawn"))
-    d = positions(rows).join(drawn, "source_id").withColumn("blocks", F.greatest(blocks_of(block), F.lit(1)))
+    d = positions(rows, ties=("_row1", "_row2")).join(drawn, "source_id").withColumn("blocks", F.greatest(blocks_of(block), F.lit(1)))
     edge = _first_of("(drawn % blocks)") - F.col("start")
     d = d.withColumn("_part", F.least(F.greatest(edge, F.lit(0)), F.col("size"))).withColumn("_whole", F.expr("drawn div blocks") + (F.col("_part") == F.col("size")).cast("int")).where("size > 0")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_whole").cast("int")), F.when((F.col("_part") > 0) & (F.col("_part") < F.col("size")), F.array("_part")).otherwise(F.array().cast("array<bigint>")))
-    d = d.withColumn("_words", F.explode(copies))
+    draws = d.select("_row1", "_row2", copies.alias("_draws")).where(F.size("_draws") > 0)
+    texts = keyed.dropDuplicates(keys)
+    d = texts.join(draws, (texts[keys[0]] == draws["_row1"]) & (texts[keys[1]] == draws["_row2"])).withColumn("_words", F.explode("_draws"))
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), 1, F.col("_words").cast("int")), " ")
-    d = d.withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(words))
+    new = {"text": F.when(F.col("_words") < 0, F.col("text")).otherwise(words)}
     if "n_chars" in cols:
-        d = d.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return d.select(*cols)
+        new["n_chars"] = F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length(words)).cast(docs.schema["n_chars"].dataType)
+    return d.select(*[new[c].alias(c) if c in new else texts[c] for c in cols])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents``, a row each; see ``mix`` for nulls, rows without words and empty tables."""
     return mix(table(spark, sf_dir, "documents"))
