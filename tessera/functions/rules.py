@@ -71,7 +71,7 @@ SINKS = {
         ("lxml.etree.parse(", "high"), ("lxml.etree.fromstring(", "high"), ("libxmljs.parseXml(", "high"), ("xml2js.parseString(", "medium"),
     ],
     "ldap_injection": [
-        ("conn.search(", "high"), ("conn.search_s(", "high"), ("connection.search(", "high"), ("ldap.search(", "high"), ("ldap.search(", "high"),
+        ("conn.search(", "high"), ("conn.search_s(", "high"), ("connection.search(", "high"), ("ldap.search(", "high"),
         ("ldapjs.search(", "high"),
     ],
     "nosql_injection": [

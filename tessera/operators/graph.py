@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import written
+
 
 def reverse_index(edges: DataFrame) -> DataFrame:
     """(symbol_id, caller_id) of edges (source, target), each once."""
@@ -20,33 +22,54 @@ def reference_counts(edges: DataFrame) -> DataFrame:
 def impact(edges: DataFrame, root: Column | str, depth: int = 3) -> DataFrame:
     """(id, level): what depends on ``root`` through at most ``depth`` edges, with the least level.
 
-    A frontier join per level, each against the ids not seen before; levels
-    are few and the plan stays lazy.
+    Edges are written once, dealt and sorted by what they lead to; so is every
+    level's frontier, so that a level costs one join whatever came before it.
+    The walk ends with the first empty frontier.
     """
-    start = edges.sparkSession.range(1).select((F.lit(root) if isinstance(root, str) else root).alias("id"), F.lit(0).alias("level"))
-    seen = frontier = start
-    step = edges.select(F.col("target").alias("id"), F.col("source").alias("next"))
+    spark = edges.sparkSession
+    frontier = written(spark.range(1).select((F.lit(root) if isinstance(root, str) else root).alias("id"), F.lit(0).alias("level")), "frontier")
+    step = written(edges.select(F.col("target").alias("id"), F.col("source").alias("next")).where("id is not null").distinct().repartition("id").sortWithinPartitions("id"), "edges")
+    levels = [frontier]
     for level in range(1, depth + 1):
-        nxt = frontier.join(step, "id").select(F.col("next").alias("id")).distinct()
-        frontier = nxt.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level))
-        seen = seen.union(frontier)
-    return seen
+        new = frontier.join(step, "id").select(F.col("next").alias("id")).distinct()
+        for seen in levels:
+            new = new.join(seen.select("id"), "id", "left_anti")
+        frontier = written(new.withColumn("level", F.lit(level)), "frontier")
+        if frontier.isEmpty():
+            break
+        levels.append(frontier)
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.union(more)
+    return out
+
 
+def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = 8, branch: int | None = 10) -> DataFrame:
+    """(start, path, ended) along edges (source, target) from ``starts`` (id), no node twice.
 
-def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = 8, branch: int = 10) -> DataFrame:
-    """(start, path, ended) along edges (source, target) from ``starts`` (id): at most ``branch`` next nodes each, by id, no node twice."""
-    fan = edges.distinct().withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("target"))).where(F.col("r") <= branch)
-    fan = fan.select(F.col("source").alias("at"), "target")
+    At most ``branch`` next nodes each are followed, by id; a path whose last
+    node had more is marked once more, as "branch". None follows all. Every
+    level is written, so that the plan grows by one join a level.
+    """
+    e = written(edges.select("source", "target").distinct(), "edges")
+    fan = e.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("target")))
+    fan = fan.select(F.col("source").alias("at"), "target", "r")
     live = starts.select(F.col("id").alias("start"), F.array("id").alias("path"))
-    done = None
-    for level in range(depth):
+    done = []
+    for _ in range(depth):
         j = live.withColumn("at", F.element_at("path", -1)).join(fan, "at", "left")
-        j = j.withColumn("ok", F.col("target").isNotNull() & ~F.array_contains("path", F.coalesce("target", F.lit(""))))
-        dead = j.groupBy("start", "path").agg(F.max(F.col("ok").cast("int")).alias("any")).where("any = 0")
-        dead = dead.select("start", "path", F.lit("leaf").alias("ended"))
-        done = dead if done is None else done.union(dead)
-        live = j.where("ok").select("start", F.concat("path", F.array("target")).alias("path"))
-    return done.union(live.select("start", "path", F.lit("depth").alias("ended")))
+        j = written(j.withColumn("ok", F.col("target").isNotNull() & ~F.array_contains("path", F.coalesce("target", F.lit("")))), "paths")
+        within = F.lit(True) if branch is None else F.coalesce(F.col("r") <= branch, F.lit(True))
+        ends = j.groupBy("start", "path").agg(F.max((F.col("ok") & within).cast("int")).alias("any"), F.max((~within).cast("int")).alias("more"))
+        done.append(ends.where("any = 0 and more = 0").select("start", "path", F.lit("leaf").alias("ended")))
+        done.append(ends.where("more = 1").select("start", "path", F.lit("branch").alias("ended")))
+        live = j.where(F.col("ok") & within).select("start", F.concat("path", F.array("target")).alias("path"))
+        if live.isEmpty():
+            break
+    out = live.select("start", "path", F.lit("depth").alias("ended"))
+    for rows in done:
+        out = out.union(rows)
+    return out
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -62,21 +85,18 @@ def two_cycles(edges: DataFrame) -> DataFrame:
     return fwd.join(back, ["a", "b"], "left_semi")
 
 
-def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """(id, root) of edges (a, b) by least label with pointer jumping; every round is a reliable checkpoint if a folder is set."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) of edges (a, b) by least label with pointer jumping, until nothing changes; every round is written to the shared folder."""
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
-    spark = edges.sparkSession
-    for _ in range(most_rounds):
+    changed = True
+    while changed:
         near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("root").alias("m"))
         low = label.join(near, label["id"] == near["a"]).select("id", F.least("root", "m").alias("low"), F.col("root").alias("old"))
         up = label.select(F.col("id").alias("low"), F.col("root").alias("above"))
-        nxt = low.join(up, "low").select("id", F.least("low", "above").alias("root"), "old")
-        nxt = nxt.checkpoint() if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else nxt.cache()
+        nxt = written(low.join(up, "low").select("id", F.least("low", "above").alias("root"), "old"), "labels")
         changed = not nxt.where("root <> old").isEmpty()
         label = nxt.select("id", "root")
-        if not changed:
-            break
     return label
 
 

@@ -21,13 +21,24 @@ from tessera.sources.code import dotted
 
 # ------------------------------------------------------------------ line rules
 
-#: Marks of dummy values, of lines that only speak of a call, of passwords that are none.
-PLACEHOLDERS = "xxx|your-|example|placeholder|changeme|todo|fixme|replace|insert|<your|sk-xxx|pk-xxx|test_|fake_|mock_|process\\.env|os\\.environ|os\\.getenv|env\\.|\\$\\{|\\{\\{|\\}\\}|params\\.|config\\."
-TALK = r"""(?i)^\s*(?:#|//|\*)|without|instead of|not use|r"|r'|assert|expect|\"\"\"|'''"""
-NO_PASSWORD = (
-    r"""(?i)type=["']password["']|:type=.*password|^(?!.*://).*(?:/password|-password|_password:|password/)|password["']?\s*:\s*["']password|(?:const|let|var)\s+password\s*=|"""
-    r"""password["']?\s*[=:]\s*[a-z_][\w.]*\s*[,)}]|v-model|:password|@password|(?:log|error|warn|info|debug)\(|password123|test123|12345678|testpassword|admin123|["'][^"']*password[^"']*["']"""
-)
+#: Marks of dummy values.
+PLACEHOLDERS = [
+    "xxx", "your-", "example", "placeholder", "changeme",
+    "todo", "fixme", "replace", "insert", "<your",
+    "sk-xxx", "pk-xxx", "test_", "fake_", "mock_",
+    "process.env", "os.environ", "os.getenv", "env.",
+    "${", "{{", "}}", "params.", "config.",
+]
+#: What shows that a line only speaks of a password: paths, keys beside a text about passwords, bindings, messages, values of tests.
+PASSWORD_PATHS = ["/password", "-password", "_password:", "password/"]
+PASSWORD_KEYS = ["password_", "password.", "_password", "password:"]
+PASSWORD_BINDINGS = ["v-model", ":password", "@password"]
+MESSAGES = ["log(", "error(", "warn(", "info(", "debug("]
+TEST_PASSWORDS = ["password123", "test123", "12345678", "testpassword", "admin123"]
+#: What shows that a line only speaks of a call.
+TALK_STARTS = ["#", "//", "*", '"""', "'''"]
+TALK_WORDS = ["without", "instead of", "not use", "assert", "expect"]
+TALK_MARKS = ['r"', "r'", '"""', "'''"]
 EXTENSIONS = {"python": ["py"], "javascript": ["js", "jsx", "mjs", "cjs"], "typescript": ["ts", "tsx"], "vue": ["vue"], "go": ["go"], "java": ["java"], "php": ["php"], "ruby": ["rb"]}
 SEVERITIES = ["critical", "high", "medium", "low"]
 
@@ -36,6 +47,36 @@ def extension(path: Column) -> Column:
     return F.lower(F.substring_index(path, ".", -1))
 
 
+def has_any(c: Column, parts: list[str]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | c.contains(p)
+    return out
+
+
+def no_password(line: Column) -> Column:
+    """Whether a line that names a password holds none: an input field, a path, a type, a variable, a text key, a message, a test's value."""
+    low = F.lower(line)
+    field = low.contains("type=") & low.contains("password") & (low.contains('type="password"') | low.contains("type='password'") | low.contains(":type="))
+    path = has_any(low, PASSWORD_PATHS) & ~low.contains("://")
+    quote = r"""["']"""
+    typed = low.rlike(rf"password{quote}?\s*:\s*{quote}password")
+    variable = low.rlike(r"(?:const|let|var)\s+password\s*=") | line.rlike(rf"password{quote}?\s*[=:]\s*[a-zA-Z_][\w.]*\s*[,)}}]")
+    key = has_any(low, PASSWORD_KEYS) & low.rlike(rf"{quote}[^\"']*password[^\"']*{quote}")
+    return field | path | typed | variable | key | has_any(low, PASSWORD_BINDINGS) | has_any(low, MESSAGES) | has_any(low, TEST_PASSWORDS)
+
+
+def only_talk(line: Column, call: str) -> Column:
+    """Whether a line only speaks of ``call``: a comment, a text about it, a pattern that looks for it, a check of a test."""
+    low, begun = F.lower(line), F.ltrim(line)
+    starts = F.lit(False)
+    for mark in TALK_STARTS:
+        starts = starts | begun.startswith(mark)
+    pattern = line.rlike(r"""["'].*\\b""" + re.escape(call.replace("()", "")) + r""".*["']""")
+    redis = low.contains("redis") & F.lit("eval" in call)
+    return starts | has_any(low, TALK_WORDS) | has_any(line, TALK_MARKS) | pattern | redis
+
+
 def line_findings(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, line, rule, severity, code): every rule of a line's language that the line meets; secret values are masked.
 
@@ -43,12 +84,12 @@ def line_findings(files: DataFrame, path: str = "path", text: str = "text") -> D
     """
     l = numbered_lines(files.where(F.col(text).isNotNull()), path, text).withColumn("e", extension(F.col(path)))  # noqa: E741
     c, code = F.col("content"), F.trim("content")
-    dummy, comment = c.rlike("(?i)" + PLACEHOLDERS), code.rlike(r"^(?:#|//|\*)")
+    dummy, comment = has_any(F.lower(c), PLACEHOLDERS), code.rlike(r"^(?:#|//|\*)")
     hit = lambda when, rule, severity, secret=False: F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(secret).alias("secret")))
     tests = [hit(c.rlike("(?i)" + p) & ~dummy & ~comment, n, "critical", True) for p, n in R.SECRETS]
-    tests += [hit(c.rlike("(?i)" + R.PASSWORD) & ~dummy & ~comment & ~c.rlike(NO_PASSWORD), "Password", "critical", True)]
+    tests += [hit(c.rlike("(?i)" + R.PASSWORD) & ~dummy & ~comment & ~no_password(c), "Password", "critical", True)]
     tests += [hit(c.rlike(p) & ~comment, n, "high") for p, n in R.SQL_RISKS]
-    tests += [hit(c.rlike(p) & ~c.rlike(TALK) & ~(c.rlike("(?i)redis") & F.lit("eval" in n)), n, "high") for p, n in R.UNSAFE_CALLS]
+    tests += [hit(c.rlike(p) & ~only_talk(c, n), n, "high") for p, n in R.UNSAFE_CALLS]
     tests += [hit(c.rlike(p) & ~comment, n, "medium") for p, n in R.LEAKS]
     for name, severity, languages, pattern in R.LINE_RULES:
         ends = [e for language in languages.split() for e in EXTENSIONS.get(language, [])]

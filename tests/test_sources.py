@@ -285,3 +285,44 @@ def test_function_metrics(spark):
     assert rows(out, "name", "lines", "depth", "params", "branches", "returns", "score") == [("f", 7, 2, 4, 4, 2, 0), ("g", 6, 2, 1, 1, 2, 0)]
     long = metrics.scored(spark.createDataFrame([("p", "a.vue", "f", 1, 110, 4, 6, 12, 0), ("p", "a.py", "f", 1, 110, 0, 0, 0, 0)], metrics.SCHEMA))
     assert rows(long, "score", "issues") == [(10, ["too long", "too deep", "too many parameters", "too many branches"]), (3, ["too long"])]
+
+
+def test_declarations_of_typescript_by_grammar():
+    text = """export default async function load<T extends Map<string, number>>(a: T, b = (1, 2)): Promise<Array<T>> {
+}
+export abstract class Box<T> extends base.Thing<T> implements One, Two<T> {
+}
+export const useIt: (x: number) => void = async (x) => { go(x) }
+const hidden = (x) => x
+export interface Shape extends A, B<C> {
+}
+type Id<T> = string
+function* gen() {
+}
+@Controller('users') class C {}
+@Get(':id')
+app.post('/x', save)
+"""
+    rows = code.parse("p", "a.ts", text)
+    got = sorted((r["kind"], r["name"], tuple(r["params"]), r["returns"]) for r in rows if r["row"] == "symbol")
+    assert got == [
+        ("api", "GET /users/:id", (), ""), ("api", "POST /x", (), ""), ("class", "Box", (), ""), ("composable", "useIt", ("x",), ""), ("function", "gen", (), ""),
+        ("function", "load", ("a", "b"), "Promise<Array<T>>"), ("interface", "Shape", (), ""), ("type", "Id", (), ""),
+    ]
+    kin = sorted((r["kind"], r["name"]) for r in rows if r["row"] == "edge" and r["kind"] in ("extends", "implements"))
+    assert kin == [("extends", "A"), ("extends", "B"), ("extends", "base.Thing"), ("implements", "One"), ("implements", "Two")]
+
+
+def test_templates_use_components_only():
+    text = "<template><keep-alive><user-card/><linearGradient/><Teleport/></keep-alive></template><script setup></script>"
+    assert [r["name"] for r in code.parse("p", "A.vue", text) if r["kind"] == "uses"] == ["UserCard"]
+
+
+def test_lines_that_only_speak_of_passwords_and_calls(spark):
+    said = [
+        'passwd = "superpassword99"', 'passwd = "supersecure99"', 'x.password_hint = "the password is long"', 'pwd = "abcdefgh12" # /password/new', "<input type='password' pwd='abcdefgh12'>",
+        "eval(x)", "use it without eval(x)", 're.compile("\\\\beval(x")', "assert eval(x)",
+    ]
+    d = spark.createDataFrame([("a.py", "\n".join(said))], "path string, text string")
+    got = {(r["line"], r["rule"]) for r in S.line_findings(d).collect()}
+    assert {n for n, rule in got if rule == "Password"} == {1, 2} and {n for n, rule in got if rule == "eval()"} == {6}
