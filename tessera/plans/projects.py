@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import written
+from tessera.operators import keyword as K
+from tessera.operators import preview as P2
+from tessera.operators import requests as Q
 from tessera.operators import resolution as R
 from tessera.plans.registry import query
 from tessera.sources import code as P
@@ -161,3 +164,91 @@ SELECT 'p' || s_nationkey, 'lib/s' || s_suppkey || '.py:method:Kind' || s_suppke
 def code_reference_counts(spark, sf):
     symbols, edges, files = scanned(spark, sf)
     return R.counts(R.reverse_of_files(symbols, edges, files))
+
+
+def _symbols(spark, sf):
+    """Parts as symbols: their names as names, their types as summaries."""
+    return load(spark, sf, "part").select(
+        F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_brand").alias("project"), F.concat(F.lit("src/"), "p_partkey", F.lit(".py")).alias("path"),
+        F.when(F.col("p_size") % 2 == 0, "function").otherwise("class").alias("kind"), F.split("p_name", " ")[0].alias("name"), F.col("p_type").alias("summary"),
+        F.lit("").alias("content"), F.col("p_size").alias("refs"), (F.col("p_size") % 5 == 0).alias("exported"), F.lit(1).alias("start_line"),
+    )
+
+
+@query("""
+WITH s AS (SELECT 'part:' || p_partkey AS id, p_brand AS project, 'src/' || p_partkey || '.py' AS path, lower(split_part(p_name, ' ', 1)) AS name, split_part(p_name, ' ', 1) AS shown,
+  CASE p_size % 2 WHEN 0 THEN 'function' ELSE 'class' END AS kind, lower(p_type) AS summary, p_size FROM part),
+m AS (SELECT *, CASE WHEN abs(length(name) - 5) > greatest(length(name), 5) * 0.5 THEN 0 ELSE 1 - levenshtein(name, 'steel') / greatest(length(name), 5) END AS near FROM s),
+b AS (SELECT *, CASE WHEN contains(name, 'steel') THEN 10 ELSE 0 END + CASE WHEN name = 'steel' THEN 20 ELSE 0 END + CASE WHEN near >= 0.6 THEN near * 15 ELSE 0 END + CASE WHEN contains(summary, 'steel') THEN 5 ELSE 0 END AS base FROM m)
+SELECT id, project, path, shown AS name, kind, round(base + CASE kind WHEN 'function' THEN 10 ELSE 8 END + least(p_size * 0.5, 10) + CASE WHEN p_size % 5 = 0 THEN 3 ELSE 0 END, 1) AS score,
+  concat_ws(', ', CASE WHEN contains(name, 'steel') THEN 'name' END, CASE WHEN near >= 0.6 THEN 'fuzzy' END, CASE WHEN contains(summary, 'steel') THEN 'summary' END) AS match
+FROM b WHERE base > 0 ORDER BY score DESC, id LIMIT 50
+""")
+def keyword_search(spark, sf):
+    return K.keyword_search(_symbols(spark, sf), "steel", k=50)
+
+
+@query("""
+WITH d AS (SELECT l_orderkey AS id, count(*) AS files, bool_or(l_returnflag = 'R') AS api, bool_or(l_linestatus = 'F' AND l_shipdate IS NOT NULL) AS gone,
+  count(*) FILTER (l_returnflag <> 'A') AS added, 2 * count(*) FILTER (l_linestatus = 'F') AS deleted FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+s AS (SELECT *, CASE WHEN files > 20 THEN 20 WHEN files > 10 THEN 10 WHEN files > 5 THEN 5 ELSE 0 END + CASE WHEN added > 0 AND deleted > 2 * added THEN 10 ELSE 0 END + CASE WHEN api THEN 15 ELSE 0 END + CASE WHEN gone THEN 20 ELSE 0 END AS score FROM d)
+SELECT id, files, added, deleted, concat_ws(',', CASE WHEN api THEN 'api' END, CASE WHEN gone THEN 'breaking' END) AS touches, score,
+  CASE WHEN score >= 70 THEN 'critical' WHEN score >= 45 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS level FROM s
+""")
+def request_risk(spark, sf):
+    """Every order a change request, every line item a file of it: returned ones touch routes, closed ones drop a function."""
+    name = F.concat(F.when(F.col("l_returnflag") == "R", F.lit("src/api/p")).otherwise(F.lit("src/p")), "l_partkey", F.lit("_"), "l_linenumber", F.lit(".py"))
+    plus = F.when(F.col("l_returnflag") != "A", F.lit("+x = 1\n")).otherwise("")
+    minus = F.when(F.col("l_linestatus") == "F", F.lit("-def gone(a, b):\n-    return a\n")).otherwise("")
+    section = F.concat(F.lit("diff --git a/x b/x\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1 +1 @@\n"), minus, plus, F.lit(" same"))
+    l = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.collect_list(section), "\n").alias("text"))  # noqa: E741
+    return Q.risk(l.join(load(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), "id"))
+
+
+@query(
+    SQL
+    + """
+, t AS (SELECT 'p' || n AS project, 'lib/s' || s || '.py:function:help' || s AS target, count(k) AS sites FROM f LEFT JOIN c USING (n, s) GROUP BY ALL)
+SELECT project || ':' || target AS target, sites, CASE WHEN sites > 0 THEN 1 ELSE 0 END AS projects, CASE WHEN sites = 0 THEN 'safe' WHEN sites > 3 THEN 'high' ELSE 'moderate' END AS risk, 'All call sites will break.' AS meaning FROM t
+"""
+)
+def edit_preview(spark, sf):
+    """What deleting each nation's first helper would break."""
+    symbols, edges, files = scanned(spark, sf)
+    full = lambda c: F.concat("project", F.lit(":"), F.col(c))
+    found = R.resolved(symbols, edges).where("found is not null")
+    callers = found.select(full("found").alias("symbol_id"), full("source").alias("caller_id"))
+    contents = R.contents(symbols, files).select(full("id").alias("id"), "content")
+    s = symbols.withColumn("id", full("id"))
+    first = load(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s"))
+    targets = first.select(F.concat(F.lit("p"), "s_nationkey", F.lit(":lib/s"), "s", F.lit(".py:function:help"), "s").alias("id"))
+    return P2.edit_risk(P2.call_sites(callers, s, contents, targets), targets, "delete")
+
+
+@query(
+    SQL
+    + """
+SELECT 'p' || s_nationkey || ':lib/s' || s_suppkey || '.py:function:table' || s_suppkey AS target, false AS entry, 4 AS nodes, 'p' || n || ':app/c' || k || '.py:function:run' || k AS first
+FROM supplier JOIN c ON s = s_suppkey UNION ALL
+SELECT 'p' || s_nationkey || ':lib/s' || s_suppkey || '.py:function:table' || s_suppkey, false, 3, 'p' || s_nationkey || ':lib/s' || s_suppkey || '.py:function:help' || s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT s FROM c)
+"""
+)
+def trace_up(spark, sf):
+    """Paths down to every library's table: from programs where the library is called."""
+    symbols, edges, files = scanned(spark, sf)
+    full = lambda c: F.concat("project", F.lit(":"), F.col(c))
+    known = R.reverse_of_files(symbols, edges, files).where("caller_id not like '%:file:%'")
+    callers = written(known.select(full("symbol_id").alias("symbol_id"), full("caller_id").alias("caller_id")), "callers")
+    s = symbols.select(full("id").alias("id"), "kind", "name", F.lit(False).alias("exported"), F.lit(1).alias("refs"))
+    targets = symbols.where("name like 'table%'").select(full("id").alias("id"))
+    return P2.trace_up(callers, s, targets).select("target", "entry", F.size("path").alias("nodes"), F.element_at("path", 1).alias("first"))
+
+
+@query("""
+SELECT 'api/s' || s_suppkey || '.py' AS path, line, CASE line WHEN 1 THEN CASE s_nationkey % 3 WHEN 0 THEN 'wrong_key' WHEN 1 THEN 'missing_ok' END END AS issue FROM supplier, (VALUES (1), (3)) l(line)
+""")
+def answer_forms(spark, sf):
+    """Every supplier a file of an interface that answers twice."""
+    first = F.when(F.expr("s_nationkey % 3 = 0"), F.lit('return {"success": 1}')).when(F.expr("s_nationkey % 3 = 1"), F.lit('return {"data": 1}')).otherwise(F.lit('return {"ok": 1, "data": 2}'))
+    text = F.concat(first, F.lit("\n# return {}\nreturn {'ok': False}\n"))
+    return Q.answers(load(spark, sf, "supplier").select(F.concat(F.lit("api/s"), "s_suppkey", F.lit(".py")).alias("path"), text.alias("text"))).select("path", "line", "issue")
