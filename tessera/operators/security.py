@@ -18,6 +18,7 @@ from tessera.functions import rules as R
 from tessera.operators.quality import numbered_lines
 from tessera.sources.arrow import batches
 from tessera.sources.code import dotted
+from tessera.sources.rulebook import Taint
 
 # ------------------------------------------------------------------ line rules
 
@@ -121,7 +122,7 @@ def line_flows(files: DataFrame, path: str = "path", text: str = "text") -> Data
 FLOW = "path string, row string, function string, line int, origin string, param int, category string, severity string, target string, arg int"
 FLOW_ARROW = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (c.split() for c in FLOW.split(", "))])
 HOPS = 3
-SOURCE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(R.SOURCES["python"], key=len, reverse=True))) + ")")
+BUILT_IN = Taint.of(R.SOURCES, R.SINKS, R.SANITIZERS)
 
 
 def _matches(call: str, pattern: str) -> bool:
@@ -131,23 +132,30 @@ def _matches(call: str, pattern: str) -> bool:
     return at >= 0 and not call[at + len(want) : at + len(want) + 1].isalnum()
 
 
+def source_pattern(rules: Taint) -> re.Pattern:
+    """What finds a source in Python text; rules without one find nothing."""
+    names = sorted(rules.sources.get("python", []), key=len, reverse=True)
+    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, names)) + ")" if names else r"(?!)")
+
+
 class _Flows:
     """One function's variables and the origins of what they hold: a source's text, or ``param:name``."""
 
-    def __init__(self, path: str, function: str, params: list[str]):
+    def __init__(self, path: str, function: str, params: list[str], rules: Taint, sources: re.Pattern):
         self.path, self.function, self.rows = path, function, []
+        self.rules, self.sources = rules, sources
         self.params = [p for p in params if p not in ("self", "cls")]  # a call's arguments count from after the receiver
         self.held = {p: f"param:{p}" for p in self.params}
 
     def source(self, node: ast.AST) -> str | None:
-        found = SOURCE.findall(ast.unparse(node))
+        found = self.sources.findall(ast.unparse(node))
         return max(found, key=len) if found else None
 
     def cleans(self, node: ast.AST, category: str | None) -> bool:
         """Whether the node is a sanitizer's call, of a category or of all."""
         if not isinstance(node, ast.Call) or not (name := dotted(node.func)):
             return False
-        return any((category in kinds or "*" in kinds) and (name + "(" == call or (name + "(").endswith("." + call)) for call, kinds in R.SANITIZERS)
+        return any((category in kinds or "*" in kinds) and (name + "(" == call or (name + "(").endswith("." + call)) for call, kinds in self.rules.sanitizers)
 
     def origin(self, node: ast.AST | None) -> str | None:
         """Where an expression's data comes from; None if it is clean."""
@@ -162,7 +170,7 @@ class _Flows:
 
     def called(self, node: ast.Call) -> str | None:
         name = dotted(node.func)
-        return next((s for s in R.SOURCES["python"] if s.endswith("(") and name and (name + "(" == s or (name + "(").endswith("." + s))), None)
+        return next((s for s in self.rules.sources.get("python", []) if s.endswith("(") and name and (name + "(" == s or (name + "(").endswith("." + s))), None)
 
     def add(self, row: str, line: int, origin: str, category="", severity="", target="", arg=-1) -> None:
         param = self.params.index(origin[6:]) if origin.startswith("param:") and origin[6:] in self.params else None
@@ -171,7 +179,7 @@ class _Flows:
     def call(self, node: ast.Call) -> None:
         name, text = ast.unparse(node.func), ast.unparse(node)
         origins = [(i, a, self.origin(a)) for i, a in enumerate(node.args)] + [(None, k.value, self.origin(k.value)) for k in node.keywords if k.arg]
-        for category, sinks in R.SINKS.items():
+        for category, sinks in self.rules.sinks.items():
             sink = next(((p, s) for p, s in sinks if _matches(name, p) and not ("execute" in p and len(node.args) >= 2)), None)
             tainted = [(a, o) for i, a, o in origins if o and i is not None] if sink else []
             clean = [(a, o) for i, a, _ in origins if sink and i is not None and self.cleans(a, category) and (o := next(filter(None, map(self.origin, ast.iter_child_nodes(a))), None))]
@@ -232,33 +240,38 @@ class _Flows:
                 self.body(case.body)
 
 
-def flows_of(path: str, text: str) -> list[dict]:
-    """Rows of one Python file: flows into sinks, sanitized ones, and tainted arguments of calls; broken syntax has none."""
+def flows_of(path: str, text: str, rules: Taint = BUILT_IN, sources: re.Pattern | None = None) -> list[dict]:
+    """Rows of one Python file: flows into sinks, sanitized ones, and tainted arguments of calls.
+
+    A file that cannot be read as Python has one row, ``unread``, that names the error.
+    """
+    sources = sources or source_pattern(rules)
     try:
         tree = ast.parse(text)
         rows = []
         for node in [tree, *ast.walk(tree)]:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                f = _Flows(path, node.name, [a.arg for a in node.args.posonlyargs + node.args.args + node.args.kwonlyargs])
+                f = _Flows(path, node.name, [a.arg for a in node.args.posonlyargs + node.args.args + node.args.kwonlyargs], rules, sources)
             elif node is tree and not rows and isinstance(node, ast.Module):
-                f = _Flows(path, "<module>", [])
+                f = _Flows(path, "<module>", [], rules, sources)
             else:
                 continue
             f.body(node.body)
             rows += f.rows
         unique = {tuple(r.values()): r for r in rows}
         return list(unique.values())
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return [dict(path=path, row="unread", function="<module>", line=getattr(e, "lineno", None) or 0, origin=type(e).__name__, param=None, category="", severity="", target="", arg=-1)]
 
 
-def flows(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Tagged rows of every Python file among ``files``: ``row`` is flow, sanitized or argument."""
+def flows(files: DataFrame, path: str = "path", text: str = "text", rules: Taint = BUILT_IN) -> DataFrame:
+    """Tagged rows of every Python file among ``files``: ``row`` is flow, sanitized, argument, or unread for a file that is no Python."""
+    sources = source_pattern(rules)
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in parts:
             for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                yield from flows_of(p, t)
+                yield from flows_of(p, t, rules, sources)
 
     py = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where((extension(F.col("path")) == "py") & F.col("text").isNotNull())
     return py.mapInArrow(lambda parts: batches(rows(parts), FLOW_ARROW), FLOW)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import written
 from tessera.operators import project as J
 from tessera.operators import rules as U
 from tessera.operators import security as S
@@ -173,7 +174,7 @@ def taint_flows(spark, sf):
     safe = F.lit("def view():\n    q = int(request.args['q'])\n    cursor.execute('a', (q,))\n    eval(q)\n")
     kind = F.col("c_nationkey") % 3
     files = load(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey", F.lit(".py")).alias("path"), F.when(kind == 0, direct).when(kind == 1, through).otherwise(safe).alias("text"))
-    return S.taint(S.flows(files), hops=1).select("path", "function", "origin", "category", "severity", "hops")
+    return S.taint(written(S.flows(files), "flows")).select("path", "function", "origin", "category", "severity", "hops")
 
 
 @query("""
