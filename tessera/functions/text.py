@@ -11,9 +11,8 @@ WORD, BOUNDARY, LEAST = r"(?U)\w+", r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens: words, split at camel-case humps and underscores, of at least two characters. Null text has none."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    parts = F.flatten(F.transform(words, lambda w: F.split(w, BOUNDARY)))
-    return F.transform(F.filter(parts, lambda x: F.length(x) >= LEAST), F.lower)
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U)\W+|{BOUNDARY}", " ")
+    return F.filter(F.split(F.lower(spaced), " "), lambda x: F.length(x) >= LEAST)
 
 
 def lines(text: Column) -> Column:

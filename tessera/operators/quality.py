@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import spread
 from tessera.functions.text import lines
 
 
@@ -17,7 +18,7 @@ def complexity(n_lines: Column, depth: Column, params: Column, branches: Column,
 
 def numbered_lines(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, content) with lines from 1."""
-    return files.select(key, F.posexplode(lines(F.col(text))).alias("line", "content")).withColumn("line", F.col("line") + 1)
+    return spread(files.select(key, text)).select(key, F.posexplode(lines(F.col(text))).alias("line", "content")).withColumn("line", F.col("line") + 1)
 
 
 def chunks(files: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import spread, written
 from tessera.functions.text import tokens
 
 #: Fixed values of the scoring formulas.
@@ -14,7 +15,7 @@ K1, B, MIN_SIMILARITY, RRF_K, RRF_ALPHA = 1.5, 0.75, 0.01, 60, 0.7
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf)."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return spread(docs.select(key, text)).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def term_stats(posts: DataFrame, n: int) -> DataFrame:
@@ -26,16 +27,17 @@ def term_stats(posts: DataFrame, n: int) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int = 20) -> DataFrame:
     """The ``k`` best (key, score); a query term counts as often as it is given.
 
-    Two narrow passes and no shuffle of documents: frequencies of the query's
-    terms are counted inside each row, the corpus statistics are one row.
+    No shuffle of documents: frequencies of the query's terms are counted
+    inside each row and written, the corpus statistics are one row. For many
+    queries of one corpus see ``keyword.save_postings``.
     """
     terms = sorted(set(query))
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     # a generator keeps the optimizer from copying the tokenizer into every count
-    t = docs.select(key, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
+    t = spread(docs.select(key, text)).select(key, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
     times = lambda q: F.size(F.filter("_t", lambda x: x == q))
-    t = t.select(key, F.size("_t").alias("dl"), *[times(q).alias(f"tf{i}") for i, q in enumerate(terms)])
+    t = written(t.select(key, F.size("_t").alias("dl"), *[times(q).alias(f"tf{i}") for i, q in enumerate(terms)]), "frequencies")
     s = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i, q in enumerate(terms):
@@ -46,11 +48,16 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int = 20) ->
 
 
 def tfidf(posts: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, term, w): (1 + ln tf) * idf, each document's vector of length one."""
+    """(key, term, w): (1 + ln tf) * idf, each document's vector of length one.
+
+    Postings are written first. Lengths are sums that map tasks begin, so a
+    filter on terms reaches the postings and leaves the rest out of the join.
+    """
+    posts = written(posts, "postings")
     idf = posts.groupBy("term").agg((F.log((n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
     raw = posts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / norm).alias("w"))
+    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def cosine_topk(vectors: DataFrame, query: DataFrame, key: str, k: int = 20) -> DataFrame:

@@ -408,12 +408,12 @@ def freshness_bands(spark, sf):
 
 LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)"
 CHUNKS = rf"""{LINES}, r AS (SELECT doc_id, line, trim(regexp_replace(s, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS s FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i FROM r WHERE s <> ''),
-w AS (SELECT doc_id, line AS start, string_agg(s, chr(10)) OVER o AS run, count(*) OVER o AS n FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
-chunk AS (SELECT doc_id, start, md5(run) AS hash FROM w WHERE n = 3)"""
+w AS (SELECT doc_id, line AS start, string_agg(s, chr(10)) OVER o AS run, count(*) OVER o AS n FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+chunk AS (SELECT doc_id, start, md5(run) AS hash FROM w WHERE n = 6)"""
 
 
 def _chunks(spark, sf):
-    return Q.chunks(load(spark, sf, "documents"), "doc_id", "text", 3)
+    return Q.chunks(load(spark, sf, "documents"), "doc_id", "text", 6)
 
 
 @query(f"WITH {CHUNKS} SELECT hash, count(*) AS copies, count(DISTINCT doc_id) AS files, min(doc_id) AS first_file, arg_min(start, (doc_id, start))::INT AS first_line FROM chunk GROUP BY 1 HAVING count(*) > 1")
@@ -423,7 +423,7 @@ def duplicate_blocks(spark, sf):
 
 @query(f"WITH {CHUNKS}, g AS (SELECT hash, count(*) AS n FROM chunk GROUP BY 1) SELECT sum(n)::BIGINT AS chunks, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS duplicated, round(coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 6) AS rate FROM g")
 def duplicate_rate(spark, sf):
-    return Q.duplicate_rate(_chunks(spark, sf), 3)
+    return Q.duplicate_rate(_chunks(spark, sf), 6)
 
 
 REGIONS = CHUNKS.replace("line AS start,", "line AS start, max(line) OVER o AS last,").replace("SELECT doc_id, start, md5(run)", "SELECT doc_id, start, last, md5(run)")
