@@ -49,6 +49,16 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": list(seen), "counts": [c.astype("<i8").tobytes() for c in seen.values()]})
 
 
+def _declared(docs: DataFrame) -> DataFrame:
+    return docs.where("lang is not null and lang <> '' and text is not null and doc_id is not null")
+
+
+def modelled(docs: DataFrame, most: int = MOST_LANGUAGES) -> list[str]:
+    """The ``most`` languages that the most rows declare, ties by name, in their own order."""
+    counts = _declared(docs).groupBy("lang").agg(F.count("*").alias("n"))
+    return sorted(r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(most).collect())
+
+
 def fit(docs: DataFrame, per_language: int = 1000, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages and log P(trigram | language), the background last.
 
@@ -59,8 +69,8 @@ def fit(docs: DataFrame, per_language: int = 1000, most: int = MOST_LANGUAGES) -
     tasks reduce the buckets first, so a language that most rows declare is no
     task's work alone. Rows without a text, a language or an id are not used.
     """
-    known = docs.where("lang is not null and lang <> '' and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    often = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
+    known = _declared(docs).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    often = modelled(docs, most)
     buckets = known.where(F.col("lang").isin(often)).groupBy("lang", F.pmod("h", F.lit(per_language)).alias("b"))
     ids = buckets.agg(F.min_by("doc_id", F.struct("h", "doc_id")).alias("doc_id")).select("doc_id", "lang")
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
@@ -167,14 +177,18 @@ def identify_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
     return identify(rows, [*keep], langs, model, ["host"])
 
 
-def identify_pages(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """The same of raw pages: markup language, address suffix and hosts under their parent domains."""
+def page_evidence(pages: DataFrame, langs: list[str]) -> DataFrame:
+    """(page_id, text, declared, address, host, domain, suffix): what a raw page says of its language; null markup and addresses say nothing."""
     markup = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2})", 1))
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", " ")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://([^/:?#]+)", 1))
     rows = pages.select("page_id", text.alias("text"), F.when(markup != "", markup).alias("declared"), address_language(F.col("url"), langs).alias("address"), host.alias("host"))
-    rows = rows.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
-    return identify(rows, ["page_id"], langs, model, ["host", "domain", "suffix"])
+    return rows.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+
+
+def identify_pages(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
+    """page_id, language, confidence, accepted of raw pages: markup language, address suffix and hosts under their parent domains."""
+    return identify(page_evidence(pages, langs), ["page_id"], langs, model, ["host", "domain", "suffix"])
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -200,3 +214,12 @@ def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages by the whole fusion; the trigrams are fitted on the documents' declared languages."""
     langs, model = fit(table(spark, sf_dir, "documents"))
     return identify_pages(table(spark, sf_dir, "pages"), langs, model)
+
+
+def op3_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, language, p): the prior of every host of ``pages``, smoothed through its domain and suffix towards all pages."""
+    docs = table(spark, sf_dir, "documents")
+    langs = modelled(docs)
+    rows = page_evidence(table(spark, sf_dir, "pages"), langs).select("declared", "host", "domain", "suffix")
+    prior = host_prior(rows, langs, ["host", "domain", "suffix"])
+    return prior.select("host", F.explode(F.map_from_arrays(F.array(*map(F.lit, langs)), F.col("prior"))).alias("language", "p")).withColumn("p", F.round("p", 9))

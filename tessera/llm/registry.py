@@ -7,7 +7,7 @@ import corpus_pipeline
 from tessera.llm.chat import op4_chat
 from tessera.llm.fingerprint import op5_fingerprint
 from tessera.llm.html_extract import op2_html
-from tessera.llm.language import op3_language, op3_pages
+from tessera.llm.language import op3_language, op3_pages, op3_priors
 from tessera.llm.media import op6_media, op6_pages
 from tessera.llm.mixing import op8_mixing
 from tessera.llm.packing import op1_packing
@@ -17,10 +17,31 @@ from tessera.llm.simhash import op10_simhash
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_html, op3_language, op3_pages, op4_chat, op5_fingerprint, op6_media, op6_pages, op7_quality, op8_mixing, op9_sharding, op10_simhash)
+    for f in (op1_packing, op2_html, op3_language, op3_pages, op3_priors, op4_chat, op5_fingerprint, op6_media, op6_pages, op7_quality, op8_mixing, op9_sharding, op10_simhash)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
+    "op3_priors": r"""
+        WITH langs AS (
+          SELECT lang FROM documents WHERE lang IS NOT NULL AND lang <> '' AND text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 64
+        ), h AS (
+          SELECT lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host,
+                 lower(regexp_extract(coalesce(html, ''), '(?i)<html[^>]*\slang\s*=\s*["'']?([a-z]{2})', 1)) AS declared
+          FROM pages
+        ), d AS (
+          SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h
+        ), each AS (
+          SELECT d.*, lang, (declared = lang)::INT AS hit FROM d, langs
+        ), world AS (
+          SELECT lang, (sum(hit) + 1) / sum(sum(hit) + 1) OVER () AS p FROM each GROUP BY 1
+        ), s AS (
+          SELECT suffix, lang, (sum(hit) + 20 * any_value(w.p)) / (sum(sum(hit)) OVER (PARTITION BY suffix) + 20) AS p FROM each JOIN world w USING (lang) GROUP BY 1, 2
+        ), m AS (
+          SELECT domain, lang, (sum(hit) + 20 * any_value(s.p)) / (sum(sum(hit)) OVER (PARTITION BY domain) + 20) AS p FROM each JOIN s USING (suffix, lang) GROUP BY 1, 2
+        )
+        SELECT host, lang AS language, round((sum(hit) + 20 * any_value(m.p)) / (sum(sum(hit)) OVER (PARTITION BY host) + 20), 9) AS p
+        FROM each JOIN m USING (domain, lang) GROUP BY 1, 2
+    """,
     "op4_chat": r"""
         WITH said AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
