@@ -173,3 +173,33 @@ def test_resolution_of_methods_and_stages(spark):
     )
     got = {r["target"]: (r["found"], r["stage"]) for r in R.resolved(s, e).collect()}
     assert got == {"go": ("a.py:function:go", "import"), "obj.do": ("b.py:method:K.do", "method"), "same": (None, None), "len": (None, None)}
+
+
+def test_what_changed_is_resolved_anew(spark):
+    """Random projects: resolving only the changed files again gives what resolving everything gives."""
+    import random
+
+    for seed in (7,):
+        rng = random.Random(seed)
+        names = [f"name{k}" for k in range(6)]
+
+        def project(changed=()):
+            files = {}
+            for k in range(5):
+                r = random.Random(f"{seed}-{k}-{'new' if k in changed else 'old'}")
+                own = names[k]
+                calls = "".join(f"    {r.choice(names)}(1)\n" for _ in range(3))
+                files[f"f{k}.py"] = f"from f{r.randrange(5)} import {r.choice(names)}\n\n\ndef {own}(x):\n{calls}    return x\n"
+            return files
+
+        def scanned(files):
+            rows = [r for p, t in files.items() for r in code.parse("p", p, t)]
+            d = spark.createDataFrame(rows, code.SCHEMA)
+            return code.symbols(d), code.edges(d)
+
+        changed = rng.sample(range(5), 2)
+        before = R.resolved(*scanned(project()))
+        s, e = scanned(project(changed))
+        paths = spark.createDataFrame([(f"f{k}.py",) for k in changed], "path string")
+        key = lambda df: sorted(map(str, df.collect()))
+        assert key(R.refreshed(before, s, e, paths)) == key(R.resolved(s, e))
