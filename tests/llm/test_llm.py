@@ -473,6 +473,28 @@ def test_quality_held_out(spark, odd, none):
     assert quality.keep_good(odd, labels).schema == odd.schema
 
 
+def test_discriminant_by_its_definition():
+    rng = np.random.default_rng(4)
+    y = (rng.random(400) < 0.4).astype(float)
+    x = rng.normal(size=(400, quality.FEATURES)) * (1 + y[:, None]) + y[:, None] * rng.normal(size=quality.FEATURES)
+    d = quality.Discriminant(x, y)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), -8, 8)
+    covariance = lambda rows: (rows - rows.mean(axis=0)).T @ (rows - rows.mean(axis=0)) / len(rows)
+    pooled = sum(covariance(z[y == k]) * (y == k).mean() for k in (0, 1))
+    density = []
+    for k in (0, 1):
+        s = 0.7 * covariance(z[y == k]) + 0.3 * pooled + 0.02 * np.eye(quality.FEATURES)
+        off = z - z[y == k].mean(axis=0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(s), off) - 0.5 * np.linalg.slogdet(s)[1])
+    margin = np.clip(density[1] - density[0], -60, 60)
+    assert np.allclose(d._margin(x), margin)
+    q = d.score(x)  # calibrated: the held-back logistic fit has no slope left
+    assert abs(((q - y) * margin).sum() + 1e-2 * d.a) < 1e-4 and abs((q - y).sum()) < 1e-4
+    assert ((q >= 0.5) == (y == 1)).mean() > 0.9
+    one = quality.Discriminant(x, np.ones(400))
+    assert (one.score(x[:3]) == 1).all()
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -641,6 +663,35 @@ def brute_fps(fps):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_stages_keep_what_their_operators_say(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    assert ids(language.keep_identified(docs)) == ids(language.identify_documents(docs).where("accepted"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert ids(quality.keep_good(docs, labels)) == ids(quality.score(docs, quality.fit(docs, labels)).where("predicted = 1"))
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    mixed = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        mixed[r["source"]] += len([w for w in (r["text"] or "").replace("\t", " ").replace("\n", " ").split(" ") if w])
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    want = Counter()
+    for d, n in taken.items():
+        want[source[d]] += n
+    assert all(mixed[x] == want[x] for x in want if want[x])
+
+
+def test_very_long_texts(spark):
+    long = "word " * 400_000
+    d = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, "short text", "en", "a", 10)], DOCS)
+    n = {r["doc_id"]: r["n_chars"] for r in fingerprint.fingerprints(d).collect()}
+    assert n == {1: len(long), 2: 10}
+    parts = packing.pack_documents(d).where("doc_id = 1")
+    assert parts.agg(F.sum("length")).first()[0] > 400_000 and parts.agg(F.max("length")).first()[0] == 1024
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(d).collect()} == {1: 400_000, 2: 2}
+    assert {r["doc_id"]: r["fp"] for r in simhash.fingerprints(d).collect()}[1] & (1 << 64) - 1 == simhash.fingerprint("word word word word")
+    assert media.document_media(d).where("doc_id = 1").first()["n_bytes"] == len(long)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
