@@ -233,7 +233,7 @@ def links(distinct: DataFrame, leaves: int = LEAVES, tasks: int | None = None) -
 
     whole = [F.lit(0).alias("i"), F.lit(0).alias("j")]
     # rows become fifteen each: they are dealt to all tasks before, not to the few that a small table is read by
-    keyed = distinct.select("fp").repartition(tasks, "fp").select("fp", F.inline(F.array(*_orders("fp"))))
+    keyed = distinct.select("fp").repartition(tasks).select("fp", F.inline(F.array(*_orders("fp"))))
     for level in range(DEEPER + 1):
         large = saved(keyed.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > leaves), "subtries")
         leads = sorted(r["lead"] for r in large.select("lead").distinct().collect())
@@ -299,6 +299,7 @@ def least_of_component(distinct: DataFrame, shares: int = 16) -> DataFrame:
     Only linked fingerprints are summed by root; the sums are dealt back in
     ``shares``, so that the largest component is many tasks' work.
     """
+    distinct = saved(distinct, "distinct")
     roots = components(links(distinct))
     share = F.pmod(F.xxhash64("fp"), F.lit(shares)).cast("int")
     known = saved(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "root"), "roots")
