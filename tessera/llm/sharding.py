@@ -41,7 +41,9 @@ def split(rows: DataFrame, limit: int, top: int, depth: int) -> tuple[DataFrame,
     kids = large.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix")).where(F.col("depth") <= depth)
     roots = sums.where(F.col("depth") == top).select("depth", "prefix")
     final = kids.union(roots).join(large.select("depth", "prefix"), ["depth", "prefix"], "left_anti").join(sums, ["depth", "prefix"])
-    # of the leaves that exist, each finds its bucket among the prefixes above it
+    # of the leaves that exist, each finds its bucket among the prefixes above it, at the depths that buckets have: one of the first depths would hold all leaves
+    depths = [r["depth"] for r in final.select("depth").distinct().collect()]
+    each = each.where(F.col("depth").isin(depths))
     return each.select("leaf", "depth", at.alias("prefix")).join(final, ["depth", "prefix"]), large.where(F.col("depth") == depth).select(F.col("prefix").alias("leaf"))
 
 
