@@ -680,18 +680,6 @@ def test_stages_keep_what_their_operators_say(spark):
     assert all(mixed[x] == want[x] for x in want if want[x])
 
 
-def test_very_long_texts(spark):
-    long = "word " * 400_000
-    d = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, "short text", "en", "a", 10)], DOCS)
-    n = {r["doc_id"]: r["n_chars"] for r in fingerprint.fingerprints(d).collect()}
-    assert n == {1: len(long), 2: 10}
-    parts = packing.pack_documents(d).where("doc_id = 1")
-    assert parts.agg(F.sum("length")).first()[0] > 400_000 and parts.agg(F.max("length")).first()[0] == 1024
-    assert {r["doc_id"]: r["size"] for r in mixing.mix(d).collect()} == {1: 400_000, 2: 2}
-    assert {r["doc_id"]: r["fp"] for r in simhash.fingerprints(d).collect()}[1] & (1 << 64) - 1 == simhash.fingerprint("word word word word")
-    assert media.document_media(d).where("doc_id = 1").first()["n_bytes"] == len(long)
-
-
 def test_pipeline(spark):
     import corpus_pipeline as p
 
