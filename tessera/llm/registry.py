@@ -10,6 +10,7 @@ from tessera.llm.html_extract import op2_html
 from tessera.llm.language import op3_language, op3_pages, op3_priors
 from tessera.llm.media import op6_media, op6_pages
 from tessera.llm.mixing import op8_mixing
+from tessera.llm.neighbours import op12_neighbours
 from tessera.llm.packing import op1_packing
 from tessera.llm.quality import op7_quality
 from tessera.llm.sharding import LIMIT, op9_sharding
@@ -17,7 +18,7 @@ from tessera.llm.simhash import op10_simhash
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_html, op3_language, op3_pages, op3_priors, op4_chat, op5_fingerprint, op6_media, op6_pages, op7_quality, op8_mixing, op9_sharding, op10_simhash)
+    for f in (op1_packing, op2_html, op3_language, op3_pages, op3_priors, op4_chat, op5_fingerprint, op6_media, op6_pages, op7_quality, op8_mixing, op9_sharding, op10_simhash, op12_neighbours)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
