@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from tessera.llm import centroids
+from tessera.llm import centroids, repair
 from tessera.llm.chat import op4_chat
 from tessera.llm.fingerprint import op5_fingerprint
 from tessera.llm.html_extract import op2_html
@@ -19,10 +19,11 @@ from tessera.llm.simhash import op10_simhash
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_html, op3_language, op3_pages, op3_priors, op4_chat, op5_fingerprint, op6_media, op6_pages, op7_quality, op8_mixing, op9_sharding, op10_simhash, op12_neighbours, centroids.op13_centroids)
+    for f in (op1_packing, op2_html, op3_language, op3_pages, op3_priors, op4_chat, op5_fingerprint, op6_media, op6_pages, op7_quality, op8_mixing, op9_sharding, op10_simhash, repair.op11_repair, op12_neighbours, centroids.op13_centroids)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
+    "op11_repair": repair.TWIN,
     "op13_centroids": centroids.TWIN,
     "op3_priors": r"""
         WITH langs AS (
