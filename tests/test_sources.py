@@ -313,6 +313,87 @@ app.post('/x', save)
     assert kin == [("extends", "A"), ("extends", "B"), ("extends", "base.Thing"), ("implements", "One"), ("implements", "Two")]
 
 
+def test_parameters_are_parted_outside_brackets():
+    one = {
+        "a: Map<string, List<number>>, b": ["a", "b"], "cb: (x, y) => void, z = f(1, 2)": ["cb", "z"], "{a, b: {c, d}}: P, e": ["{}", "e"],
+        "[a, b]: [number, string], ...rest: T[]": ["[]", "rest"], "private readonly x: X = {a: 1, b: 2}, y?: Y": ["x", "y"], "": [], "a,": ["a"],
+    }
+    assert {k: code._params(k, "typescript") for k in one} == one
+    assert code._params("final Map<String, List<Integer>> m, @Named(\"a, b\") int[] k, String... more", "java") == ["m", "k", "more"]
+    assert code._params("&mut self, mut a: Vec<(i32, u8)>, &'a b: &'a str, (x, y): (u8, u8), f: impl Fn(u8, u8) -> bool", "rust") == ["a", "b", "()", "f"]
+    assert code._params("a, b int, f func(x, y int) error, m map[string]int", "go") == ["a", "b", "f", "m"]
+
+
+def test_declarations_of_go_java_and_rust_by_grammar():
+    go = """package m
+import (
+	"fmt"
+	q "a/b"
+)
+import "os"
+func (s *Stack[T]) Push(v T, more ...func(T) error) (n int, err error) {
+}
+func Map[T any, U any](xs []T, f func(T) U) []U { return nil }
+type Stack[T any] struct {
+	Base
+}
+type Shape interface {
+	Area() float64
+}
+type IDs []int
+type Alias = Stack[int]
+var limit = 3
+r.Handle("PUT /a/{id}", h)
+r.GET("/b", list)
+r.Get("no path", x)
+"""
+    got = {(r["kind"], r["name"], tuple(r["params"])) for r in code.parse("p", "a.go", go) if r["row"] == "symbol"}
+    assert got == {
+        ("method", "Stack.Push", ("v", "more")), ("function", "Map", ("xs", "f")), ("class", "Stack", ()), ("interface", "Shape", ()), ("type", "IDs", ()), ("type", "Alias", ()),
+        ("variable", "limit", ()), ("api", "PUT /a/{id}", ()), ("api", "GET /b", ()),
+    }
+    assert {"imports fmt", "imports a/b", "imports os", "extends Base"} <= found("a.go", go, "edge")
+    java = """import static a.b.C.d;
+@Entity(name = "x")
+public sealed abstract class Box<T extends Comparable<T>> extends Base<T> implements One<T>, Two {
+    @Override public Map<String, List<T>> all(final Map<String, List<T>> in, int[] k) throws IOException, X {
+        if (in == null) {
+            return null;
+        } else if (k.length > 1) {
+        }
+    }
+    Box(T t) {
+    }
+    abstract void none();
+    private static <R> R[] cast(R r) {
+    }
+}
+record Point(int x, int y) implements Shape {
+}
+@interface Mark {
+}
+"""
+    got = {(r["kind"], r["name"], tuple(r["params"])) for r in code.parse("p", "B.java", java) if r["row"] == "symbol"}
+    assert got == {("class", "Box", ()), ("method", "Box.all", ("in", "k")), ("method", "Box.Box", ("t",)), ("method", "Box.cast", ("r",)), ("class", "Point", ("x", "y")), ("type", "Mark", ())}
+    assert {"imports a.b.C.d", "extends Base", "implements One", "implements Two", "implements Shape"} <= found("B.java", java, "edge")
+    rust = """pub(crate) use a::{b, c::D};
+pub struct P<'a, T: Fn(i32) -> i32> { x: &'a T }
+unsafe impl<'a, T> fmt::Display for P<'a, T> where T: X {
+    pub async fn show<F: Fn(u8) -> u8>(&self, f: F, (a, b): (u8, u8)) -> Result<(), E> {
+    }
+}
+trait Shape: Debug + Clone {
+    fn area(&self) -> f64;
+    fn twice(&self) -> f64 { 2.0 }
+}
+enum E { A }
+type R<T> = Result<T, E>;
+"""
+    got = {(r["kind"], r["name"]) for r in code.parse("p", "a.rs", rust) if r["row"] == "symbol"}
+    assert got == {("class", "P"), ("method", "P.show"), ("interface", "Shape"), ("method", "Shape.twice"), ("type", "E"), ("type", "R")}
+    assert {"imports a::b", "imports a::c::D", "implements Display", "extends Debug", "extends Clone"} <= found("a.rs", rust, "edge")
+
+
 def test_templates_use_components_only():
     text = "<template><keep-alive><user-card/><linearGradient/><Teleport/></keep-alive></template><script setup></script>"
     assert [r["name"] for r in code.parse("p", "A.vue", text) if r["kind"] == "uses"] == ["UserCard"]
