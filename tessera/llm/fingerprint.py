@@ -186,17 +186,17 @@ def _answer(this: tuple, following: tuple) -> tuple:
     return (doc_id, x.n, digest, mark, other, likeness(mark, other), likeness(mark, following[5]), same)
 
 
-#: Bytes of the input, as it is stored, that a range has about.
-RANGE_BYTES = 16 << 20
+#: Bytes of text that a range has about; ranges, at most, beyond which they have more.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 1 << 14
 NULL_ID = -(1 << 63)
 
 
 def ranges_of(docs: DataFrame) -> int:
-    """Ranges that suit the input: by its files' bytes where the plan knows them, at least as many as tasks."""
+    """Ranges that suit the input: by its counted bytes of text, at least as many as tasks, no more than there are rows."""
     spark = docs.sparkSession
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return max(least, min(size // RANGE_BYTES, 1 << 14))
+    return max(1, min(max(least, size // RANGE_BYTES), MOST_RANGES, n))
 
 
 def with_followers(docs: DataFrame, ranges: int | None = None) -> DataFrame:

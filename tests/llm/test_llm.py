@@ -680,6 +680,32 @@ def test_stages_keep_what_their_operators_say(spark):
     assert all(mixed[x] == want[x] for x in want if want[x])
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_very_long_texts(spark, tmp_path, stored):
+    long = "word " * 400_000
+    d = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, "short text", "en", "a", 10)], DOCS)
+    if stored:
+        d.write.parquet(f"{tmp_path}/d")
+        d = spark.read.parquet(f"{tmp_path}/d")
+    n = {r["doc_id"]: r["n_chars"] for r in fingerprint.fingerprints(d).collect()}
+    assert n == {1: len(long), 2: 10}
+    parts = packing.pack_documents(d).where("doc_id = 1")
+    assert parts.agg(F.sum("length")).first()[0] > 400_000 and parts.agg(F.max("length")).first()[0] == 1024
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(d).collect()} == {1: 400_000, 2: 2}
+    assert {r["doc_id"]: r["fp"] for r in simhash.fingerprints(d).collect()}[1] & (1 << 64) - 1 == simhash.fingerprint("word word word word")
+    assert media.document_media(d).where("doc_id = 1").first()["n_bytes"] == len(long)
+
+
+def test_ranges_follow_counted_rows(spark):
+    """Whatever the plan says of its size: two rows of the driver, and a join, whose size no plan knows."""
+    two = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
+    assert fingerprint.ranges_of(two) == 2 and fingerprint.ranges_of(two.limit(0)) == 1
+    both = two.join(two.select("doc_id"), "doc_id")
+    assert fingerprint.ranges_of(both) == 2
+    got = {r["doc_id"]: (r["n_chars"], r["near_next"]) for r in fingerprint.fingerprints(both).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {1: 3, 2: 0}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
