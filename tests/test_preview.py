@@ -200,6 +200,6 @@ def test_what_changed_is_resolved_anew(spark):
         changed = rng.sample(range(5), 2)
         before = R.resolved(*scanned(project()))
         s, e = scanned(project(changed))
-        paths = spark.createDataFrame([(f"f{k}.py",) for k in changed], "path string")
+        paths = spark.createDataFrame([("p", f"f{k}.py") for k in changed], "project string, path string")
         key = lambda df: sorted(map(str, df.collect()))
         assert key(R.refreshed(before, s, e, paths)) == key(R.resolved(s, e))
