@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import folder
+from tessera.functions.text import tokens
+from tessera.operators import blocks as B
+from tessera.operators import search as S
 from tessera.plans.projects import SQL, project_files
-from tessera.plans.registry import query
+from tessera.plans.registry import PMI, TOK, _related, query
 from tessera.sources import generations as G
 from tessera.sources.tables import load
 
@@ -52,3 +55,61 @@ def index_refresh(spark, sf):
     G.build(spark, root, project_files(spark, sf), buckets=16)
     G.refresh(spark, root, edited_files(spark, sf))
     return G.read(spark, root, "resolved").where("type = 'calls'").select("project", "source", "target", "found", "stage")
+
+
+def _asked(spark, sf):
+    """(query_id, term, q): every passage of ``benchmark`` a query of its tokens."""
+    b = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term"))
+    return b.groupBy("query_id", "term").agg(F.count("*").cast("double").alias("q"))
+
+
+def _place(spark):
+    return f"{folder(spark)}/blocks-{uuid.uuid4().hex}"
+
+
+ASKED = (
+    TOK
+    + r""", bq AS (
+  SELECT item_id, lower(t) AS term, count(*) AS q FROM (
+    SELECT item_id, unnest(string_split_regex(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[ _]+')) AS t
+    FROM (SELECT item_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM benchmark)) WHERE length(t) >= 2 GROUP BY 1, 2)
+"""
+)
+
+
+@query(
+    f"""WITH {ASKED}, s AS (
+      SELECT item_id, doc_id, round(sum(q * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+      FROM bq JOIN post USING (term) JOIN stat USING (term) JOIN len USING (doc_id), corpus GROUP BY 1, 2)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+)
+def stored_topk(spark, sf):
+    """The ten best documents for every benchmark passage from stored BM25 blocks, all passages at once."""
+    at = _place(spark)
+    docs = load(spark, sf, "documents")
+    B.save_blocks(B.bm25_weights(docs, "doc_id", "text"), "doc_id", at, groups=docs.select("doc_id", F.col("lang").alias("by")))
+    return B.search_blocks(spark, at, _asked(spark, sf), k=10)[0].select(F.col("query_id").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+@query(
+    f"""WITH {ASKED}, w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM post JOIN stat USING (term), corpus),
+    v AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w),
+    s AS (SELECT item_id, doc_id, round(sum(w), 6) AS score FROM v JOIN bq USING (term) GROUP BY 1, 2)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5"""
+)
+def stored_vectors(spark, sf):
+    """The five nearest TF-IDF vectors for every benchmark passage from stored vectors; each of its terms counts once."""
+    at = _place(spark)
+    docs = load(spark, sf, "documents")
+    B.save_blocks(S.tfidf(S.postings(docs, "doc_id", "text"), "doc_id", docs.count()), "doc_id", at)
+    return B.search_blocks(spark, at, _asked(spark, sf).withColumn("q", F.lit(1.0)), k=5)[0].select(F.col("query_id").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+@query(f"WITH {PMI} SELECT y AS term, round(sum(pmi), 6) AS score FROM top WHERE x IN ('steel', 'brand', 'small') AND y NOT IN ('steel', 'brand', 'small') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def stored_concepts(spark, sf):
+    """The concept graph of parts, stored, and a query widened by what is read of it."""
+    at, asked = _place(spark), ["steel", "brand", "small"]
+    B.save_related(_related(spark, sf), at)
+    return S.expand(B.load_related(spark, at, asked), asked)
