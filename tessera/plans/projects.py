@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.shared import written
 from tessera.operators import keyword as K
+from tessera.operators import paths as A
 from tessera.operators import preview as P2
 from tessera.operators import requests as Q
 from tessera.operators import resolution as R
+from tessera.operators import rules as U
 from tessera.plans.registry import query
 from tessera.sources import code as P
 from tessera.sources.tables import load
@@ -252,3 +254,64 @@ def answer_forms(spark, sf):
     first = F.when(F.expr("s_nationkey % 3 = 0"), F.lit('return {"success": 1}')).when(F.expr("s_nationkey % 3 = 1"), F.lit('return {"data": 1}')).otherwise(F.lit('return {"ok": 1, "data": 2}'))
     text = F.concat(first, F.lit("\n# return {}\nreturn {'ok': False}\n"))
     return Q.answers(load(spark, sf, "supplier").select(F.concat(F.lit("api/s"), "s_suppkey", F.lit(".py")).alias("path"), text.alias("text"))).select("path", "line", "issue")
+
+
+def _tree(spark, sf):
+    """Every nation a project with a TypeScript library, programs that import from it in six ways, a Go command and its configuration."""
+    nation, supplier, customer = (load(spark, sf, t) for t in ("nation", "supplier", "customer"))
+    project = lambda c: F.concat(F.lit("p"), F.col(c)).alias("project")
+    row = lambda df, n, path, text: df.select(project(n), path.alias("path"), text.alias("text"))
+    first = supplier.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").alias("s"))
+    lib = F.concat(F.lit("s"), "s")
+    forms = [F.concat(F.lit("../lib/"), lib), F.concat(F.lit("@/lib/"), lib), F.concat(F.lit("@lib/"), lib, F.lit(".js")), F.lit("../lib"), F.lit("react"), F.concat(F.lit("loop/"), lib)]
+    module = F.element_at(F.array(*forms), (F.col("c_custkey") % 6 + 1).cast("int"))
+    text = F.concat(F.lit("import { x } from '"), module, F.lit("'\nimport y from './none'\n"))
+    config = """{
+      // prefixes
+      "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["old/*"], "@/lib/*": ["./src/lib/*", "x/*"], "@lib/*": ["@/lib/*"], "loop/*": ["pool/*"], "pool/*": ["loop/*"], "only": ["src/lib/index.ts"]}}
+    }"""
+    out = row(supplier, "s_nationkey", F.concat(F.lit("src/lib/s"), "s_suppkey", F.lit(".ts")), F.lit("export const x = 1\n"))
+    out = out.union(row(customer.join(first, "c_nationkey"), "c_nationkey", F.concat(F.lit("src/app/c"), "c_custkey", F.lit(".ts")), text))
+    go = F.concat(F.lit('package main\nimport (\n\t"fmt"\n\t"example.com/p'), "n_nationkey", F.lit('/pkg/m"\n)\n'))
+    for path, said in (
+        ("src/lib/index.ts", F.lit("export * from './index'\n")), ("tsconfig.json", F.lit(config)), ("cmd/main.go", go), ("go.mod", F.concat(F.lit("module example.com/p"), "n_nationkey", F.lit("\n\ngo 1.22\n"))),
+        ("pkg/m/a_test.go", F.lit("package m\n")), ("pkg/m/m.go", F.lit("package m\n")), ("pkg/m/n.go", F.lit("package m\n")),
+    ):
+        out = out.union(row(nation, "n_nationkey", F.lit(path), said))
+    return out
+
+
+def _resolved_paths(spark, sf):
+    files = written(_tree(spark, sf), "tree")
+    rows = written(P.scan(files.where("not endswith(path, '.json')")), "scan")
+    imports = P.edges(rows).where("type = 'imports'").select("project", R.path_of(F.col("source")).alias("path"), F.col("target").alias("module"), "line")
+    return A.resolve(imports, files.select("project", "path"), A.configured(files), A.go_modules(files))
+
+
+PATHS = (
+    SQL
+    + """
+, r AS (
+  SELECT 'p' || n AS project, 'src/app/c' || k || '.ts' AS path, 1 AS line,
+    CASE k % 6 WHEN 0 THEN '../lib/s' || s WHEN 1 THEN '@/lib/s' || s WHEN 2 THEN '@lib/s' || s || '.js' WHEN 3 THEN '../lib' WHEN 4 THEN 'react' ELSE 'loop/s' || s END AS module,
+    CASE WHEN k % 6 < 3 THEN 'src/lib/s' || s || '.ts' WHEN k % 6 = 3 THEN 'src/lib/index.ts' END AS found, CASE WHEN k % 6 IN (0, 3) THEN 'relative' WHEN k % 6 < 3 THEN 'alias' END AS stage FROM c
+  UNION ALL SELECT 'p' || n, 'src/app/c' || k || '.ts', 2, './none', NULL, NULL FROM c
+  UNION ALL SELECT 'p' || n_nationkey, 'src/lib/index.ts', 1, './index', 'src/lib/index.ts', 'relative' FROM nation
+  UNION ALL SELECT 'p' || n_nationkey, 'cmd/main.go', 3, 'fmt', NULL, NULL FROM nation
+  UNION ALL SELECT 'p' || n_nationkey, 'cmd/main.go', 4, 'example.com/p' || n_nationkey || '/pkg/m', 'pkg/m/m.go', 'module' FROM nation)
+"""
+)
+
+
+@query(PATHS + "SELECT * FROM r")
+def resolve_aliases(spark, sf):
+    return _resolved_paths(spark, sf)
+
+
+@query(PATHS + "SELECT project, path AS from_file, found AS to_file, line, 'app' AS from_layer, 'lib' AS to_layer, 'cannot_import' AS kind FROM r WHERE stage = 'alias'")
+def alias_breaches(spark, sf):
+    """Programs may not import from the library by an alias: layers of resolved imports."""
+    found = _resolved_paths(spark, sf).where("stage = 'alias'").select(F.concat_ws(":", "project", "path").alias("from_file"), F.concat_ws(":", "project", "found").alias("to_file"), "line")
+    out = U.layer_breaches(found, {"app": ["*:src/app/*"], "lib": ["*:src/lib/*"]}, {}, {"app": ["lib"]})
+    own = lambda c: F.expr(f"substring({c}, instr({c}, ':') + 1)").alias(c)
+    return out.select(F.substring_index("from_file", ":", 1).alias("project"), own("from_file"), own("to_file"), "line", "from_layer", "to_layer", "kind")
