@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import written
+from tessera.operators import dataflow as D
 from tessera.operators import keyword as K
 from tessera.operators import paths as A
 from tessera.operators import preview as P2
@@ -18,6 +19,7 @@ from tessera.operators import resolution as R
 from tessera.operators import rules as U
 from tessera.plans.registry import query
 from tessera.sources import code as P
+from tessera.sources import flows as L
 from tessera.sources.tables import load
 
 
@@ -315,3 +317,48 @@ def alias_breaches(spark, sf):
     out = U.layer_breaches(found, {"app": ["*:src/app/*"], "lib": ["*:src/lib/*"]}, {}, {"app": ["lib"]})
     own = lambda c: F.expr(f"substring({c}, instr({c}, ':') + 1)").alias(c)
     return out.select(F.substring_index("from_file", ":", 1).alias("project"), own("from_file"), own("to_file"), "line", "from_layer", "to_layer", "kind")
+
+
+def _flowing(spark, sf):
+    """Every customer a program that sends a secret and an open value through one helper of its nation's library."""
+    first = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").alias("s_suppkey"))
+    lib = _text("def same", "s_suppkey", "(x):\n    return x\n\ndef twice", "s_suppkey", "(z):\n    return same", "s_suppkey", "(z)\n\ndef whole", "s_suppkey", "(y: int):\n    return y\n")
+    app = _text(
+        "from s", "s_suppkey", " import same", "s_suppkey", ", twice", "s_suppkey", ", whole", "s_suppkey", "\n\ndef save", "c_custkey", "(secret, public):\n    a = twice", "s_suppkey", "(secret)\n    b = same", "s_suppkey",
+        "(public)\n    c = whole", "s_suppkey", "(secret)\n    store", "c_custkey", "(text=a)\n    show", "c_custkey", "(b)\n    count", "c_custkey", "(c)\n\ndef store", "c_custkey",
+        "(text):\n    pass\n\ndef show", "c_custkey", "(w):\n    pass\n\ndef count", "c_custkey", "(n):\n    pass\n",
+    )
+    project = F.concat(F.lit("p"), "c_nationkey").alias("project")
+    libs = first.select(project, F.concat(F.lit("lib/s"), "s_suppkey", F.lit(".py")).alias("path"), lib.alias("text"))
+    return libs.union(load(spark, sf, "customer").join(first, "c_nationkey").select(project, F.concat(F.lit("app/c"), "c_custkey", F.lit(".py")).alias("path"), app.alias("text")))
+
+
+FLOW = (
+    SQL.replace("WITH f", "WITH RECURSIVE f")
+    + """
+, fn AS (SELECT *, 'p' || n AS project, 'app/c' || k || '.py:function:' AS a, 'lib/s' || s || '.py:function:' AS l FROM c),
+steps(project, fn, var, to_fn, to_var, call, via) AS (
+  SELECT project, a || 'save' || k, 'secret', l || 'twice' || s, 'z', a || 'save' || k || '@4', NULL FROM fn UNION
+  SELECT project, a || 'save' || k, 'public', l || 'same' || s, 'x', a || 'save' || k || '@5', NULL FROM fn UNION
+  SELECT project, l || 'twice' || s, 'z', l || 'same' || s, 'x', l || '@twice', NULL FROM fn UNION
+  SELECT project, l || 'same' || s, 'x', l || 'same' || s, 'return', NULL, NULL FROM fn UNION
+  SELECT project, l || 'same' || s, 'return', l || 'twice' || s, 'return', NULL, l || '@twice' FROM fn UNION
+  SELECT project, l || 'same' || s, 'return', a || 'save' || k, 'b', NULL, a || 'save' || k || '@5' FROM fn UNION
+  SELECT project, l || 'twice' || s, 'return', a || 'save' || k, 'a', NULL, a || 'save' || k || '@4' FROM fn UNION
+  SELECT project, a || 'save' || k, 'a', a || 'store' || k, 'text', a || 'save' || k || '@7', NULL FROM fn UNION
+  SELECT project, a || 'save' || k, 'b', a || 'show' || k, 'w', a || 'save' || k || '@8', NULL FROM fn),
+r(project, start, fn, var, calls) AS (
+  SELECT project, a || 'save' || k, a || 'save' || k, 'secret', []::VARCHAR[] FROM fn UNION
+  SELECT r.project, r.start, t.to_fn, t.to_var, CASE WHEN t.call IS NOT NULL THEN list_append(r.calls, t.call) WHEN t.via IS NOT NULL THEN r.calls[:-2] ELSE r.calls END
+  FROM r JOIN steps t ON t.project = r.project AND t.fn = r.fn AND t.var = r.var AND (t.via IS NULL OR len(r.calls) = 0 OR t.via = r.calls[-1]))
+"""
+)
+
+
+@query(FLOW + "SELECT DISTINCT project, start, fn, var AS param FROM r WHERE var IN ('z', 'x', 'text', 'w')")
+def data_flow(spark, sf):
+    """Where every program's secret goes: through the helper to what it is stored by, not to what the open value is shown by."""
+    files = _flowing(spark, sf)
+    rows, facts = written(P.scan(files), "scan"), written(L.facts(files), "facts")
+    moves = D.steps(facts, R.resolved(P.symbols(rows), P.edges(rows)).where("type = 'calls'"))
+    return D.reached_parameters(facts, D.flow(moves, D.named_starts(facts, "secret"))).select("project", "start", "fn", "param")
