@@ -66,9 +66,9 @@ class Tree:
     @property
     def counted(self) -> DataFrame:
         """Symbols with their content and the number of their callers."""
-        n = resolution.counts(self.callers).select(F.col("symbol_id").alias("id"), "refs")
-        c = resolution.contents(self.symbols, self.files.select("project", "path", "text")).select("id", "content")
-        return self.symbols.join(n, "id", "left").join(c, "id", "left").fillna(0, ["refs"]).withColumn("exported", F.lit(False))
+        n = resolution.counts(self.callers).select("project", F.col("symbol_id").alias("id"), "refs")
+        c = resolution.contents(self.symbols, self.files.select("project", "path", "text")).select("project", "id", "content")
+        return self.symbols.join(n, ["project", "id"], "left").join(c, ["project", "id"], "left").fillna(0, ["refs"]).withColumn("exported", F.lit(False))
 
 
 def command(about: str, *options: tuple):
@@ -112,8 +112,8 @@ def fulltext(t: Tree) -> DataFrame:
 
 @command("who refers to a symbol", ("symbol",))
 def references(t: Tree) -> DataFrame:
-    found = preview.find_symbol(t.counted, t.args.symbol).select(F.col("id").alias("symbol_id"))
-    return t.callers.join(F.broadcast(found), "symbol_id")
+    found = preview.find_symbol(t.counted, t.args.symbol).select("project", F.col("id").alias("symbol_id"))
+    return t.callers.join(F.broadcast(found), ["project", "symbol_id"])
 
 
 @command("what depends on a symbol", ("symbol",), ("--depth",))
@@ -131,13 +131,13 @@ def trace(t: Tree) -> DataFrame:
 @command("call sites of a symbol", ("symbol",))
 def call_sites(t: Tree) -> DataFrame:
     s = t.once("counted", lambda: t.counted)
-    return preview.call_sites(t.callers, s, s, preview.find_symbol(s, t.args.symbol).select("id"))
+    return preview.call_sites(t.callers, s, s, preview.find_symbol(s, t.args.symbol).select("project", "id"))
 
 
 @command("risk of a change of a symbol", ("symbol",), ("--change",))
 def edit_preview(t: Tree) -> DataFrame:
     s = t.once("counted", lambda: t.counted)
-    targets = preview.find_symbol(s, t.args.symbol).select("id")
+    targets = preview.find_symbol(s, t.args.symbol).select("project", "id")
     return preview.edit_risk(preview.call_sites(t.callers, s, s, targets), targets, t.args.change or "modify")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,6 +28,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scope(*frames: DataFrame) -> list[str]:
+    """``project`` where all frames have it: ids are a project's own, so it is part of every key then."""
+    return ["project"] if all("project" in f.columns for f in frames) else []
+
+
+#: Rows up to which a table is sent to all tasks.
+SMALL = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df``, narrow rows, marked for broadcast if it has been counted to have at most ``rows``; else left for an ordinary join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all tasks if it is read by fewer than there are, as a small file of one row group is; large inputs stay where they are read."""
     tasks = df.sparkSession.sparkContext.defaultParallelism

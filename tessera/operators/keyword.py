@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import scope, small
 from tessera.functions.text import BOUNDARY, LEAST, tokens
 from tessera.operators.search import B, K1, cooccurrence
 
@@ -123,9 +124,9 @@ def fuzzy_share(name: Column, query: str) -> Column:
 
 
 def keyword_search(symbols: DataFrame, query: str, hits: DataFrame | None = None, k: int = 20, kind: str | None = None, project: str | None = None, boost: tuple[str, ...] = ()) -> DataFrame:
-    """The ``k`` best (id, project, path, name, kind, score, match), ties by id.
+    """The ``k`` best (id, project, path, name, kind, score, match), ties by id, then project. A symbol is a project's: equal ids of two are two.
 
-    ``hits`` (id, score) are the postings' best for the query and its
+    ``hits`` (project, id, score; without a project they are all projects') are the postings' best for the query and its
     synonyms; with them only hits and name matches are candidates. Points: hits up to 30,
     name 10, equal 20, synonym in the name 5, edit similarity from 0.6 up to
     15, summary 5 or 3, content 1 without a hit; a matched symbol gains for
@@ -134,7 +135,7 @@ def keyword_search(symbols: DataFrame, query: str, hits: DataFrame | None = None
     """
     low_query = query.lower()
     words, (said, more) = low_query.split(), expand_query(query)
-    s = symbols.dropDuplicates(["id"])
+    s = symbols.dropDuplicates(["project", "id"])
     if kind:
         s = s.where(F.lower("kind") == kind.lower())
     if project:
@@ -145,8 +146,8 @@ def keyword_search(symbols: DataFrame, query: str, hits: DataFrame | None = None
         s = s.withColumn("_hit", F.lit(0.0))
     else:
         best = hits.agg(F.max("score")).first()[0] or 0.0
-        h = hits.select("id", (F.col("score") / F.lit(float(best or 1.0)) * BEST).alias("_hit"))
-        s = s.join(F.broadcast(h), "id", "left")
+        key = [*scope(s, hits), "id"]
+        s = s.join(small(hits.select(*key, (F.col("score") / F.lit(float(best or 1.0)) * BEST).alias("_hit"))), key, "left")
         if best:
             s = s.where(F.col("_hit").isNotNull() | named | _any_in(name, more) | (name == low_query))
         s = s.withColumn("_hit", F.coalesce("_hit", F.lit(0.0)))
@@ -164,7 +165,7 @@ def keyword_search(symbols: DataFrame, query: str, hits: DataFrame | None = None
     extra = kinds + F.least(F.coalesce("refs", F.lit(0)) * 0.5, F.lit(10.0)) - F.when(_any_in(path, LOW_PATHS), 5).otherwise(0)
     extra = extra + F.when(F.coalesce("exported", F.lit(False)), 3).otherwise(0) + F.when(F.col("path").isin(list(boost)), 8).otherwise(0)
     s = s.withColumn("_base", base).where("_base > 0").select("id", "project", "path", "name", "kind", F.round(F.col("_base") + extra, 1).alias("score"), match.alias("match"))
-    return s.orderBy(F.desc("score"), "id").limit(k)
+    return s.orderBy(F.desc("score"), "id", "project").limit(k)
 
 
 # ---------------------------------------------------------------- text searches
@@ -216,19 +217,22 @@ FILE_WEIGHT, EDGE_WEIGHT, CALLER_WEIGHT = 1.0, 2.0, 1.5
 def concept_pairs(terms: DataFrame, edges: DataFrame, callers: DataFrame) -> DataFrame:
     """(x, y, c): how much terms of symbols belong together.
 
-    ``terms`` is (id, path, term), each once; ``edges`` (source, target);
-    ``callers`` (symbol_id, caller_id). Terms of a file of two symbols or
+    ``terms`` is (project, id, path, term), each once; ``edges`` (project,
+    source, target); ``callers`` (project, symbol_id, caller_id); the project
+    is part of the key where all have it. Terms of a file of two symbols or
     more, of what one caller calls, and of the two ends of an edge.
     """
-    several = lambda rows, g: rows.groupBy(g).agg(F.count_distinct("id").alias("n")).where("n > 1").select(g)
-    files = terms.join(several(terms, "path"), "path").select("path", "term").distinct()
-    called = callers.join(terms.select(F.col("id").alias("symbol_id"), "term"), "symbol_id").select("caller_id", F.col("symbol_id").alias("id"), "term")
-    shared = called.join(several(called, "caller_id"), "caller_id").select("caller_id", "term").distinct()
-    side = lambda end, term: terms.select(F.col("id").alias(end), F.col("term").alias(term))
-    ends = edges.select("source", "target").join(side("source", "x"), "source").join(side("target", "y"), "target").where("x <> y")
+    own = scope(terms, edges, callers)
+    several = lambda rows, g: rows.groupBy(*own, g).agg(F.count_distinct("id").alias("n")).where("n > 1").select(*own, g)
+    group = lambda c: F.struct(*own, c).alias("group")
+    files = terms.join(several(terms, "path"), [*own, "path"]).select(group("path"), "term").distinct()
+    called = callers.join(terms.select(*own, F.col("id").alias("symbol_id"), "term"), [*own, "symbol_id"]).select(*own, "caller_id", F.col("symbol_id").alias("id"), "term")
+    shared = called.join(several(called, "caller_id"), [*own, "caller_id"]).select(group("caller_id"), "term").distinct()
+    side = lambda end, term: terms.select(*own, F.col("id").alias(end), F.col("term").alias(term))
+    ends = edges.select(*own, "source", "target").join(side("source", "x"), [*own, "source"]).join(side("target", "y"), [*own, "target"]).where("x <> y")
     one = ends.groupBy("x", "y").agg((F.count("*") * EDGE_WEIGHT).alias("c"))
     both = one.union(one.select(F.col("y").alias("x"), F.col("x").alias("y"), "c"))
-    all_ = cooccurrence(files, "path", FILE_WEIGHT).union(cooccurrence(shared, "caller_id", CALLER_WEIGHT)).union(both)
+    all_ = cooccurrence(files, "group", FILE_WEIGHT).union(cooccurrence(shared, "group", CALLER_WEIGHT)).union(both)
     return all_.groupBy("x", "y").agg(F.sum("c").alias("c"))
 
 
@@ -237,8 +241,10 @@ def concept_pairs(terms: DataFrame, edges: DataFrame, callers: DataFrame) -> Dat
 
 def score_references(references: DataFrame, target_path: str, target_project: str, recent: DataFrame, hot: DataFrame) -> DataFrame:
     """References (path, project, confidence) with their relevance: confidence, changed lately (``recent``) or often (``hot``, both (path)), tests, project, folder."""
-    r = references.join(F.broadcast(recent.select("path").distinct().withColumn("_recent", F.lit(True))), "path", "left")
-    r = r.join(F.broadcast(hot.select("path").distinct().withColumn("_hot", F.lit(True))), "path", "left")
+    r = references
+    for name, rows in (("_recent", recent), ("_hot", hot)):
+        key = [*scope(r, rows), "path"]
+        r = r.join(small(rows.select(*key).distinct().withColumn(name, F.lit(True))), key, "left")
     folder = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
     own, there, low = folder(F.lit(target_path)), folder(F.col("path")), F.lower("path")
     score = F.when(F.col("confidence") == "high", 10).when(F.coalesce("confidence", F.lit("medium")) == "medium", 5).otherwise(1)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import written
+from tessera.functions.shared import scope, written
 from tessera.operators.graph import simple_paths
 
 #: Names, beginnings of names and kinds that a call graph starts at.
@@ -46,7 +47,7 @@ def find_symbol(symbols: DataFrame, asked: str, project: str | None = None, most
 
 
 def trace_up(callers: DataFrame, symbols: DataFrame, targets: DataFrame, depth: int = 8) -> DataFrame:
-    """(target, path, entry): paths from entry points down to each target (id) along ``callers`` (symbol_id, caller_id).
+    """(target, path, entry): paths from entry points down to each target (id) along ``callers`` (symbol_id, caller_id); of several projects, give ids that tell them apart.
 
     A path ends at the first entry point above the target or at a symbol that
     nobody calls; entries are written first, so a level is one join.
@@ -67,11 +68,14 @@ def trace_up(callers: DataFrame, symbols: DataFrame, targets: DataFrame, depth:
 def call_sites(callers: DataFrame, symbols: DataFrame, contents: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, caller, project, file, line, code): the first line of each caller that names the target; callers in the target's own file are left out.
 
-    ``contents`` is (id, content), ``symbols`` (id, project, path, name, start_line), ``targets`` (id).
+    ``contents`` is (project, id, content), ``symbols`` (project, id, path,
+    name, start_line), ``targets`` (project, id), ``callers`` (project,
+    symbol_id, caller_id). Where all have a project, it is part of the key.
     """
-    t = targets.select(F.col("id").alias("target")).join(symbols.select(F.col("id").alias("target"), F.col("name").alias("_name"), F.col("path").alias("_path")), "target")
-    c = callers.select(F.col("symbol_id").alias("target"), F.col("caller_id").alias("id")).distinct().join(t, "target")
-    c = c.join(symbols.select("id", "project", "path", "start_line"), "id").where("path <> _path").join(contents.select("id", "content"), "id", "left")
+    own = scope(callers, symbols, contents, targets)
+    t = targets.select(*own, F.col("id").alias("target")).join(symbols.select(*own, F.col("id").alias("target"), F.col("name").alias("_name"), F.col("path").alias("_path")), [*own, "target"])
+    c = callers.select(*own, F.col("symbol_id").alias("target"), F.col("caller_id").alias("id")).distinct().join(t, [*own, "target"])
+    c = c.join(symbols.select("id", "project", "path", "start_line"), [*own, "id"]).where("path <> _path").join(contents.select(*own, "id", "content"), [*own, "id"], "left")
     lines = F.split(F.coalesce("content", F.lit("")), "\n")
     at = F.array_position(F.transform(lines, lambda x: F.contains(x, bare(F.col("_name")))), True)
     line = F.when(at > 0, F.col("start_line") + at.cast("int") - 1).otherwise(0)
@@ -80,13 +84,14 @@ def call_sites(callers: DataFrame, symbols: DataFrame, contents: DataFrame, targ
 
 
 def edit_risk(sites: DataFrame, targets: DataFrame, change: str = "modify") -> DataFrame:
-    """(target, sites, projects, risk, meaning) of changing each target: safe, low, moderate or high by its call sites; deletions and renames are never low."""
-    n = sites.groupBy("target").agg(F.count("*").alias("sites"), F.count_distinct("project").alias("projects"))
-    t = targets.select(F.col("id").alias("target")).join(n, "target", "left").fillna(0, ["sites", "projects"])
+    """(target, sites, projects, risk, meaning), after the project if ``targets`` have one, of changing each target: safe, low, moderate or high by its call sites; deletions and renames are never low."""
+    own = scope(sites, targets)
+    n = sites.groupBy(*own, "target").agg(F.count("*").alias("sites"), F.count_distinct("project").alias("projects"))
+    t = targets.select(*own, F.col("id").alias("target")).join(n, [*own, "target"], "left").fillna(0, ["sites", "projects"])
     risk = F.when(F.col("sites") == 0, "safe").when((F.col("sites") <= 3) & (F.col("projects") <= 1), "low").when(F.col("sites") <= 10, "moderate").otherwise("high")
     if change in ("delete", "rename"):
         risk = F.when(F.col("sites") == 0, "safe").when(F.col("sites") > 3, "high").otherwise("moderate")
-    return t.select("target", "sites", "projects", risk.alias("risk"), F.lit(CHANGES.get(change, "Unknown change type.")).alias("meaning"))
+    return t.select(*own, "target", "sites", "projects", risk.alias("risk"), F.lit(CHANGES.get(change, "Unknown change type.")).alias("meaning"))
 
 
 # ---------------------------------------------------------------- files and symbols
@@ -104,11 +109,12 @@ def file_infos(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def related_files(callers: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(path, other, links): files whose symbols call one another, either way."""
-    paths = symbols.select("id", "path")
-    j = callers.join(paths.withColumnsRenamed({"id": "symbol_id", "path": "a"}), "symbol_id").join(paths.withColumnsRenamed({"id": "caller_id", "path": "b"}), "caller_id").where("a <> b")
-    both = j.select(F.col("a").alias("path"), F.col("b").alias("other")).union(j.select(F.col("b").alias("path"), F.col("a").alias("other")))
-    return both.groupBy("path", "other").agg(F.count("*").alias("links"))
+    """(path, other, links), after the project where both have one: files whose symbols call one another, either way."""
+    own = scope(callers, symbols)
+    paths = symbols.select(*own, "id", "path")
+    j = callers.join(paths.withColumnsRenamed({"id": "symbol_id", "path": "a"}), [*own, "symbol_id"]).join(paths.withColumnsRenamed({"id": "caller_id", "path": "b"}), [*own, "caller_id"]).where("a <> b")
+    both = j.select(*own, F.col("a").alias("path"), F.col("b").alias("other")).union(j.select(*own, F.col("b").alias("path"), F.col("a").alias("other")))
+    return both.groupBy(*own, "path", "other").agg(F.count("*").alias("links"))
 
 
 def file_texts(infos: DataFrame) -> DataFrame:
@@ -122,6 +128,9 @@ def file_texts(infos: DataFrame) -> DataFrame:
 def project_texts(infos: DataFrame, most: int = 100) -> DataFrame:
     """(project, files, text, tokens): an outline of every project: its files by folder, the first ``most`` named; four characters count as a token."""
     row = F.struct("path", F.concat(F.lit("- `"), "path", F.lit("`: "), F.coalesce("summary", F.lit(""))).alias("line"))
-    p = infos.groupBy("project").agg(F.count("*").alias("files"), F.array_sort(F.collect_list(row)).alias("rows"))
-    text = F.concat(F.lit("# Project: "), "project", F.lit("\n\n## File Map\n"), F.array_join(F.transform(F.slice("rows", 1, most), lambda r: r["line"]), "\n"))
+    # ranked first: no project's whole list of files comes into one row
+    named = infos.withColumn("_at", F.row_number().over(W.partitionBy("project").orderBy("path"))).where(F.col("_at") <= most)
+    rows = named.groupBy("project").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    p = infos.groupBy("project").agg(F.count("*").alias("files")).join(rows, "project")
+    text = F.concat(F.lit("# Project: "), "project", F.lit("\n\n## File Map\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
     return p.select("project", "files", text.alias("text")).withColumn("tokens", (F.length("text") / 4).cast("int"))

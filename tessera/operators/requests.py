@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import scope
+
 #: Lines and paths that show what a change touches.
 API_LINES = [
     r"(?i)@(app|router)\.(get|post|put|delete|patch|head|options)\s*\(",
@@ -124,11 +126,15 @@ def risk(diffs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 
 
 def reached(files: DataFrame, symbols: DataFrame, callers: DataFrame, key: str = "id") -> DataFrame:
-    """(key, caller_id, path): symbols outside the changed files that call what is inside. ``symbols`` (id, path), ``callers`` (symbol_id, caller_id)."""
-    f = files.select(key, F.col("file").alias("path")).distinct()
-    inside = f.join(symbols.select(F.col("id").alias("symbol_id"), "path"), "path").select(key, "symbol_id")
-    out = inside.join(callers, "symbol_id").join(symbols.select(F.col("id").alias("caller_id"), "path"), "caller_id").select(key, "caller_id", "path").distinct()
-    return out.join(f, [key, "path"], "left_anti").select(key, "caller_id", "path")
+    """(key, caller_id, path): symbols outside the changed files that call what is inside. ``symbols`` (id, path), ``callers`` (symbol_id, caller_id).
+
+    Where files, symbols and callers have a project, it is part of every key and of the result.
+    """
+    own = scope(files, symbols, callers)
+    f = files.select(key, *own, F.col("file").alias("path")).distinct()
+    inside = f.join(symbols.select(*own, F.col("id").alias("symbol_id"), "path"), [*own, "path"]).select(key, *own, "symbol_id")
+    out = inside.join(callers, [*own, "symbol_id"]).join(symbols.select(*own, F.col("id").alias("caller_id"), "path"), [*own, "caller_id"]).select(key, *own, "caller_id", "path").distinct()
+    return out.join(f, [key, *own, "path"], "left_anti").select(key, *own, "caller_id", "path")
 
 
 def suggested_tests(files: DataFrame, paths: DataFrame, key: str = "id") -> DataFrame:

@@ -7,9 +7,11 @@ that only its name tells, and one that nobody declares.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import written
+from tessera.functions.shared import folder, written
 from tessera.operators import dataflow as D
 from tessera.operators import keyword as K
 from tessera.operators import paths as A
@@ -179,17 +181,75 @@ def _symbols(spark, sf):
     )
 
 
-@query("""
-WITH s AS (SELECT 'part:' || p_partkey AS id, p_brand AS project, 'src/' || p_partkey || '.py' AS path, lower(split_part(p_name, ' ', 1)) AS name, split_part(p_name, ' ', 1) AS shown,
-  CASE p_size % 2 WHEN 0 THEN 'function' ELSE 'class' END AS kind, lower(p_type) AS summary, p_size FROM part),
-m AS (SELECT *, CASE WHEN abs(length(name) - 5) > greatest(length(name), 5) * 0.5 THEN 0 ELSE 1 - levenshtein(name, 'steel') / greatest(length(name), 5) END AS near FROM s),
-b AS (SELECT *, CASE WHEN contains(name, 'steel') THEN 10 ELSE 0 END + CASE WHEN name = 'steel' THEN 20 ELSE 0 END + CASE WHEN near >= 0.6 THEN near * 15 ELSE 0 END + CASE WHEN contains(summary, 'steel') THEN 5 ELSE 0 END AS base FROM m)
+SEARCHED = """
+WITH s AS (SELECT 'part:' || (p_partkey // 2) AS id, p_brand AS project, 'src/' || p_partkey || '.py' AS path, lower(split_part(p_name, ' ', 1)) AS name, split_part(p_name, ' ', 1) AS shown,
+  CASE p_size % 2 WHEN 0 THEN 'function' ELSE 'class' END AS kind, lower(p_type) AS summary, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_partkey // 2 ORDER BY p_partkey) = 1),
+t AS (SELECT project, id, unnest([name, summary]) AS term FROM s),
+p AS (SELECT project, id, term, count(*) AS tf FROM t WHERE term IN ('small', 'new', 'create') GROUP BY ALL),
+h AS (SELECT project, id, round(sum(ln(((SELECT count(*) FROM s) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5)), 6) AS hit FROM p JOIN (SELECT term, count(*) AS df FROM p GROUP BY 1) USING (term) GROUP BY ALL),
+m AS (SELECT s.*, coalesce(hit / (SELECT max(hit) FROM h) * 30, 0) AS hit, CASE WHEN abs(length(name) - 9) > greatest(length(name), 9) * 0.5 THEN 0 ELSE 1 - levenshtein(name, 'small new') / greatest(length(name), 9) END AS near,
+  contains(name, 'small') OR contains(name, 'new') AS named, false AS syn, contains(summary, 'small') OR contains(summary, 'new') AS told FROM s LEFT JOIN h USING (project, id)),
+b AS (SELECT *, hit + CASE WHEN named THEN 10 ELSE 0 END + CASE WHEN near >= 0.6 THEN near * 15 ELSE 0 END + CASE WHEN told THEN 5 ELSE 0 END AS base FROM m WHERE hit > 0 OR named)
 SELECT id, project, path, shown AS name, kind, round(base + CASE kind WHEN 'function' THEN 10 ELSE 8 END + least(p_size * 0.5, 10) + CASE WHEN p_size % 5 = 0 THEN 3 ELSE 0 END, 1) AS score,
-  concat_ws(', ', CASE WHEN contains(name, 'steel') THEN 'name' END, CASE WHEN near >= 0.6 THEN 'fuzzy' END, CASE WHEN contains(summary, 'steel') THEN 'summary' END) AS match
-FROM b WHERE base > 0 ORDER BY score DESC, id LIMIT 50
-""")
+  concat_ws(', ', CASE WHEN hit > 0 THEN 'bm25' END, CASE WHEN named THEN 'name' END, CASE WHEN near >= 0.6 THEN 'fuzzy' END, CASE WHEN told THEN 'summary' END) AS match
+FROM b WHERE base > 0 ORDER BY score DESC, id, project LIMIT 50
+"""
+
+
+@query(SEARCHED)
 def keyword_search(spark, sf):
-    return K.keyword_search(_symbols(spark, sf), "steel", k=50)
+    """Parts of two words, by stored postings of their names and types; projects share ids, and a synonym is asked for too."""
+    s = _symbols(spark, sf).withColumn("id", F.concat(F.lit("part:"), F.expr("cast(regexp_extract(id, '[0-9]+', 0) as long) div 2")))
+    s = written(s.withColumn("n", F.regexp_extract("path", r"(\d+)", 1).cast("long")).groupBy("project", "id").agg(F.min_by(F.struct(*[c for c in s.columns if c not in ("project", "id")]), "n").alias("x")).select("project", "id", "x.*"), "symbols")
+    at = f"{folder(spark)}/postings-{uuid.uuid4().hex}"
+    K.save_postings(s.select(F.struct("project", "id").alias("key"), F.concat_ws(" ", "name", "summary").alias("text")), "key", "text", at)
+    hits = K.search_postings(spark, at, "key", ["small", "new", "create"], k=1 << 20).select("key.project", "key.id", "score")
+    return K.keyword_search(s, "small new", hits, k=50)
+
+
+@query("""
+WITH w AS (SELECT doc_id AS id, trim(substr(trim(regexp_replace(substr(text, greatest(strpos(lower(text), 'ing the') - 30, 1)), '\n', ' ', 'g')), 1, 10)) AS x FROM documents WHERE contains(lower(text), 'ing the'))
+SELECT id, 'content' AS type FROM w
+""")
+def text_search(spark, sf):
+    """Documents that hold two words in a row anywhere, case aside."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), F.lit("d.txt").alias("path"), F.lit("").alias("name"), F.col("text").alias("content"))
+    return K.text_search(d, "ing the", "all", 1).where("type = 'content'").select("id", "type")
+
+
+@query("""
+WITH r AS (SELECT p_brand AS project, p_partkey % 50 AS id, p_size AS path, p_partkey, unnest(string_split(lower(p_name), ' ')) AS term FROM part),
+t AS (SELECT project, id, path, term FROM r QUALIFY row_number() OVER (PARTITION BY project, id, term ORDER BY p_partkey) = 1),
+f AS (SELECT project, path FROM t GROUP BY ALL HAVING count(DISTINCT id) > 1), ft AS (SELECT DISTINCT project, path, term FROM t JOIN f USING (project, path)),
+e AS (SELECT DISTINCT project, id AS source, (id + 1) % 50 AS target FROM t),
+k AS (SELECT DISTINCT project, id, id // 10 AS caller FROM t), kt AS (SELECT k.project, caller, t.id, term FROM k JOIN t USING (project, id)),
+ks AS (SELECT project, caller FROM kt GROUP BY ALL HAVING count(DISTINCT id) > 1), kx AS (SELECT DISTINCT project, caller, term FROM kt JOIN ks USING (project, caller)),
+o AS (SELECT a.term AS x, b.term AS y, 2.0 AS c FROM e JOIN t a ON a.project = e.project AND a.id = source JOIN t b ON b.project = e.project AND b.id = target WHERE a.term <> b.term),
+u AS (SELECT a.term AS x, b.term AS y, 1.0 AS c FROM ft a JOIN ft b USING (project, path) WHERE a.term <> b.term UNION ALL
+  SELECT a.term, b.term, 1.5 FROM kx a JOIN kx b USING (project, caller) WHERE a.term <> b.term UNION ALL SELECT x, y, c FROM o UNION ALL SELECT y, x, c FROM o)
+SELECT x, y, sum(c)::DOUBLE AS c FROM u GROUP BY 1, 2
+""")
+def concept_weights(spark, sf):
+    """Terms of parts by shared file, edge and caller, brands being projects of which each has its own ids."""
+    p = load(spark, sf, "part").select(F.col("p_brand").alias("project"), (F.col("p_partkey") % 50).alias("id"), F.col("p_size").alias("path"), F.explode(F.split(F.lower("p_name"), " ")).alias("term"), "p_partkey")
+    terms = written(p.groupBy("project", "id", "term").agg(F.min_by("path", "p_partkey").alias("path")), "terms")
+    ids = terms.select("project", "id").distinct()
+    edges = ids.select("project", F.col("id").alias("source"), ((F.col("id") + 1) % 50).alias("target"))
+    return K.concept_pairs(terms, edges, ids.select("project", F.col("id").alias("symbol_id"), F.floor(F.col("id") / 10).alias("caller_id")))
+
+
+@query("""
+SELECT s_suppkey AS id, x AS test FROM supplier, LATERAL (SELECT unnest(['p' || s_nationkey || '/tests/test_s' || s_suppkey || '.py', 'p' || s_nationkey || '/lib/s' || s_suppkey || '_test.py']) AS x)
+WHERE s_suppkey % 2 = 0 OR NOT contains(x, 'tests/')
+""")
+def suggested_tests(spark, sf):
+    """The tests of every supplier's file: one beside it, and for every second one in a folder of tests."""
+    s = load(spark, sf, "supplier")
+    files = s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("p"), "s_nationkey", F.lit("/lib/s"), "s_suppkey", F.lit(".py")).alias("file"))
+    beside = F.concat(F.lit("p"), "s_nationkey", F.lit("/lib/s"), "s_suppkey", F.lit("_test.py"))
+    apart = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("p"), "s_nationkey", F.lit("/tests/test_s"), "s_suppkey", F.lit(".py")))
+    paths = s.select(F.explode(F.array_compact(F.array(beside, apart, F.concat(F.lit("lib/s"), "s_suppkey", F.lit(".go"))))).alias("path"))
+    return Q.suggested_tests(files, paths)
 
 
 @query("""
@@ -221,12 +281,11 @@ def edit_preview(spark, sf):
     symbols, edges, files = scanned(spark, sf)
     full = lambda c: F.concat("project", F.lit(":"), F.col(c))
     found = R.resolved(symbols, edges).where("found is not null")
-    callers = found.select(full("found").alias("symbol_id"), full("source").alias("caller_id"))
-    contents = R.contents(symbols, files).select(full("id").alias("id"), "content")
-    s = symbols.withColumn("id", full("id"))
+    callers = found.select("project", F.col("found").alias("symbol_id"), F.col("source").alias("caller_id"))
     first = load(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s"))
-    targets = first.select(F.concat(F.lit("p"), "s_nationkey", F.lit(":lib/s"), "s", F.lit(".py:function:help"), "s").alias("id"))
-    return P2.edit_risk(P2.call_sites(callers, s, contents, targets), targets, "delete")
+    targets = first.select(F.concat(F.lit("p"), "s_nationkey").alias("project"), F.concat(F.lit("lib/s"), "s", F.lit(".py:function:help"), "s").alias("id"))
+    out = P2.edit_risk(P2.call_sites(callers, symbols, R.contents(symbols, files), targets), targets, "delete")
+    return out.withColumn("target", full("target")).drop("project")
 
 
 @query(

@@ -213,9 +213,16 @@ def trace_down(spark, sf):
     return G.simple_paths(foreign_keys(spark, sf).where("type <> 'calls'").select("source", "target"), starts, depth=3)
 
 
-@query("SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""
+SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'order:' || o_orderkey FROM orders UNION ALL
+SELECT 'part:' || p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)
+""")
 def dead_symbols(spark, sf):
-    nodes = load(spark, sf, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
+    """Customers, orders, parts and suppliers that nothing refers to; orders begin everything."""
+    nodes = None
+    for table, column in (("customer", "c_custkey"), ("order", "o_orderkey"), ("part", "p_partkey"), ("supplier", "s_suppkey")):
+        rows = load(spark, sf, "orders" if table == "order" else table).select(F.concat(F.lit(f"{table}:"), F.col(column).cast("string")).alias("id"))
+        nodes = rows if nodes is None else nodes.union(rows)
     return G.orphans(nodes, foreign_keys(spark, sf))
 
 

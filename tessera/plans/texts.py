@@ -194,6 +194,22 @@ def line_findings(spark, sf):
     return S.line_findings(load(spark, sf, "documents").select(F.concat("doc_id", F.lit(".py")).alias("path"), "text"))
 
 
+#: Lines that a rule finds, by what an order's number leaves over of 6; the rest speaks of them only.
+RISKY = ["x = eval(value)", "h = hashlib.md5(data)", "DEBUG = True", "# x = eval(value)", "requests.get(url, verify=False)", "n = random.randint(1, 6)"]
+
+
+@query("""
+WITH o AS (SELECT 'o' || o_orderkey || CASE o_orderkey % 2 WHEN 0 THEN '.py' ELSE '.go' END AS path, o_orderkey % 6 AS k, o_orderkey % 2 = 0 AS py FROM orders)
+SELECT path, 2::INT AS line, rule, severity FROM o JOIN (VALUES (0, 'eval()', 'high', false), (0, 'UNSAFE_EVAL', 'high', true), (1, 'WEAK_HASH_MD5', 'high', false), (2, 'DEBUG_ENABLED_DJANGO', 'medium', true),
+  (3, 'UNSAFE_EVAL', 'high', true), (4, 'TLS_VERIFY_DISABLED_PY', 'high', true), (5, 'INSECURE_RANDOM_PY', 'low', true)) r(k, rule, severity, only_py) USING (k) WHERE py OR NOT only_py
+""")
+def risky_lines(spark, sf):
+    """Every order a file of Python or Go with a line that rules find, or that only speaks of one."""
+    line = F.element_at(F.array(*map(F.lit, RISKY)), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    path = F.concat(F.lit("o"), "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, ".py").otherwise(".go"))
+    return S.line_findings(load(spark, sf, "orders").select(path.alias("path"), F.concat(F.lit("a = 1\n"), line, F.lit("\nb = 2\n")).alias("text"))).select("path", "line", "rule", "severity")
+
+
 def _models(spark, sf):
     """Every customer a Python model, every supplier of the same key a TypeScript one."""
     py = F.concat(F.lit("from pydantic import BaseModel\nclass M"), "c_custkey", F.lit("(BaseModel):\n    id: int\n    tags: list[str] = []\n    note: "), F.when(F.col("c_nationkey") % 2 == 0, "Optional[str]").otherwise("str"), F.lit("\n    only: bool\n"))

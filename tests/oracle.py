@@ -22,3 +22,4 @@ def agree(spark, query, sql, sf=SF):
     want = rows(columns, [dict(zip(names, r)) for r in res.fetchall()])
     assert sorted(names) == columns
     assert got == want
+    assert got, "a query that finds nothing shows nothing"

@@ -203,3 +203,30 @@ def test_what_changed_is_resolved_anew(spark):
         paths = spark.createDataFrame([("p", f"f{k}.py") for k in changed], "project string, path string")
         key = lambda df: sorted(map(str, df.collect()))
         assert key(R.refreshed(before, s, e, paths)) == key(R.resolved(s, e))
+
+
+def test_equal_ids_of_two_projects_are_two(spark):
+    rows = [("a", p, f"src/a{p}.py", "function", "login", "", "login", 0, False, 1, 2) for p in ("p", "q")] + [("b", "q", "src/b.py", "function", "other", "", "x\nlogin()", 0, False, 4, 5)]
+    s = spark.createDataFrame(rows, SYMBOLS)
+    assert [(r["id"], r["project"]) for r in K.keyword_search(s, "login").collect() if r["id"] == "a"] == [("a", "p"), ("a", "q")]
+    hits = spark.createDataFrame([("q", "a", 2.0), ("p", "a", 1.0)], "project string, id string, score double")
+    got = {(r["id"], r["project"]): r["score"] for r in K.keyword_search(s, "login", hits).collect()}
+    assert got["a", "q"] - got["a", "p"] == 15
+    callers = spark.createDataFrame([("q", "a", "b")], "project string, symbol_id string, caller_id string")
+    targets = spark.createDataFrame([("p", "a"), ("q", "a")], "project string, id string")
+    sites = P.call_sites(callers, s, s, targets)
+    assert [(r["project"], r["target"], r["line"]) for r in sites.collect()] == [("q", "a", 5)]
+    assert {(r["project"], r["sites"]) for r in P.edit_risk(sites, targets, "delete").collect()} == {("p", 0), ("q", 1)}
+    assert sorted(map(tuple, P.related_files(callers, s).collect())) == [("q", "src/aq.py", "src/b.py", 1), ("q", "src/b.py", "src/aq.py", 1)]
+    changed = spark.createDataFrame([(1, "p", "src/ap.py"), (2, "q", "src/aq.py")], "id int, project string, file string")
+    assert [tuple(r) for r in Q.reached(changed, s, callers).collect()] == [(2, "q", "b", "src/b.py")]
+    terms = spark.createDataFrame([("p", "1", "f", "x"), ("q", "1", "f", "y"), ("p", "2", "f", "z")], "project string, id string, path string, term string")
+    none = spark.createDataFrame([], "project string, source string, target string")
+    pairs = K.concept_pairs(terms, none, none.toDF("project", "symbol_id", "caller_id"))
+    assert {(r["x"], r["y"]) for r in pairs.collect()} == {("x", "z"), ("z", "x")}
+
+
+def test_project_texts_name_the_first_files(spark):
+    rows = [("p", f"f{k:02}.py", f"s{k}") for k in range(30)] + [("q", "a.py", None)]
+    got = {r["project"]: r for r in P.project_texts(spark.createDataFrame(rows, "project string, path string, summary string"), 3).collect()}
+    assert got["p"]["files"] == 30 and [x[:12] for x in got["p"]["text"].split("\n")[3:]] == ["- `f00.py`: ", "- `f01.py`: ", "- `f02.py`: "] and "`a.py`: " in got["q"]["text"]
