@@ -30,34 +30,59 @@ from tessera.llm.common import saved, table
 REFERENCES, SHIPPED_BYTES = 8, 16 << 20
 #: Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
-APART = frozenset("nav footer aside form script style noscript template iframe select option button textarea svg canvas object dialog menu head title".split())
+#: Elements that end a run of text; all others stand in it.
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
+    "main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
+)
+#: Elements whose inside is no text of the page; they end no run.
+SILENT = frozenset("audio button canvas datalist iframe noscript object script select style svg template textarea video".split())
+APART = frozenset("nav footer aside dialog menu head title".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption summary".split())
 CLOSED_BY_BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEAD = frozenset("base link meta noscript script style template title".split())
 LISTS = frozenset("ul ol dl table tbody thead".split())
 BOXES = frozenset("div section span main article center font".split())
-_word = lambda words: re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.IGNORECASE)
-_ADVERTS = _word(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*")
-_COMMENTS = _word(r"comments?|commentlist|respond|repl(?:y|ies)|disqus")
-_APART_NAMES = _word(
+#: Parts of class words that name adverts, comments of readers, and other parts beside an article.
+_ADVERTS = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*")
+_COMMENTS = re.compile(r"comments?|commentlist|respond|repl(?:y|ies)|disqus")
+_APART_NAMES = re.compile(
     r"banner|cookies?|consent|gdpr|notice|notification|alert|sidebar|sidenav|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead"
     r"|shar(?:e|ing)|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|copyright|disclaimer|skip"
 )
+#: Parts of class words that tell a state or a layout, and such as boxes of any kind are called by (a year is none).
+_STATES = re.compile(r"has|have|no|non|not|with|without|is|are|open(?:ed)?|closed?|enabled?|disabled?|on|off|allow(?:ed)?|left|right|none|full|layout|count|format|type|status|tag|category")
+_PLAIN = re.compile(
+    r"\d{1,3}|\d{5,}|area|articles?|bars?|block|body|box|btn|buttons?|bottom|center|col|container|content|fixed|footer|form|group|header|heading|icons?|inner|items?|links?|lists?|main|message|outer|page|panel|posts?"
+    r"|region|row|section|site|slot|space|sticky|stories|text|title|top|unit|wrap|wrapper"
+)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main)(?:[_-](?:body|content|text))?(?:$|\s)", re.IGNORECASE)
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
+def words_of(said: str) -> list[list[str]]:
+    """The class words and ids of an element, each as its parts; ``shareButtons`` has two, digits at the end of one are one of their own."""
+    return [[p.lower() for p in re.findall(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+|\d+", w)] for w in said.split()]
+
+
+def names(words: list[list[str]], kind: re.Pattern) -> tuple[bool, bool]:
+    """Whether one of the words has a part of that kind and none that tells a state; and whether one has nothing else besides plain parts."""
+    some = [w for w in words if any(kind.fullmatch(p) for p in w) and not any(_STATES.fullmatch(p) for p in w)]
+    return bool(some), any(all(kind.fullmatch(p) or _PLAIN.fullmatch(p) for p in w) for w in some)
+
+
 class Node:
-    __slots__ = ("tag", "name", "kids", "text", "links", "apart", "said", "main", "size", "_mark")
+    __slots__ = ("tag", "name", "kids", "text", "links", "apart", "said", "named", "main", "size", "length", "headed", "holds", "_mark")
 
     def __init__(self, tag: str, name: str = ""):
         self.tag, self.name, self.kids = tag, name, []
         self.text, self.links = "", 0
-        #: Apart by its tag, role or attributes; by the words of its class alone; the main part.
-        self.apart = self.said = self.main = False
-        self.size = 1
+        #: Apart by its tag, role or attributes; by a word of its class; by a word that says nothing else; the main part.
+        self.apart = self.said = self.named = self.main = False
+        #: Nodes and characters below, a title among them, a main part among them.
+        self.size, self.length, self.headed, self.holds = 1, 0, False, False
         self._mark = None
 
     @property
@@ -85,6 +110,8 @@ class _Tree(HTMLParser):
         self.words: list[str] = []
         self.anchor = self.linked = 0
         self.mute: list[tuple[int, str]] = []
+        #: Open elements from the outermost silent one on.
+        self.silent: list[str] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -118,15 +145,21 @@ class _Tree(HTMLParser):
             self._end_head()
         if tag in ("html", "body"):
             return
+        if self.silent or tag in SILENT:
+            if tag not in VOID:
+                self.silent.append(tag)
+            return
         a = {k: v or "" for k, v in attrs}
         said = " ".join(x for x in (a.get("class"), a.get("id")) if x)
-        hidden = "hidden" in a or a.get("aria-hidden") == "true"
-        if tag in INLINE:
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
+        words = words_of(said)
+        advert, only_advert = names(words, _ADVERTS)
+        if tag not in BLOCKS:
             if tag == "a":
                 self.anchor = 1
             elif tag == "br":
                 self.words.append(" ")
-            if tag not in VOID and (self.mute or hidden or (said and _ADVERTS.search(said))):
+            if tag not in VOID and (self.mute or hidden or advert):
                 self.mute.append((len(self.open) - 1, tag))
             return
         self.flush()
@@ -140,11 +173,15 @@ class _Tree(HTMLParser):
         self.anchor = 0
         node = Node(tag, re.sub(r"\d+", "", said).strip())
         role = a.get("role", "").lower()
-        node.apart = tag in APART or role in _APART_ROLES or hidden or bool(self.mute) or bool(said and _ADVERTS.search(said)) or bool(said and _COMMENTS.search(said))
-        node.said = bool(said and _APART_NAMES.search(said))
+        comment, _ = names(words, _COMMENTS)
+        node.said, node.named = names(words, _APART_NAMES)
+        node.apart = tag in APART or role in _APART_ROLES or hidden or bool(self.mute)
         node.main = tag in ("article", "main") or role in ("main", "article") or bool(said and _MAIN_NAMES.search(said))
-        if tag in ("article", "main") and not hidden and not re.search(r"comment|repl|related|promo|teaser|\bads?\b", said, re.IGNORECASE):
-            node.apart = node.said = False
+        if node.main:
+            # what is called an article is none only if a word says so and nothing else: a post with open comments, or of a promotion, is one
+            comment = tag != "main" and any(w and _COMMENTS.fullmatch(w[0]) and not any(_STATES.fullmatch(p) for p in w) for w in words)
+            advert, node.said = tag != "main" and only_advert, tag != "main" and node.named
+        node.apart = node.apart or advert or comment
         self.open[-1].kids.append(node)
         if tag not in VOID:
             self.places.setdefault(tag, []).append(len(self.open))
@@ -156,7 +193,14 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in INLINE:
+        if self.silent:
+            if tag in self.silent:
+                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+                return
+            if not (tag in BLOCKS and self._last(tag)):
+                return
+            self.silent = []  # never closed: it ends with what it stands in
+        if tag not in BLOCKS:
             if tag == "a":
                 self.anchor = 0
             if self.mute and self.mute[-1][1] == tag:
@@ -170,7 +214,7 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
             self._end_head()
-        if self.mute:
+        if self.mute or self.silent:
             return
         if self.anchor:
             self.linked += len(data)
@@ -189,6 +233,9 @@ def parse(html: str | None) -> Node:
         stack += n.kids
     for n in reversed(order):
         n.size = 1 + sum(k.size for k in n.kids)
+        n.length = len(n.text) + sum(k.length for k in n.kids)
+        n.headed = any(k.headed or k.tag in ("h1", "h2") for k in n.kids)
+        n.holds = any(k.holds or (k.main and not k.apart) for k in n.kids)
     return t.root
 
 
@@ -420,10 +467,12 @@ def _told(trees: list[Node]) -> list[frozenset[str]]:
 def leaves(root: Node, wrapped: bool = False) -> list[tuple[Node, tuple[bool, bool, Node]]]:
     """Leaves in page order with: inside something apart, inside the main part, their parent.
 
-    What a class is called sets boxes apart everywhere, but lists, tables and
-    paragraphs of the main part only if they are mostly links: an article may
-    have a menu of dishes. With ``wrapped``, what the boxes around the main
-    part are called does not count.
+    What a class is called sets parts apart everywhere, but in the main part
+    only boxes whose word says nothing else, and what is mostly links: an
+    article may have a menu of dishes and a section on related work. A form is
+    apart unless it holds a main part, or a title and most of the page's text.
+    With ``wrapped``, what the boxes around the main part are called does not
+    count.
     """
     out, stack = [], [(root, False, False, False, root)]
     while stack:
@@ -432,11 +481,13 @@ def leaves(root: Node, wrapped: bool = False) -> list[tuple[Node, tuple[bool, bo
             out.append((n, (apart or said, main, parent)))
             continue
         if n.tag == "header" and not apart:
-            apart = not (main and any(k.tag in ("h1", "h2") for k in n.kids))
+            apart = not (main and n.headed)
+        if n.tag == "form" and (main or not (n.holds or (n.headed and 2 * n.length >= root.length))):
+            apart = True
         apart = apart or n.apart
         if n.main and wrapped:
             said = False
-        said = said or (n.said and (not main or n.tag in BOXES or _linked(n)))
+        said = said or (n.said and (not main or (n.named and n.tag in BOXES) or _linked(n)))
         main = main or (n.main and not apart and not said)
         stack += [(k, apart, said, main, n) for k in reversed(n.kids)]
     return out

@@ -194,6 +194,48 @@ def test_ends_that_are_left_out():
     assert e("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == "a\n\nb\n\nc\n\nd"
 
 
+#: Pages and their main texts, written by hand: class words of blogs and frameworks, forms around pages, elements inside a run.
+BY_HAND = [
+    ('<article class="post hentry comments-open"><h1>T</h1><p>Body</p></article>', "T|Body"),
+    ('<div class="post has-comments"><p>Body</p></div><div class="comments"><p>Nice</p></div>', "Body"),
+    ('<article class="post promo-2019"><p>Body</p></article>', "Body"),
+    ('<article class="post-17 post type-post status-publish format-standard category-ads tag-promo"><p>Body</p></article>', "Body"),
+    ('<main><section class="alert-design"><p>On alerts</p></section></main>', "On alerts"),
+    ('<article><p>One</p><section class="related-work"><h2>Related work</h2><p>Two</p></section></article>', "One|Related work|Two"),
+    ('<article><p>One</p><section class="related-posts"><h2>More</h2><p>Two</p></section><div class="shareButtons">Share</div></article>', "One"),
+    ('<article><p>One</p><section class="related-work"><a href=x>Link one</a><a href=y>Link two</a></section></article>', "One"),
+    ("<article><header><div><h1>Title</h1></div></header><p>Body</p></article>", "Title|Body"),
+    ("<article><header><div><span>By me</span></div></header><p>Body</p></article>", "Body"),
+    ("<header><div><h1>Site</h1></div></header><article><p>Body</p></article>", "Body"),
+    ("<article><p>Hello <script>var x</script>world again</p></article>", "Hello world again"),
+    ("<article><p>Hello <button>Buy</button>world <video>no <p>video</video>again</p></article>", "Hello world again"),
+    ("<article><p>One <my-tag>two</my-tag> <picture><source><img></picture>three <math><mi>x</mi></math></p></article>", "One two three x"),
+    ("<article><p><ruby>kan<rp>(</rp><rt>ji</rt><rp>)</rp></ruby> here</p></article>", "kan(ji) here"),
+    ('<article><p>One</p><div style="color: red; display:none">secret</div><p style="visibility: hidden">gone</p></article>', "One"),
+    ("<form method=post><div><h1>Title</h1><p>All of the text of the page</p></div><div class=menu><a>x</a></div></form>", "Title|All of the text of the page"),
+    ("<form><div class='main-content'><p>Body</p></div></form>", "Body"),
+    ("<h1>Log in</h1><p>Welcome back to all of you here</p><form><p>Name <input></p></form>", "Log in|Welcome back to all of you here"),
+    ("<article><p>One</p><form><h2>Join</h2><p>Mail</p></form></article>", "One"),
+    ('<article><p>One</p></article><section id="respond"><p>Write</p></section><article class="comment byuser depth-1"><p>Nice</p></article>', "One"),
+    ('<article><p>One</p><ol class="commentlist"><li id="comment-55"><p>Nice</p></li></ol></article>', "One"),
+    ('<div class="content no-sidebar"><article><p>One</p></article></div><div class="sidebar"><p>x</p></div>', "One"),
+    ('<article class="post ad"><p>Buy</p></article><article><p>One</p></article>', "One"),
+    ('<article class="ad-box"><p>Buy</p></article><article><p>One</p></article>', "One"),
+    ("<article><p>One <noscript><p>no</p></noscript>two</p></article>", "One two"),
+    ("<article><p>One</p><div><button>Never closed</div><p>Two</p></article>", "One|Two"),
+    ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><dl><dt>e<dd>f</dl></article>", "a|b|c|d|e|f"),
+    ("<article><p>One<select><option>x<option>y</select> two</p><hr><blockquote>Said</blockquote></article>", "One two|Said"),
+    ("<main><p>One</p><div class='newsletter-signup'><p>Join</p></div><div class='cookie-notice'>We</div><div class='social-history'><p>Two</p></div></main>", "One|Two"),
+    ("<body><div><p>Only text</p></div><script>x()</script><template><p>no</p></template></body>", "Only text"),
+    ("<article><p>A&amp;B &#8212; c&nbsp;d\n\t e</p><textarea>x</textarea></article>", "A&B \u2014 c d e"),
+]
+
+
+@pytest.mark.parametrize("page,want", BY_HAND)
+def test_pages_by_hand(page, want):
+    assert html_extract.extract(page, None).split("\n\n") == want.split("|")
+
+
 def test_matching_against_brute_force():
     """The weight of simple tree matching by its definition, on random small trees."""
     rng = np.random.default_rng(11)
