@@ -1,3 +1,3 @@
 """Named queries over the driver's tables."""
 
-from tessera.plans import registry, texts, projects, stores  # noqa: F401
+from tessera.plans import registry, texts, projects, stores, tasks  # noqa: F401
