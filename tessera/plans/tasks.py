@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import taskplan as P
 from tessera.plans.registry import query
 from tessera.sources.tables import load
 from tessera.streaming import guard as Gd
@@ -68,3 +69,66 @@ SELECT task, seq::BIGINT AS seq, verdict, step, gate, next FROM g WHERE called
 def guard_verdicts(spark, sf):
     """What a guard says of every call of every order's task."""
     return Gd.guard_verdicts(guarded_events(spark, sf))
+
+
+def _levels(place):
+    return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.expr(f"o_custkey div {3**place}") % 3 + 1).cast("int"))
+
+
+def planned_tasks(spark, sf):
+    """Every order a task of some intent and levels of risk; its lines name the symbols and files that it touches."""
+    o = load(spark, sf, "orders")
+    intent = F.element_at(F.array(*map(F.lit, ["refactor", "bugfix", "feature", "cleanup", "migration"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    easy = F.col("o_orderkey") % 4 == 0
+    tasks = o.select(F.col("o_orderkey").alias("task"), intent.alias("intent"), *[F.when(easy, "low").otherwise(_levels(k)).alias(d) for k, d in enumerate(P.DIMENSIONS)])
+    l = load(spark, sf, "lineitem")  # noqa: E741
+    targets = l.select(F.col("l_orderkey").alias("task"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("place"), F.concat(F.lit("s"), "l_partkey").alias("symbol"), F.concat(F.lit("f"), "l_suppkey").alias("path"))
+    return tasks, targets
+
+
+@query("""
+WITH RECURSIVE o AS (
+  SELECT o_orderkey AS task, ['refactor', 'bugfix', 'feature', 'cleanup', 'migration'][1 + o_orderkey % 5] AS intent, [CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE (o_custkey // (3 ** k)::BIGINT) % 3 END FOR k IN range(6)] AS d FROM orders),
+t AS (SELECT *, list_max(d[:5]) = 0 AND intent IN ('cleanup', 'bugfix') AS short, intent <> 'feature' AS refers FROM o),
+g AS (SELECT DISTINCT l_orderkey AS task, l_linenumber * 1000000 + l_partkey AS place, 's' || l_partkey AS symbol, 'f' || l_suppkey AS path FROM lineitem),
+s AS (SELECT task, arg, row_number() OVER (PARTITION BY task ORDER BY place, arg) - 1 AS k, count(*) OVER (PARTITION BY task) AS n FROM (SELECT DISTINCT task, place, symbol AS arg FROM g)),
+f AS (SELECT task, arg, row_number() OVER (PARTITION BY task ORDER BY place, arg) - 1 AS k, count(*) OVER (PARTITION BY task) AS n FROM (SELECT task, path AS arg, min(place) AS place FROM g GROUP BY 1, 2)),
+st AS (SELECT s.*, t.* EXCLUDE task, CASE WHEN n = 1 THEN '' ELSE '_' || k END AS x, CASE WHEN n = 1 THEN '' ELSE '_0' END AS z FROM s JOIN t USING (task)),
+ft AS (SELECT f.*, t.* EXCLUDE task, CASE WHEN n = 1 THEN '' ELSE '_' || k END AS x FROM f JOIN t USING (task)),
+p AS (
+  SELECT task, 100 + k AS place, 'scope_callers' || x AS step, 'find_references' AS tool, arg, true AS required, []::VARCHAR[] AS needs FROM st WHERE NOT short AND refers AND k < 10 UNION ALL
+  SELECT task, 160, 'batch_scope_callers', 'impact_analysis', arg, true, [] FROM st WHERE NOT short AND refers AND k = 10 UNION ALL
+  SELECT task, 100, 'scope_callers', 'find_references', arg, true, [] FROM st WHERE short AND k = 0 AND intent = 'cleanup' UNION ALL
+  SELECT task, 200 + k, 'verify_test_coverage' || x, 'find_test_file', arg, d[3] > 0, [] FROM ft WHERE NOT short AND k < 10 UNION ALL
+  SELECT task, 300, 'check_cross_project', 'find_references', arg, true, CASE WHEN refers THEN ['scope_callers' || z] ELSE [] END FROM st WHERE NOT short AND k = 0 AND d[4] > 0 UNION ALL
+  SELECT task, 400, 'map_dependencies', 'dependency_graph', arg, d[5] > 1, [] FROM ft WHERE NOT short AND k = 0 AND d[5] > 0 UNION ALL
+  SELECT task, 500 + k, 'assess_blast_radius' || x, 'impact_analysis', arg, d[1] > 0, CASE WHEN refers THEN ['scope_callers' || x] ELSE [] END FROM st WHERE NOT short AND n <= 10 UNION ALL
+  SELECT task, 500, 'batch_assess_blast_radius', 'impact_analysis', arg, d[1] > 0, CASE WHEN refers THEN ['scope_callers_0'] ELSE [] END FROM st WHERE NOT short AND n > 10 AND k = 0 UNION ALL
+  SELECT task, 600, 'preview_change_risk', 'edit_impact_preview', arg, true, [CASE WHEN n <= 10 THEN 'assess_blast_radius' || z ELSE 'batch_assess_blast_radius' END] FROM st WHERE NOT short AND k = 0 AND d[2] > 0),
+a AS (
+  SELECT * FROM p UNION ALL
+  SELECT task, 700, 'gate_before_plan', 'task_gate_check', 'plan_changes', true, (SELECT coalesce(list(step), []) FROM p WHERE p.task = t.task) FROM t WHERE NOT short UNION ALL
+  SELECT task, 800, 'gate_before_apply', 'task_gate_check', 'apply_changes', true, CASE WHEN short THEN [] ELSE ['gate_before_plan'] END FROM t),
+e AS (SELECT task, step, unnest(needs) AS needs FROM a),
+w(task, step, wave) AS (SELECT task, step, 0 FROM a WHERE len(needs) = 0 UNION SELECT e.task, e.step, wave + 1 FROM w JOIN e ON e.task = w.task AND e.needs = w.step),
+m AS (SELECT task, step, max(wave) AS wave FROM w GROUP BY 1, 2),
+r AS (SELECT a.*, wave, row_number() OVER (PARTITION BY task ORDER BY place) AS number FROM a JOIN m USING (task, step))
+SELECT task, number::INT AS number, wave, 'step_' || lpad(number::VARCHAR, 2, '0') || '_' || step AS step, tool, arg, required, tool = 'task_gate_check' AS gate FROM r
+""")
+def task_plan(spark, sf):
+    """The ordered steps of every order's task, with gates, and the wave in which each can be taken."""
+    return P.plans(*planned_tasks(spark, sf))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS task, o_orderkey % 5 AS i, o_orderkey % 4 = 0 AS easy, [CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE (o_custkey // (3 ** k)::BIGINT) % 3 END FOR k IN range(6)] AS d FROM orders)
+SELECT task, list_contains(d, 2) AND d[1] = 2 AS bulk, CASE WHEN d[1] = 2 AND d[3] = 2 OR d[2] = 2 AND d[4] = 2 THEN 1 WHEN len(list_filter(d, lambda x: x = 2)) >= 2 OR d[1] = 2 THEN 2 WHEN d[1] = 1 THEN 3 ELSE 5 END AS max_files,
+  NOT ((d[4] >= 1 AND task % 3 <> 0) OR d[3] >= 1 OR d[2] = 2) AS passed,
+  list_filter([CASE WHEN d[4] >= 1 AND task % 3 <> 0 THEN 'CROSS_PROJECT_CHECK_REQUIRED' END, CASE WHEN d[3] >= 1 THEN 'TEST_REVIEW_REQUIRED' END, CASE WHEN d[2] = 2 THEN 'HUMAN_REVIEW_REQUIRED_FOR_PUBLIC_CONTRACT_CHANGE' END], lambda x: x IS NOT NULL) AS reasons FROM o
+""")
+def task_gates(spark, sf):
+    """Whether every order's task may apply its changes; every third has checked other projects."""
+    tasks = P.constraints(planned_tasks(spark, sf)[0])
+    done = F.when(F.col("task") % 3 == 0, F.array(F.lit("cross_project_check_done"))).otherwise(F.array().cast("array<string>"))
+    gates = P.gate_check(tasks, tasks.select("task", F.lit("apply_changes").alias("phase"), done.alias("done")))
+    return gates.join(tasks.select("task", F.array_contains("blocked", "bulk_replace").alias("bulk"), "max_files"), "task").select("task", "bulk", "max_files", "passed", "reasons")
