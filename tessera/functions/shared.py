@@ -42,6 +42,17 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows up to which a loop's table is held by the driver between rounds.
+HELD = 10_000
+
+
+def held(df: DataFrame, label: str, rows: int = HELD) -> tuple[DataFrame, bool]:
+    """``df``, narrow rows, computed once, and whether it is small: then it is rows of the plan, of which there are at most ``rows``, else a table of the shared folder."""
+    kept = written(df, label)
+    some = kept.limit(rows + 1).collect()
+    return (df.sparkSession.createDataFrame(some, df.schema), True) if len(some) <= rows else (kept, False)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all tasks if it is read by fewer than there are, as a small file of one row group is; large inputs stay where they are read."""
     tasks = df.sparkSession.sparkContext.defaultParallelism

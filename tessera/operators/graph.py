@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import written
+from tessera.functions.shared import held, written
 
 
 def reverse_index(edges: DataFrame) -> DataFrame:
@@ -22,19 +22,31 @@ def reference_counts(edges: DataFrame) -> DataFrame:
 def impact(edges: DataFrame, root: Column | str, depth: int = 3) -> DataFrame:
     """(id, level): what depends on ``root`` through at most ``depth`` edges, with the least level.
 
-    Edges are written once, dealt and sorted by what they lead to; so is every
-    level's frontier, so that a level costs one join whatever came before it.
-    The walk ends with the first empty frontier.
+    While a level's frontier is small, it is rows of the plan that are sent to
+    where the edges are read, and no edge is shuffled. Beyond that the edges
+    are written once, dealt and sorted by what they lead to, and so is every
+    frontier. A level costs one join whatever came before it; the walk ends
+    with the first empty frontier.
     """
     spark = edges.sparkSession
-    frontier = written(spark.range(1).select((F.lit(root) if isinstance(root, str) else root).alias("id"), F.lit(0).alias("level")), "frontier")
-    step = written(edges.select(F.col("target").alias("id"), F.col("source").alias("next")).where("id is not null").distinct().repartition("id").sortWithinPartitions("id"), "edges")
+    frontier, few = held(spark.range(1).select((F.lit(root) if isinstance(root, str) else root).alias("id"), F.lit(0).alias("level")), "frontier")
+    step = edges.select(F.col("target").alias("id"), F.col("source").alias("next")).where("id is not null")
+    dealt = None
     levels = [frontier]
     for level in range(1, depth + 1):
-        new = frontier.join(step, "id").select(F.col("next").alias("id")).distinct()
+        if few:
+            new = step.join(F.broadcast(frontier.select("id")), "id")
+        else:
+            dealt = dealt or written(step.distinct().repartition("id").sortWithinPartitions("id"), "edges")
+            new = frontier.join(dealt, "id")
+        new = new.select(F.col("next").alias("id")).distinct()
         for seen in levels:
             new = new.join(seen.select("id"), "id", "left_anti")
-        frontier = written(new.withColumn("level", F.lit(level)), "frontier")
+        new = new.withColumn("level", F.lit(level))
+        if level == depth:  # nothing follows: it need not be kept
+            levels.append(new)
+            break
+        frontier, few = held(new, "frontier")
         if frontier.isEmpty():
             break
         levels.append(frontier)
