@@ -242,6 +242,33 @@ def page_media(pages: DataFrame, media: DataFrame) -> DataFrame:
     )
 
 
+def interleaved(docs: DataFrame, every: int = 3, lost: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Pages (doc_id, html) and media (digest, media) of documents cut by their own lines.
+
+    Every third line is a figure that refers to the line's stored form, with
+    the line's number as caption; blank lines are none. Of the lines, one in
+    ``lost`` by its hash has no stored form, so that its references stay open;
+    equal lines are one payload with many references.
+    """
+    lines = F.transform(F.split(text_or_empty(), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+    rows = docs.select(F.col("doc_id").cast("long"), F.filter(lines, lambda x: F.trim(x["line"]) != "").alias("lines"))
+    gap = lambda x: F.pmod(-F.octet_length(x), F.lit(WIDTH)).cast("int")
+    digest = lambda x: F.sha2(F.concat(x, F.repeat(F.lit(" "), gap(x))), 256)
+    plain = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    figure = lambda x: F.concat(F.lit('<figure><img src="sha256:'), digest(x["line"]), F.lit('"><figcaption>line '), x["i"].cast("string"), F.lit("</figcaption></figure>"))
+    part = lambda x: F.when(x["i"] % every == every - 1, figure(x)).otherwise(F.concat(F.lit("<p>"), plain(x["line"]), F.lit("</p>")))
+    pages = rows.select("doc_id", F.array_join(F.transform("lines", part), "").alias("html"))
+    told = rows.select(F.inline("lines")).where(F.col("i") % every == every - 1).select(F.col("line").alias("text"))
+    return pages, media_table(told.where(F.crc32("text") % lost != 0).distinct())
+
+
+def op6_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` as pages of text and figures, parsed into sequences whose media are resolved; see ``interleaved``."""
+    pages, media = interleaved(table(spark, sf_dir, "documents"))
+    items = resolve(sequences(pages, "doc_id"), measured(media).select("digest", "payload_bytes", "payload_sha256"))
+    return items.select("doc_id", "position", "kind", "text", "digest", "caption", "payload_bytes", "payload_sha256")
+
+
 def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``pages`` as sequences of text and media; media are looked up among the stored ``documents``, unknown ones keep nulls."""
     return page_media(table(spark, sf_dir, "pages"), media_table(table(spark, sf_dir, "documents")))

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import row_key, saved, table, text_or_empty, unused
 
 CAPACITY = 1024
+#: Rows of one length, about, that are ranked in one share.
+SHARE = 500_000
 END_ID = 2
 #: Words a tokenizing worker remembers before it starts afresh.
 CACHE_WORDS = 800_000
@@ -289,10 +291,11 @@ def _place(slots, rank: str):
     return run
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to piece rows (``length`` from 1 to ``capacity``; all other columns are kept).
 
-    Ranks within a length are counted in ``salts`` shares, so that a length
+    Ranks within a length are counted in ``salts`` shares, by default as many
+    as leave ``SHARE`` rows of the commonest length to each, so that a length
     that a third of all rows have does not meet in one task. Only the
     histogram, at most ``capacity`` rows, reaches the driver. Repeated rows
     are placed each on its own, in any order among themselves; an empty input
@@ -301,10 +304,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFra
     """
     spark, parts = parts.sparkSession, parts.drop("sequence_id", "offset")
     salt, n, before, row, rank = (unused(parts, x) for x in ("salt", "n", "before", "row", "rank"))
+    histogram = {r[0]: r[1] for r in parts.groupBy("length").agg(F.count("*").alias(n)).collect()}
+    salts = salts or max(64, max(histogram.values(), default=0) // SHARE)
     salted = parts.withColumn(salt, F.pmod(row_key(parts), F.lit(salts)))
     counts = salted.groupBy("length", salt).agg(F.count("*").alias(n))
     counts = counts.withColumn(before, F.sum(n).over(W.partitionBy("length").orderBy(salt).rowsBetween(W.unboundedPreceding, -1)))
-    histogram = {r[0]: r[1] for r in parts.groupBy("length").agg(F.count("*").alias(n)).collect()}
     slots = spark.sparkContext.broadcast(_slots(plan(histogram, capacity)))
     ranked = salted.withColumn(row, F.row_number().over(W.partitionBy("length", salt).orderBy(*[c for c in parts.columns if c != "length"])))
     ranked = ranked.join(counts.select("length", salt, before), ["length", salt])

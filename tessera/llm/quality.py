@@ -101,10 +101,11 @@ def fold(col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Discriminant:
-    """Fits on labelled documents outside the held-out fold, ``rows`` of them at most."""
+    """Fits on labelled documents outside the held-out fold, ``rows`` of them at most; of an id that several rows have, on the text that hashes lowest."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(fold() != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id").select("quality", "text")
+    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("quality", "text")
     got = sample.mapInPandas(_features, "quality int, x array<double>").toPandas()
     order = np.lexsort(np.array(got["x"].tolist()).T) if len(got) else []
     x = np.array(got["x"].tolist()).reshape(-1, FEATURES)[order]
@@ -139,5 +140,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all ``documents``, fitted on ``labels``.
+
+    Null and empty texts have a score like any other; null or repeated ids
+    keep their rows; without labels of both kinds all scores are the labels'
+    mean, or one half; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))

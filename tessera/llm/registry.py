@@ -9,7 +9,7 @@ from tessera.llm.chat import op4_chat
 from tessera.llm.fingerprint import op5_fingerprint
 from tessera.llm.html_extract import op2_html
 from tessera.llm.language import op3_language, op3_pages, op3_priors
-from tessera.llm.media import op6_media, op6_pages
+from tessera.llm.media import op6_interleaved, op6_media, op6_pages
 from tessera.llm.mixing import op8_mixing
 from tessera.llm.neighbours import op12_neighbours
 from tessera.llm.packing import op1_packing
@@ -19,10 +19,28 @@ from tessera.llm.simhash import op10_simhash
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_html, op3_language, op3_pages, op3_priors, op4_chat, op5_fingerprint, op6_media, op6_pages, op7_quality, op8_mixing, op9_sharding, op10_simhash, repair.op11_repair, op12_neighbours, centroids.op13_centroids)
+    for f in (op1_packing, op2_html, op3_language, op3_pages, op3_priors, op4_chat, op5_fingerprint, op6_media, op6_interleaved, op6_pages, op7_quality, op8_mixing, op9_sharding, op10_simhash, repair.op11_repair, op12_neighbours, centroids.op13_centroids)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
+    "op6_interleaved": r"""
+        WITH l AS (
+          SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents
+        ), p AS (
+          SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS position, i, i % 3 = 2 AS fig, line, line || repeat(' ', ((-strlen(line)) % 192 + 192) % 192) AS padded FROM l WHERE trim(line) <> ''
+        ), stored AS (
+          SELECT DISTINCT line, sha256(padded) AS digest, strlen(padded) AS n FROM p WHERE fig
+        ), bytes AS (
+          SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) AS c FROM range(256) r(n))
+        ), hexed AS (
+          SELECT line, digest, n, list_transform(range(strlen(line)), lambda k: ('0x' || substr(hex(encode(line)), 2 * k + 1, 2))::BIGINT) AS k FROM stored
+        ), kept AS (
+          SELECT digest, any_value(n) AS n FROM (SELECT *, xor(list_reduce(k, lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]), 4294967295), 4294967295) % 10 AS r FROM hexed, bytes) WHERE r <> 0 GROUP BY 1
+        )
+        SELECT doc_id, position::INT AS position, CASE WHEN fig THEN 'media' ELSE 'text' END AS kind, CASE WHEN NOT fig THEN trim(regexp_replace(line, '\s+', ' ', 'g')) END AS text, CASE WHEN fig THEN sha256(padded) END AS digest,
+               CASE WHEN fig THEN 'line ' || i END AS caption, n::BIGINT AS payload_bytes, CASE WHEN n IS NOT NULL THEN digest END AS payload_sha256
+        FROM (SELECT p.*, k.n, k.digest FROM p LEFT JOIN kept k ON fig AND k.digest = sha256(padded))
+    """,
     "op11_repair": repair.TWIN,
     "op13_centroids": centroids.TWIN,
     "op3_priors": r"""

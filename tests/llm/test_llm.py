@@ -761,3 +761,44 @@ def test_pipeline(spark):
             t = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
             assert all(d == root for d, (_, root) in brute(t).items())
     assert p.run(spark, SF).count() > 0
+
+
+def test_interleaved_documents_resolve(spark):
+    rows = [(1, "a & <b>\none\nfig one\n\n  \ntwo words\nx\ny\nfig one"), (2, "t\nu\nfig one"), (3, None), (4, ""), (5, "p\nq\n" + "".join(f"{k}\n-\nmedia {k}\n" for k in range(30)))]
+    d = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, digest string, kind string")
+    pages, stored = media.interleaved(d)
+    items = media.resolve(media.sequences(pages, "doc_id"), media.measured(stored)).collect()
+    figures = [r for r in items if r["kind"] == "media"]
+    missing = lambda line: zlib.crc32(line.encode()) % 10 == 0
+    for doc, text in rows:
+        lines = [(i, x) for i, x in enumerate((text or "").split("\n")) if x.strip()]
+        own = sorted((r for r in items if r["doc_id"] == doc), key=lambda r: r["position"])
+        assert [r["position"] for r in own] == list(range(len(lines)))
+        for r, (i, x) in zip(own, lines):
+            if i % 3 == 2:
+                digest = hashlib.sha256(media.padded(x.encode())).hexdigest()
+                assert (r["kind"], r["digest"], r["caption"], r["payload_sha256"]) == ("media", digest, f"line {i}", None if missing(x) else digest)
+            else:
+                assert (r["kind"], r["text"]) == ("text", x.strip())
+    assert 2 * sum(r["payload_bytes"] is not None for r in figures) > len(figures) > len({r["digest"] for r in figures})
+
+
+def test_a_label_that_many_rows_repeat_is_one_row_of_the_fit(spark):
+    texts = [(k, f"word {k} " * (k % 7 + 1)) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    once = quality.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    often = quality.fit(spark.createDataFrame(texts + [texts[1]] * 200, "doc_id long, text string"), labels)
+    x = np.array([quality.statistics(t) for _, t in texts])
+    assert np.allclose(once.score(x), often.score(x))
+
+
+def test_shares_of_ranks_follow_the_commonest_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE", 2)
+    parts = spark.createDataFrame([(k, 3 if k % 5 else 5) for k in range(400)], "doc_id long, length long")
+    places = defaultdict(list)
+    for r in packing.pack(parts, 16).collect():
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(map(len, places.values())) == 400
+    for spans in places.values():
+        ends = [o + n for o, n in sorted(spans)]
+        assert [o for o, _ in sorted(spans)] == [0, *ends[:-1]] and ends[-1] <= 16
