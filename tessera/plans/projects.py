@@ -19,6 +19,7 @@ from tessera.operators import preview as P2
 from tessera.operators import requests as Q
 from tessera.operators import resolution as R
 from tessera.operators import rules as U
+from tessera.operators import testmap as T
 from tessera.plans.registry import query
 from tessera.sources import code as P
 from tessera.sources import flows as L
@@ -421,3 +422,26 @@ def data_flow(spark, sf):
     rows, facts = written(P.scan(files), "scan"), written(L.facts(files), "facts")
     moves = D.steps(facts, R.resolved(P.symbols(rows), P.edges(rows)).where("type = 'calls'"))
     return D.reached_parameters(facts, D.flow(moves, D.named_starts(facts, "secret"))).select("project", "start", "fn", "param")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS s, s_nationkey AS n, 'lib/s' || s_suppkey || '.py' AS source FROM supplier),
+won AS (SELECT n, min(source) AS source FROM s WHERE s % 2 = 1 GROUP BY 1), any_ AS (SELECT n, min(source) AS source FROM s GROUP BY 1)
+SELECT 'p' || n AS project, source, 'tests/test_s' || s || '.py' AS test, 1000 AS weight, true AS first FROM s WHERE s % 2 = 0 UNION ALL
+SELECT 'p' || n, source, 'tests/flow' || s || '.py', 102, s % 2 = 1 AND source NOT IN (SELECT source FROM won WHERE won.n = s.n) FROM s UNION ALL
+SELECT 'p' || n, source, 'tests/all.py', 102, true FROM won UNION ALL SELECT 'p' || n, source, 'tests/all.py', 102, false FROM any_ WHERE n NOT IN (SELECT n FROM won)
+""")
+def tests_by_imports(spark, sf):
+    """Tests of every nation's library: by name for every second file, one that imports each file, one that imports all."""
+    s = load(spark, sf, "supplier")
+    project = F.concat(F.lit("p"), "s_nationkey").alias("project")
+    use = lambda c: F.concat(F.lit("from s"), c, F.lit(" import help"), c, F.lit("\n\ndef test"), c, F.lit("():\n    help"), c, F.lit("()\n"))
+    lib = s.select(project, F.concat(F.lit("lib/s"), "s_suppkey", F.lit(".py")).alias("path"), F.concat(F.lit("def help"), "s_suppkey", F.lit("():\n    pass\n")).alias("text"))
+    flow = s.select(project, F.concat(F.lit("tests/flow"), "s_suppkey", F.lit(".py")), use(F.col("s_suppkey").cast("string")))
+    own = s.where("s_suppkey % 2 = 0").select(project, F.concat(F.lit("tests/test_s"), "s_suppkey", F.lit(".py")), F.lit("def test():\n    pass\n"))
+    every = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(use(F.col("s_suppkey").cast("string")))), "\n").alias("text")).select(project, F.lit("tests/all.py"), "text")
+    files = written(lib.union(flow).union(own).union(every), "files")
+    rows = written(P.scan(files), "scan")
+    symbols, edges = P.symbols(rows), P.edges(rows)
+    callers = R.callers(symbols, edges, R.resolved(symbols, edges))
+    return T.assigned(T.evidence(files, R.imported_symbols(symbols, edges), callers)).withColumn("weight", F.col("weight").cast("int"))

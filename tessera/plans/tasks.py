@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import taskplan as P
 from tessera.plans.registry import query
 from tessera.sources.tables import load
+from tessera.streaming import bounded as B
 from tessera.streaming import guard as Gd
 
 #: Steps of two plans: (step, tool, argument).
@@ -132,3 +133,14 @@ def task_gates(spark, sf):
     done = F.when(F.col("task") % 3 == 0, F.array(F.lit("cross_project_check_done"))).otherwise(F.array().cast("array<string>"))
     gates = P.gate_check(tasks, tasks.select("task", F.lit("apply_changes").alias("phase"), done.alias("done")))
     return gates.join(tasks.select("task", F.array_contains("blocked", "bulk_replace").alias("bulk"), "max_files"), "task").select("task", "bulk", "max_files", "passed", "reasons")
+
+
+@query("""
+WITH s AS (SELECT user_id AS session, max(ts) AS last, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1),
+f AS (SELECT * FROM s WHERE (SELECT max(last) FROM s) - last <= INTERVAL 86400 SECOND ORDER BY last DESC, session LIMIT 20)
+SELECT * FROM s WHERE session NOT IN (SELECT session FROM f)
+""")
+def evicted_sessions(spark, sf):
+    """The users whose sessions go if only twenty are kept, and none for over a day."""
+    e = load(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"))
+    return B.evicted_sessions(e, 20).withColumn("last", F.col("last").cast("timestamp_ntz"))
