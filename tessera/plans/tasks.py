@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import written
+from tessera.operators import contracts as K
 from tessera.operators import taskplan as P
 from tessera.plans.registry import query
+from tessera.sources import schemas as S
 from tessera.sources.tables import load
 from tessera.streaming import bounded as B
 from tessera.streaming import guard as Gd
@@ -144,3 +147,36 @@ def evicted_sessions(spark, sf):
     """The users whose sessions go if only twenty are kept, and none for over a day."""
     e = load(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"))
     return B.evicted_sessions(e, 20).withColumn("last", F.col("last").cast("timestamp_ntz"))
+
+
+def contract_tables(spark, sf):
+    """Every supplier's handler answers with a page of its model, every caller of it expects one; models nest, refer to themselves and take arguments."""
+    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    k = F.col("k").cast("string")
+    py = text(
+        "class Page(BaseModel, Generic[T]):\n    items: list[T]\n    total: int\n\nclass Model", k, "(BaseModel):\n    id: ", F.when(F.col("n") % 2 == 0, "int").otherwise("str"), "\n    parent: Optional[Model", k,
+        "]\n    marks: dict[str, list[Mark]]\n\nclass Mark(BaseModel):\n    at: int\n    note: Optional[str]\n",
+    )
+    ts = text(
+        "export interface Page<T> {\n  items: T[];\n  total: number;\n}\nexport interface Model", k, " {\n  id: number;\n  parent?: Model", k, ";\n  marks: Record<string, Mark[]>;\n", F.when(F.col("n") % 3 == 0, "  extra: string;\n").otherwise(""),
+        "}\nexport interface Mark {\n  at: number;\n  note", F.when(F.col("n") % 5 == 0, "").otherwise("?"), ": string;\n}\n",
+    )
+    files = s.select(F.concat(F.lit("py"), "k").alias("project"), F.lit("m.py").alias("path"), py.alias("text")).union(s.select(F.concat(F.lit("ts"), "k"), F.lit("m.ts"), ts))
+    root = lambda o, c: F.concat(F.lit(f"Page{o}Model"), "k", F.lit(c))
+    return files, s.select(F.col("k").alias("contract"), F.concat(F.lit("py"), "k").alias("project"), root("[", "]").alias("root"), F.concat(F.lit("ts"), "k").alias("caller_project"), root("<", ">").alias("caller_root"))
+
+
+@query("""
+SELECT s_suppkey AS contract, '.items[].id' AS path, 'type_mismatch' AS issue, 'error' AS severity FROM supplier WHERE s_nationkey % 2 = 1 UNION ALL
+SELECT s_suppkey, '.items[].extra', 'missing_in_handler', 'error' FROM supplier WHERE s_nationkey % 3 = 0 UNION ALL
+SELECT s_suppkey, '.items[].marks{}[].note', 'optionality_mismatch', 'warning' FROM supplier WHERE s_nationkey % 5 = 0
+""")
+def api_contracts(spark, sf):
+    """What every supplier's handler gives against what its caller expects, by the paths of opened types."""
+    files, contracts = contract_tables(spark, sf)
+    found = written(S.models(files), "models")
+    fields, params = S.inherited(found), found.select("project", "model", "params").distinct()
+    given = K.leaves(contracts.select("project", "root"), fields, params)
+    expected = K.leaves(contracts.select(F.col("caller_project").alias("project"), F.col("caller_root").alias("root")), fields, params)
+    return K.compared(contracts, given, expected)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tessera.sources.arrow import batches
 from tessera.sources.code import blank, block_ends
 
-SCHEMA = "project string, path string, model string, model_kind string, bases array<string>, field string, type string, optional boolean"
+SCHEMA = "project string, path string, model string, model_kind string, bases array<string>, params array<string>, field string, type string, optional boolean"
 ARROW = pa.schema(
-    [("project", pa.string()), ("path", pa.string()), ("model", pa.string()), ("model_kind", pa.string()), ("bases", pa.list_(pa.string())), ("field", pa.string()), ("type", pa.string()), ("optional", pa.bool_())]
+    [("project", pa.string()), ("path", pa.string()), ("model", pa.string()), ("model_kind", pa.string()), ("bases", pa.list_(pa.string())), ("params", pa.list_(pa.string())), ("field", pa.string()), ("type", pa.string()), ("optional", pa.bool_())]
 )
 
 #: Canonical spellings of plain types.
@@ -92,7 +92,8 @@ def _python_models(text: str) -> Iterator[tuple]:
                     alias = next((k.value.value for k in item.value.keywords if k.arg in ("alias", "serialization_alias") and isinstance(k.value, ast.Constant) and isinstance(k.value.value, str)), None)
                 t = canonical(ast.unparse(item.annotation), "python")
                 fields.append((alias or item.target.id, t, _nullable(t)))
-        yield node.name, kind, bases, fields
+        params = [ast.unparse(p) for b in node.bases if isinstance(b, ast.Subscript) and ast.unparse(b.value).rpartition(".")[2] in ("Generic", "Protocol") for p in (b.slice.elts if isinstance(b.slice, ast.Tuple) else [b.slice])]
+        yield node.name, kind, bases, params + [p.name for p in node.type_params], fields
 
 
 FIELD = re.compile(r"(?:readonly\s+)?['\"]?(\w+)['\"]?(\?)?\s*:\s*(.+)", re.S)
@@ -115,30 +116,31 @@ UTILITY = re.compile(r"^(?:export\s+)?type\s+(\w+)\s*=\s*(Pick|Omit|Partial|Requ
 def _typescript_models(text: str) -> Iterator[tuple]:
     blanked = blank(text, "typescript")
     ends, known = block_ends(blanked), {}
-    for m in re.finditer(r"^(?:export\s+)?(?:interface\s+(\w+)(?:<[^>{]*>)?(?:\s+extends\s+([^{]+))?|type\s+(\w+)(?:<[^>=]*>)?\s*=\s*((?:\w+\s*&\s*)*))\s*\{", blanked, re.M):
-        name, start = m[1] or m[3], m.end()
-        bases = [b.split("<")[0].strip() for b in re.split(r"[,&]", m[2] or m[4] or "") if b.strip()]
-        after = re.match(r"\s*&\s*(\w+)", blanked[ends[start - 1] + 1 :]) if m[3] else None
-        known[name] = ("interface" if m[1] else "type", bases + ([after[1]] if after else []), _typescript_fields(re.sub(r"/\*.*?\*/|//[^\n]*", "", text[start : ends[start - 1]], flags=re.S)))
+    for m in re.finditer(r"^(?:export\s+)?(?:interface\s+(\w+)(?:<([^>{]*)>)?(?:\s+extends\s+([^{]+))?|type\s+(\w+)(?:<([^>=]*)>)?\s*=\s*((?:\w+\s*&\s*)*))\s*\{", blanked, re.M):
+        name, start = m[1] or m[4], m.end()
+        bases = [b.split("<")[0].strip() for b in re.split(r"[,&]", m[3] or m[6] or "") if b.strip()]
+        after = re.match(r"\s*&\s*(\w+)", blanked[ends[start - 1] + 1 :]) if m[4] else None
+        params = [p.split()[0] for p in split_outside(m[2] or m[5] or "", ",") if p]
+        known[name] = ("interface" if m[1] else "type", bases + ([after[1]] if after else []), params, _typescript_fields(re.sub(r"/\*.*?\*/|//[^\n]*", "", text[start : ends[start - 1]], flags=re.S)))
     for m in UTILITY.finditer(text):
         keys = set(re.findall(r"['\"](\w+)['\"]", m[4] or ""))
-        of = known.get(m[3], ("type", [], []))[2]
+        of = known.get(m[3], ("type", [], [], []))[3]
         kept = [f for f in of if {"Pick": f[0] in keys, "Omit": f[0] not in keys}.get(m[2], True)]
-        known[m[1]] = ("type", [], [(n, t, {"Partial": True, "Required": False}.get(m[2], o)) for n, t, o in kept])
-    for name, (kind, bases, fields) in known.items():
-        yield name, kind, bases, fields
+        known[m[1]] = ("type", [], [], [(n, t, {"Partial": True, "Required": False}.get(m[2], o)) for n, t, o in kept])
+    for name, (kind, bases, params, fields) in known.items():
+        yield name, kind, bases, params, fields
 
 
 def models(files: DataFrame, project: str = "project", path: str = "path", text: str = "text") -> DataFrame:
-    """(project, path, model, model_kind, bases, field, type, optional) of every declared type; one without fields has one row with a null field."""
+    """(project, path, model, model_kind, bases, params, field, type, optional) of every declared type; one without fields has one row with a null field."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in parts:
             for pr, pt, tx in zip(*(c.to_pylist() for c in part.columns)):
                 ext = (pt or "").rpartition(".")[2]
                 found = _python_models(tx or "") if ext == "py" else _typescript_models(tx or "") if ext in ("ts", "tsx") else ()
-                for model, kind, bases, fields in found:
-                    yield from (dict(zip(ARROW.names, (pr, pt, model, kind, bases, *f))) for f in fields or [(None, None, None)])
+                for model, kind, bases, params, fields in found:
+                    yield from (dict(zip(ARROW.names, (pr, pt, model, kind, bases, params, *f))) for f in fields or [(None, None, None)])
 
     return files.select(F.col(project).alias("project"), F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(lambda parts: batches(rows(parts), ARROW), SCHEMA)
 
