@@ -562,7 +562,7 @@ def coverage_pct(spark, sf):
 def interval_overlap(spark, sf):
     d = _days(spark, sf)
     hunk = lambda kind, n: d.where(F.col("event_type") == kind).select("key", F.col("point").alias("start"), (F.col("point") + n).alias("end")).distinct()
-    return I.overlaps(hunk("purchase", 2), hunk("error", 1), "key", 8)
+    return I.overlaps(hunk("purchase", 2), hunk("error", 1), "key")
 
 
 @query(f"WITH {DAYS} SELECT DISTINCT key, point FROM d WHERE event_type = 'purchase' EXCEPT SELECT key, point FROM d WHERE event_type = 'view'")

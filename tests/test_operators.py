@@ -84,3 +84,30 @@ def test_sessions_as_a_stream(spark, tmp_path):
     got = {(r["user"], r["n"]) for r in spark.table("sess").collect()}
     assert got == {("u", 2), ("u", 1)}  # the last session is still open
     assert {(r["user"], r["n"]) for r in sessions.sessions(e, "user", "ts").collect()} == {("u", 2), ("u", 1), ("v", 1)}
+
+
+def test_intervals_against_points(spark):
+    import random
+
+    rng = random.Random(4)
+    span = lambda n: [(rng.choice("kl"), s, s + rng.choice([0, 1, 5, 40, 300])) for s in (rng.randrange(-200, 400) for _ in range(n))]
+    a, b, points = span(25), span(25), [(rng.choice("klm"), rng.randrange(-200, 700)) for _ in range(300)]
+    kind = "key string, start long, end long"
+    d, e = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    got = sorted((r["key"], r["start"], r["end"], r["b_start"], r["b_end"]) for r in intervals.overlaps(d, e, "key").collect())
+    assert got == sorted((k, s, t, u, v) for k, s, t in a for j, u, v in b if k == j and s <= v and u <= t)
+    c = spark.createDataFrame(points, "key string, point long")
+    all_ = {k: {x for j, s, t in a if j == k for x in range(s, t + 1)} for k in {k for k, _, _ in a}}
+    seen = {k: {x for j, x in points if j == k} & all_[k] for k in all_}
+    assert {(r["key"], r["total"], r["covered"]) for r in intervals.coverage(d, c, "key").collect()} == {(k, len(v), len(seen[k])) for k, v in all_.items()}
+    lacking = {(r["key"], x) for r in intervals.uncovered(d, c, "key").collect() for x in range(r["start"], r["end"] + 1)}
+    assert lacking == {(k, x) for k, v in all_.items() for x in v - seen[k]}
+    runs = intervals.uncovered(d, c, "key").collect()
+    assert all(r["n"] == r["end"] - r["start"] + 1 for r in runs) and not {(r["key"], r["end"] + 1) for r in runs} & {(r["key"], r["start"]) for r in runs}
+
+
+def test_a_span_of_a_thousand_million_points_is_few_rows(spark):
+    s = spark.createDataFrame([("k", 0, 10**9), ("k", 5, 6)], "key string, start long, end long")
+    c = spark.createDataFrame([("k", 10), ("k", 10**9)], "key string, point long")
+    assert sorted((r["start"], r["end"]) for r in intervals.uncovered(s, c, "key").collect()) == [(0, 9), (11, 10**9 - 1)]
+    assert intervals.coverage(s, c, "key").first()["total"] == 10**9 + 1 and intervals.overlaps(s, s, "key").count() == 4
