@@ -130,3 +130,26 @@ def parameter_edges(calls: DataFrame, symbols: DataFrame, name: str) -> DataFram
     """Calls (source, target) into symbols (id, params) one of whose parameters holds ``name``, without case."""
     takes = symbols.where(F.exists("params", lambda p: F.contains(F.lower(p), F.lit(name.lower())))).select(F.col("id").alias("target"))
     return calls.select("source", "target").distinct().join(takes.distinct(), "target").select("source", "target")
+
+
+# ---------------------------------------------------------------- declared and imported packages
+
+
+def reachable(declared: DataFrame, imports: DataFrame) -> DataFrame:
+    """(project, name, reachable) of ``declared`` packages (project, name): whether an import of the project (project, target) holds the name, case aside.
+
+    Imports are cut into their pieces of the lengths that names have, so that
+    containment is an equi-join. A null or empty name is no package.
+    """
+    d = declared.where("name is not null and name <> ''").select("project", "name").distinct().withColumn("piece", F.lower("name"))
+    lengths = d.groupBy("project").agg(F.collect_set(F.length("piece")).alias("lengths"))
+    i = imports.where("target is not null and target <> ''").select("project", F.explode(F.array_distinct(F.array(F.lower("target"), F.replace(F.lower("target"), F.lit("\\"), F.lit("/"))))).alias("t")).distinct()
+    i = i.join(lengths, "project").select("project", "t", F.explode("lengths").alias("n")).where("n <= length(t)")
+    pieces = i.select("project", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda k: F.substring(F.col("t"), k, F.col("n")))).alias("piece")).distinct()
+    return d.join(pieces.withColumn("hit", F.lit(True)), ["project", "piece"], "left").select("project", "name", F.coalesce("hit", F.lit(False)).alias("reachable"))
+
+
+def reach(found: DataFrame) -> DataFrame:
+    """(project, total, reachable, unreachable, pct) of ``reachable``'s rows; pct is the whole percentage that nothing imports, halves to even."""
+    g = found.groupBy("project").agg(F.count("*").alias("total"), F.count_if("reachable").alias("reachable")).withColumn("unreachable", F.col("total") - F.col("reachable"))
+    return g.withColumn("pct", F.bround(F.col("unreachable") / F.col("total") * 100, 0).cast("int"))

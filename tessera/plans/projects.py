@@ -16,6 +16,7 @@ from tessera.operators import dataflow as D
 from tessera.operators import keyword as K
 from tessera.operators import paths as A
 from tessera.operators import preview as P2
+from tessera.operators import project as J
 from tessera.operators import requests as Q
 from tessera.operators import resolution as R
 from tessera.operators import rules as U
@@ -23,6 +24,7 @@ from tessera.operators import testmap as T
 from tessera.plans.registry import query
 from tessera.sources import code as P
 from tessera.sources import flows as L
+from tessera.sources import manifests as M
 from tessera.sources.tables import load
 
 
@@ -445,3 +447,20 @@ def tests_by_imports(spark, sf):
     symbols, edges = P.symbols(rows), P.edges(rows)
     callers = R.callers(symbols, edges, R.resolved(symbols, edges))
     return T.assigned(T.evidence(files, R.imported_symbols(symbols, edges), callers)).withColumn("weight", F.col("weight").cast("int"))
+
+
+@query("""
+WITH d AS (SELECT s_nationkey AS n, 'Pkg' || s_suppkey AS name FROM supplier),
+i AS (SELECT DISTINCT c_nationkey AS n, 'pkg' || (c_custkey % 40) || '.sub' || c_custkey AS target FROM customer WHERE c_custkey % 3 = 0),
+r AS (SELECT n, name, EXISTS (SELECT 1 FROM i WHERE i.n = d.n AND contains(target, lower(name))) AS reachable FROM d)
+SELECT 'p' || n AS project, count(*) AS total, count(*) FILTER (reachable) AS reachable, count(*) FILTER (NOT reachable) AS unreachable, round_even(count(*) FILTER (NOT reachable) / count(*) * 100, 0)::INT AS pct FROM r GROUP BY 1
+""")
+def package_reach(spark, sf):
+    """Packages that every nation's requirements name, and how many of them some program of it imports."""
+    s, c = load(spark, sf, "supplier"), load(spark, sf, "customer").where("c_custkey % 3 = 0")
+    wanted = s.groupBy("s_nationkey").agg(F.array_join(F.collect_list(F.concat(F.lit("Pkg"), "s_suppkey", F.lit("==1.0"))), "\n").alias("text"))
+    files = wanted.select(F.concat(F.lit("p"), "s_nationkey").alias("project"), F.lit("requirements.txt").alias("path"), "text")
+    code = c.select(F.concat(F.lit("p"), "c_nationkey").alias("project"), F.concat(F.lit("c"), "c_custkey", F.lit(".py")).alias("path"), F.concat(F.lit("import pkg"), F.col("c_custkey") % 40, F.lit(".sub"), "c_custkey", F.lit("\n")).alias("text"))
+    declared = M.packages(files.select(F.concat_ws("/", "project", "path").alias("path"), "text")).where("kind = 'declared'").select(F.substring_index("path", "/", 1).alias("project"), "name")
+    edges = P.edges(P.scan(code)).where("type = 'imports'").select("project", "target")
+    return J.reach(J.reachable(declared, edges))

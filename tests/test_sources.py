@@ -407,3 +407,11 @@ def test_lines_that_only_speak_of_passwords_and_calls(spark):
     d = spark.createDataFrame([("a.py", "\n".join(said))], "path string, text string")
     got = {(r["line"], r["rule"]) for r in S.line_findings(d).collect()}
     assert {n for n, rule in got if rule == "Password"} == {1, 2} and {n for n, rule in got if rule == "eval()"} == {6}
+
+
+def test_packages_that_nothing_imports(spark):
+    d = spark.createDataFrame([("p", "React"), ("p", "lodash"), ("p", "@s/x"), ("p", "left"), ("q", "react"), ("p", None), ("p", "")], "project string, name string")
+    i = spark.createDataFrame([("p", "react-dom/client"), ("p", "@S\\x"), ("p", None), ("q", "vue"), ("p", "le")], "project string, target string")
+    got = {(r["project"], r["name"]): r["reachable"] for r in J.reachable(d, i).collect()}
+    assert got == {("p", "React"): True, ("p", "lodash"): False, ("p", "@s/x"): True, ("p", "left"): False, ("q", "react"): False}
+    assert sorted(map(tuple, J.reach(J.reachable(d, i)).collect())) == [("p", 4, 2, 2, 50), ("q", 1, 0, 1, 100)]
