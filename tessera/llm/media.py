@@ -179,10 +179,14 @@ def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
     """Media items joined with their payloads' columns by digest; text items and unknown digests keep nulls there.
 
     Of rows of ``media`` that share a digest one is taken, so that no item is
-    repeated. The references of a digest that many rows share are narrow, and
-    the join is one that adaptive execution splits.
+    repeated. Items without a digest, which texts are, stay where they are and
+    meet nothing; the references of a digest that many rows share are narrow,
+    and the join is one that adaptive execution splits.
     """
-    return items.join(media.dropDuplicates(["digest"]), "digest", "left")
+    there = F.col("digest").isNotNull()
+    own = [F.lit(None).cast(f.dataType).alias(f.name) for f in media.schema.fields if f.name != "digest"]
+    found = items.where(there).join(media.dropDuplicates(["digest"]), "digest", "left")
+    return found.unionByName(items.where(~there).select("*", *own))
 
 
 # ---------------------------------------------------------------- whole documents as media
