@@ -2,7 +2,7 @@
 
 import duckdb
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -22,4 +22,6 @@ def agree(spark, query, sql, sf=SF):
     want = rows(columns, [dict(zip(names, r)) for r in res.fetchall()])
     assert sorted(names) == columns
     assert got == want
+    if not got and sf == SF:  # the smallest tables may hold nothing for it
+        return agree(spark, query, sql, LARGER)
     assert got, "a query that finds nothing shows nothing"
