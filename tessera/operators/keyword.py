@@ -179,7 +179,7 @@ STRINGS = [r'"([^"\\]*(?:\\.[^"\\]*)*)"', r"'([^'\\]*(?:\\.[^'\\]*)*)'", r"`([^`
 def text_search(symbols: DataFrame, query: str, what: str = "all", most: int | None = 5) -> DataFrame:
     """(id, project, path, name, type, text) of markers, comments, strings -- or, where there is none, of the text itself -- that hold ``query``, case aside.
 
-    ``what`` is all, todo, comment or string; at most ``most`` matches a symbol, None for all.
+    ``what`` is all, todo, comment, string or content, the text itself whatever else it holds; at most ``most`` matches a symbol, None for all.
     """
     c, q = F.coalesce("content", F.lit("")), query.lower()
     holds = lambda x: F.contains(F.lower(x), F.lit(q))
@@ -197,12 +197,12 @@ def text_search(symbols: DataFrame, query: str, what: str = "all", most: int | N
     if what in ("all", "string"):
         for p in STRINGS:
             add("string", p, 1)
-    hits = F.concat(*found)
-    if what == "all":
+    hits = F.concat(*found) if found else None
+    if what in ("all", "content"):
         at = F.locate(q, F.lower(c))
         around = F.substring(F.trim(F.replace(F.substring(c, F.greatest(at - 30, F.lit(1)), at - F.greatest(at - 30, F.lit(1)) + len(q) + 30), F.lit("\n"), F.lit(" "))), 1, 100)
         general = F.when(at > 0, F.array(F.struct(F.lit("content").alias("type"), around.alias("text")))).otherwise(F.array().cast("array<struct<type:string,text:string>>"))
-        hits = F.when(F.size(hits) > 0, hits).otherwise(general)
+        hits = F.when(F.size(hits) > 0, hits).otherwise(general) if what == "all" else general
     if most is not None:
         hits = F.slice(hits, 1, most)
     return symbols.select("id", "project", "path", "name", F.inline(hits))

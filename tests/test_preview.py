@@ -230,3 +230,16 @@ def test_project_texts_name_the_first_files(spark):
     rows = [("p", f"f{k:02}.py", f"s{k}") for k in range(30)] + [("q", "a.py", None)]
     got = {r["project"]: r for r in P.project_texts(spark.createDataFrame(rows, "project string, path string, summary string"), 3).collect()}
     assert got["p"]["files"] == 30 and [x[:12] for x in got["p"]["text"].split("\n")[3:]] == ["- `f00.py`: ", "- `f01.py`: ", "- `f02.py`: "] and "`a.py`: " in got["q"]["text"]
+
+
+def test_text_search_of_documents_with_comments_and_strings(spark, tmp_path):
+    """What stands in a comment, a marker or a string is in the document too: the query and its twin name the same ones."""
+    from tessera.plans import registry
+    from tests.oracle import agree
+
+    texts = ["# mending the roof", "it's mending the roof's edge", "// TODO: mending the roof", '"Mending the roof"', "/* mending the */ mending the", "mending the roof", "mending a roof", None]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/own")
+    for t in "region nation customer supplier part orders lineitem events embeddings pages benchmark labels conversations".split():
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    (tmp_path / "documents.parquet").symlink_to(next((tmp_path / "own").glob("*.parquet")))
+    agree(spark, registry.QUERIES["text_search"], registry.ORACLES["text_search"], str(tmp_path))
