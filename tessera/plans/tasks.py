@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import written
+from tessera.functions.shared import dealt, written
 from tessera.operators import contracts as K
 from tessera.operators import taskplan as P
 from tessera.plans.registry import query
@@ -151,7 +151,7 @@ def evicted_sessions(spark, sf):
 
 def contract_tables(spark, sf):
     """Every supplier's handler answers with a page of its model, every caller of it expects one; models nest, refer to themselves and take arguments."""
-    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    s = dealt(load(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n")))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     k = F.col("k").cast("string")
     py = text(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import written
+from tessera.functions.shared import dealt, written
 from tessera.operators import project as J
 from tessera.operators import rules as U
 from tessera.operators import security as S
@@ -126,12 +126,12 @@ def license_policy(spark, sf):
 
 def _sources(spark, sf):
     """Every customer a Python file, every supplier a Go file."""
-    c = load(spark, sf, "customer")
+    c = dealt(load(spark, sf, "customer").select("c_custkey", "c_nationkey"))
     body = F.concat(
         F.lit('"""customer"""\nimport nation.n'), "c_nationkey", F.lit("\n\nclass C"), "c_custkey", F.lit("(n"), "c_nationkey", F.lit('.Base):\n    def serve(self, x: int) -> str:\n        """Serves."""\n        return n'),
         "c_nationkey", F.lit(".call(x) + '(skip(1))'  # no(2)\n"),
     )
-    s = load(spark, sf, "supplier")
+    s = dealt(load(spark, sf, "supplier").select("s_suppkey", "s_nationkey"))
     go = F.concat(F.lit('package s\n\nimport "nation/n'), "s_nationkey", F.lit('"\n\ntype S'), "s_suppkey", F.lit(" struct {\n\tBase\n}\n\nfunc (s *S"), "s_suppkey", F.lit(") Serve(x int) string {\n\t// no(1)\n\treturn n"), "s_nationkey", F.lit('.Call(x, "skip(")\n}\n'))
     name = lambda p, k, e: F.concat(F.lit(p), F.col(k), F.lit(e)).alias("path")
     return c.select(F.lit("customer").alias("project"), name("c", "c_custkey", ".py"), body.alias("text")).unionByName(s.select(F.lit("supplier").alias("project"), name("s", "s_suppkey", ".go"), go.alias("text")))
@@ -173,7 +173,7 @@ def taint_flows(spark, sf):
     through = F.concat(F.lit("def h"), "c_custkey", F.lit("(k, v):\n    return pickle.loads(v)\ndef view():\n    q = request.args['q']\n    h"), "c_custkey", F.lit("(1, q)\n"))
     safe = F.lit("def view():\n    q = int(request.args['q'])\n    cursor.execute('a', (q,))\n    eval(q)\n")
     kind = F.col("c_nationkey") % 3
-    files = load(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey", F.lit(".py")).alias("path"), F.when(kind == 0, direct).when(kind == 1, through).otherwise(safe).alias("text"))
+    files = dealt(load(spark, sf, "customer").select("c_custkey", "c_nationkey")).select(F.concat(F.lit("c"), "c_custkey", F.lit(".py")).alias("path"), F.when(kind == 0, direct).when(kind == 1, through).otherwise(safe).alias("text"))
     return S.taint(written(S.flows(files), "flows")).select("path", "function", "origin", "category", "severity", "hops")
 
 
@@ -214,8 +214,8 @@ def _models(spark, sf):
     """Every customer a Python model, every supplier of the same key a TypeScript one."""
     py = F.concat(F.lit("from pydantic import BaseModel\nclass M"), "c_custkey", F.lit("(BaseModel):\n    id: int\n    tags: list[str] = []\n    note: "), F.when(F.col("c_nationkey") % 2 == 0, "Optional[str]").otherwise("str"), F.lit("\n    only: bool\n"))
     ts = F.concat(F.lit("export interface M"), "s_suppkey", F.lit(" {\n  id: "), F.when(F.col("s_nationkey") % 3 == 0, "string").otherwise("number"), F.lit(";\n  tags: Array<string>,\n  note?: string | null;\n  more: Record<string, number>\n}\n"))
-    c = load(spark, sf, "customer").select(F.lit("a").alias("project"), F.lit("m.py").alias("path"), py.alias("text"))
-    return c.unionByName(load(spark, sf, "supplier").select(F.lit("b").alias("project"), F.lit("m.ts").alias("path"), ts.alias("text")))
+    c = dealt(load(spark, sf, "customer").select("c_custkey", "c_nationkey")).select(F.lit("a").alias("project"), F.lit("m.py").alias("path"), py.alias("text"))
+    return c.unionByName(dealt(load(spark, sf, "supplier").select("s_suppkey", "s_nationkey")).select(F.lit("b").alias("project"), F.lit("m.ts").alias("path"), ts.alias("text")))
 
 
 @query("""
@@ -340,11 +340,7 @@ def document_licences(spark, sf):
     return load(spark, sf, "documents").select("doc_id", J.licence_of(F.col("text")).alias("licence")).where("licence is not null")
 
 
-@query("""
-SELECT 'p' || p_partkey || '.py' AS path, 'f' AS name, p_size + 3 AS lines, p_size % 6 AS depth, p_partkey % 9 AS params, p_size % 6 AS branches,
-  5 * greatest(p_size % 6 - 3, 0) + 2 * greatest(p_partkey % 9 - 5, 0) AS score FROM part
-""")
-def function_complexity(spark, sf):
+def _functions(spark, sf):
     """Every part a function of as many lines and levels as its size tells."""
     depth = F.col("p_size") % 6
     nest = F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(F.repeat(F.lit(" "), i), F.lit("if x:")))
@@ -352,5 +348,13 @@ def function_complexity(spark, sf):
     params = F.array_join(F.slice(F.array(*[F.lit(f"a{i}") for i in range(9)]), F.lit(1), (F.col("p_partkey") % 9).cast("int")), ", ")
     calls = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") - depth + 1), lambda i: F.concat(F.repeat(F.lit(" "), depth + 1), F.lit("g()"))), "\n")
     text = F.concat(F.lit("def f("), params, F.lit("):\n"), nest, calls, F.lit("\n"), F.repeat(F.lit(" "), depth + 1), F.lit("return 1\n"))
-    files = load(spark, sf, "part").select(F.lit("p").alias("project"), F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"))
-    return N.scored(N.function_metrics(files)).select("path", "name", "lines", "depth", "params", "branches", "score")
+    return dealt(load(spark, sf, "part").select("p_partkey", "p_size")).select(F.lit("p").alias("project"), F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"))
+
+
+@query("""
+SELECT 'p' || p_partkey || '.py' AS path, 'f' AS name, p_size + 3 AS lines, p_size % 6 AS depth, p_partkey % 9 AS params, p_size % 6 AS branches,
+  5 * greatest(p_size % 6 - 3, 0) + 2 * greatest(p_partkey % 9 - 5, 0) AS score FROM part
+""")
+def function_complexity(spark, sf):
+    """Every part a function of as many lines and levels as its size tells."""
+    return N.scored(N.function_metrics(_functions(spark, sf))).select("path", "name", "lines", "depth", "params", "branches", "score")
