@@ -45,12 +45,12 @@ def steps(facts: DataFrame, resolved: DataFrame) -> DataFrame:
     """
     moves = facts.where("kind = 'move'").select("project", "fn", F.col("a").alias("var"), F.lit("").alias("via"), F.col("fn").alias("to_fn"), F.col("b").alias("to_var"), F.lit("").alias("call"))
     known = resolved.where("found is not null").select("project", F.col("source").alias("fn"), F.col("target").alias("b"), "found").distinct()
-    passes = facts.where("kind = 'pass'").join(known, ["project", "fn", "b"])
+    passes = facts.where("kind = 'pass'").join(known.hint("merge"), ["project", "fn", "b"])
     params = facts.where("kind = 'param'").where(carries(F.col("b"))).select("project", F.col("fn").alias("found"), F.col("a").alias("param"), F.col("pos").alias("at"))
     call = F.concat("fn", "site")
     by = passes.where("a is not null").withColumn("key", F.coalesce("word", F.col("pos").cast("string")))
     names = params.select("project", "found", "param", F.explode(F.array_compact(F.array("param", F.col("at").cast("string")))).alias("key"))
-    into = by.join(names, ["project", "found", "key"]).select("project", "fn", F.col("a").alias("var"), F.lit("").alias("via"), F.col("found").alias("to_fn"), F.col("param").alias("to_var"), call.alias("call"))
+    into = by.join(names.hint("merge"), ["project", "found", "key"]).select("project", "fn", F.col("a").alias("var"), F.lit("").alias("via"), F.col("found").alias("to_fn"), F.col("param").alias("to_var"), call.alias("call"))
     out = passes.select("project", F.col("found").alias("fn"), F.lit(RESULT).alias("var"), F.explode(F.array(call, F.lit(_ANY))).alias("via"), F.col("fn").alias("to_fn"), F.col("site").alias("to_var"), F.lit("").alias("call"))
     return moves.union(into).union(out).distinct()
 
@@ -60,7 +60,9 @@ def flow(moves: DataFrame, starts: DataFrame, string: int = STRING) -> DataFrame
 
     ``moves`` is what ``steps`` gives. ``calls`` are the last calls on the way
     in, ``depth`` the least number of steps. Written round by round, dealt by
-    (project, fn, var, via), in which the steps are written once.
+    (project, fn, var, via), in which the steps are written once. All that is
+    joined is merged: these tables take many times their files' size in
+    memory, by which a join would send them whole to the driver.
     """
     key = ["project", "fn", "var", "via"]
     moves = written(moves.repartition(*key).sortWithinPartitions(*key), "steps")
@@ -72,14 +74,14 @@ def flow(moves: DataFrame, starts: DataFrame, string: int = STRING) -> DataFrame
         depth += 1
         leaves = F.when(F.col("var") == RESULT, F.array(F.when(F.size("calls") > 0, F.element_at(F.concat(F.array(F.lit("")), F.col("calls")), -1)).otherwise(_ANY)))
         at = frontier.drop("depth").withColumn("via", F.explode(F.concat(F.array(F.lit("")), F.coalesce(leaves, F.array().cast("array<string>")))))
-        j = at.join(moves, key)
+        j = at.join(moves.hint("merge"), key)
         entered, left = F.col("call") != "", F.col("via") != ""
         longer = F.concat("calls", F.array("call"))
         cut = F.size(longer) > string
         calls = F.when(entered, F.slice(longer, F.greatest(F.size(longer) - string, F.lit(0)) + 1, F.lit(string))).when(left & (F.size("calls") > 0), F.slice("calls", F.lit(1), F.size("calls") - 1)).otherwise(F.col("calls"))
         now = j.select("project", "start", "start_var", F.col("to_fn").alias("fn"), F.col("to_var").alias("var"), calls.alias("calls"), (F.col("cut") | (entered & cut)).alias("cut")).distinct()
         for seen in done:
-            now = now.join(seen.select(*fact), fact, "left_anti")
+            now = now.join(seen.select(*fact).hint("merge"), fact, "left_anti")
         frontier = written(now.withColumn("depth", F.lit(depth)), "facts")
         if frontier.isEmpty():
             break
@@ -98,7 +100,7 @@ def flow(moves: DataFrame, starts: DataFrame, string: int = STRING) -> DataFrame
 def reached_parameters(facts: DataFrame, found: DataFrame) -> DataFrame:
     """(project, start, start_var, fn, param, depth) of what ``flow`` found: parameters of other functions, with the least steps to them."""
     params = facts.where("kind = 'param'").select("project", "fn", F.col("a").alias("var"))
-    hit = found.where("fn <> start or var <> start_var").join(params, ["project", "fn", "var"])
+    hit = found.where("fn <> start or var <> start_var").join(params.hint("merge"), ["project", "fn", "var"])
     return hit.groupBy("project", "start", "start_var", "fn", F.col("var").alias("param")).agg(F.min("depth").alias("depth"))
 
 

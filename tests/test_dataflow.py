@@ -91,3 +91,11 @@ def four(t): pass
 @pytest.mark.parametrize("text", ["", "def (", "x = 1\n", "def f(): pass\n"])
 def test_nothing_flows(spark, text):
     assert reached(spark, text, "secret") == set()
+
+
+def test_no_table_of_names_or_steps_goes_to_the_driver(spark):
+    files = spark.createDataFrame([("p", "a.py", "def f(x):\n    return g(x)\n\ndef g(y):\n    return y\n")], "project string, path string, text string")
+    rows, facts = code.scan(files), flows.facts(files)
+    resolved = R.resolved(code.symbols(rows), code.edges(rows))
+    joined = [line for line in D.steps(facts, resolved.where("type = 'calls'"))._jdf.queryExecution().sparkPlan().toString().split("\n") if "BroadcastHashJoin" in line]
+    assert not joined
