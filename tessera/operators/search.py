@@ -18,6 +18,16 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return spread(docs.select(key, text)).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def counted(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, dl, posts: array of term and tf): terms are counted inside each row, by runs of its sorted tokens, so nothing is shuffled."""
+    # generators keep the optimizer from copying what they give into every use of it
+    t = spread(docs.select(*keep, text)).select(*keep, F.explode(F.array(F.sort_array(tokens(F.col(text))))).alias("_t"))
+    runs = F.when(F.size("_t") > 0, F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))).otherwise(F.array().cast("array<int>"))
+    t = t.select(*keep, "_t", F.explode(F.array(runs)).alias("_at"))
+    posts = F.transform("_at", lambda b, i: F.struct(F.get("_t", b).alias("term"), (F.coalesce(F.get("_at", i + 1), F.size("_t")) - b).cast("long").alias("tf")))
+    return t.select(*keep, F.size("_t").alias("dl"), posts.alias("posts"))
+
+
 def term_stats(posts: DataFrame, n: int) -> DataFrame:
     """(term, df, idf) with the BM25 idf over ``n`` documents."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))

@@ -87,8 +87,8 @@ ASKED = (
 def stored_topk(spark, sf):
     """The ten best documents for every benchmark passage from stored BM25 blocks, all passages at once."""
     at = _place(spark)
-    docs = load(spark, sf, "documents")
-    B.save_blocks(B.bm25_weights(docs, "doc_id", "text"), "doc_id", at, groups=docs.select("doc_id", F.col("lang").alias("by")))
+    docs = load(spark, sf, "documents").withColumn("by", F.col("lang"))
+    B.save_blocks(B.bm25_weights(docs, "doc_id", "text", "by"), "doc_id", at, groups=docs.select("doc_id", "by"))
     return B.search_blocks(spark, at, _asked(spark, sf), k=10)[0].select(F.col("query_id").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
 
 
@@ -103,7 +103,8 @@ def stored_vectors(spark, sf):
     """The five nearest TF-IDF vectors for every benchmark passage from stored vectors; each of its terms counts once."""
     at = _place(spark)
     docs = load(spark, sf, "documents")
-    B.save_blocks(S.tfidf(S.postings(docs, "doc_id", "text"), "doc_id", docs.count()), "doc_id", at)
+    none = F.lit(None).cast("string").alias("by")
+    B.save_blocks(B.tfidf_weights(docs, "doc_id", "text").withColumn("by", none), "doc_id", at, groups=docs.select("doc_id", none))
     return B.search_blocks(spark, at, _asked(spark, sf).withColumn("q", F.lit(1.0)), k=5)[0].select(F.col("query_id").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
 
 
