@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import written
+
 
 def hotspots(changes: DataFrame, complexity: DataFrame) -> DataFrame:
     """(path, commits, authors, primary_author, complexity, score): commits * (1 + complexity / 10) of changes (commit, author, path)."""
@@ -39,18 +41,21 @@ def rules(changes: DataFrame, min_support: int = 3, min_confidence: float = 0.3)
 
 
 def cochange(changes: DataFrame, path: str, least: int = 2) -> DataFrame:
-    """(path, together, ratio): files of the commits that touch ``path``, seen with it at least ``least`` times."""
-    mine = changes.where(F.col("path") == path).select("commit").distinct()
+    """(path, together, ratio): files of the commits that touch ``path``, seen with it at least ``least`` times.
+
+    Only these commits' changes are made distinct.
+    """
+    mine = written(changes.where(F.col("path") == path).select("commit").distinct(), "commits")
     n = mine.count()
-    other = changes.where(F.col("path") != path).select("commit", "path").distinct().join(mine, "commit", "left_semi")
+    other = changes.where(F.col("path") != path).select("commit", "path").join(mine, "commit", "left_semi").distinct()
     return other.groupBy("path").agg(F.count("*").alias("together")).where(F.col("together") >= least).select("path", "together", F.round(F.col("together") / F.lit(n), 6).alias("ratio"))
 
 
 def suggest(changes: DataFrame, targets: list[str], min_confidence: float = 0.3) -> DataFrame:
     """(path, confidence): the largest P(path | target) over the targets."""
-    t = changes.where(F.col("path").isin(targets)).select("commit", F.col("path").alias("target")).distinct()
+    t = written(changes.where(F.col("path").isin(targets)).select("commit", F.col("path").alias("target")).distinct(), "commits")
     n = t.groupBy("target").agg(F.count("*").alias("n"))
-    o = changes.where(~F.col("path").isin(targets)).select("commit", "path").distinct()
+    o = changes.where(~F.col("path").isin(targets)).select("commit", "path").join(t.select("commit"), "commit", "left_semi").distinct()
     c = o.join(t, "commit").groupBy("target", "path").agg(F.count("*").alias("k")).join(n, "target")
     return c.groupBy("path").agg(F.round(F.max(F.col("k") / F.col("n")), 6).alias("confidence")).where(F.col("confidence") >= min_confidence)
 
