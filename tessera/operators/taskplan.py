@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import written
+from tessera.functions.shared import dealt_by, shares, written
 
 #: Levels in their order, and what a dimension of at least a level asks for and forbids.
 LEVELS = ["low", "medium", "high"]
@@ -46,6 +46,7 @@ GATES = [
     ("expand_changes", "validation_passed", None, "VALIDATION_REQUIRED"),
     ("finalize", "validation_passed", None, "VALIDATION_REQUIRED"),
 ]
+STEPS = "array<struct<place:int,step:string,tool:string,arg:string,required:boolean,needs:array<string>,wave:int>>"
 DIMENSIONS = ["blast_radius", "breaking_risk", "test_risk", "cross_coupling", "complexity", "rollback_difficulty"]
 
 
@@ -67,56 +68,75 @@ def constraints(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("constraints", tidy(said)).withColumn("blocked", tidy(blocked)).withColumn("max_files", files)
 
 
-def steps(tasks: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Steps (task, place, step, tool, arg, required) and needs (task, step, needs) of ``constraints``' tasks.
+def _ranked(tasks: DataFrame, targets: DataFrame) -> DataFrame:
+    """``tasks`` with ``symbols`` and ``paths``: arrays of (k, arg, n), each the first ``ALONE`` + 1 of a task's and how many it has.
+
+    Both orders and the tasks are dealt by task, so that a task's rows meet without another exchange.
+    """
+    key = shares(targets)
+    nth = F.row_number().over(W.partitionBy("task").orderBy("first", "arg")) - 1
+    every = F.count("*").over(W.partitionBy("task"))
+    out = dealt_by(tasks, key, "task")
+    for column, name in (("symbol", "symbols"), ("path", "paths")):
+        named = targets.where(F.col("task").isNotNull() & F.col(column).isNotNull() & (F.col(column) != "")).select("task", "place", F.col(column).alias("arg"))
+        named = dealt_by(named, key, "task")
+        rows = named.groupBy("task", "arg", *([] if column == "path" else ["place"])).agg(F.min("place").alias("first"))
+        rows = rows.select("task", "arg", nth.alias("k"), every.alias("n")).where(F.col("k") <= ALONE)
+        out = out.join(rows.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("k", "arg", "n"))).alias(name)).hint("merge"), "task", "left")
+    return out
+
+
+def placed(tasks: DataFrame, targets: DataFrame) -> DataFrame:
+    """(task, steps: array of place, step, tool, arg, required, needs, wave, in their order) of ``constraints``' tasks.
 
     ``targets`` are (task, place, symbol, path). Symbols and files up to
     ``ALONE`` get steps of their own; the rest of the symbols is one step. Low
-    risk in all but rollback makes cleanups and bug fixes short.
+    risk in all but rollback makes cleanups and bug fixes short. A task has
+    few steps, so they are made, ordered and told their waves inside its row:
+    a wave is one more than the last of the steps that ``needs`` names.
     """
-    t = tasks.select("task", "intent", *DIMENSIONS[:5])
     easy = ~at_least("blast_radius", "medium")
     for d in DIMENSIONS[1:5]:
         easy = easy & ~at_least(d, "medium")
-    t = t.withColumn("short", easy & F.col("intent").isin("cleanup", "bugfix"))
-    nth = F.row_number().over(W.partitionBy("task").orderBy("first", "arg")) - 1
-    every = F.count("*").over(W.partitionBy("task"))
-
-    def listed(column: str) -> DataFrame:
-        named = targets.where(F.col(column).isNotNull() & (F.col(column) != ""))
-        rows = named.groupBy("task", F.col(column).alias("arg"), *([] if column == "path" else ["place"])).agg(F.min("place").alias("first"))
-        return rows.select("task", "arg", nth.alias("k"), every.alias("n")).join(t, "task")
-
-    symbols, paths = written(listed("symbol"), "symbols"), written(listed("path"), "paths")
-    own = lambda base: F.when(F.col("n") == 1, base).otherwise(F.concat(F.lit(f"{base}_"), "k"))
-    no = F.array().cast("array<string>")
-    one = F.lit(True)
-    some = F.col("k") == 0
-    refers = F.col("intent") != "feature"
-    first_ref = F.when(F.col("n") == 1, "scope_callers").otherwise("scope_callers_0")
-    #: rows, when, order in the phase, tool, purpose, required, needs
+    t = tasks.select("task", F.col("intent").isin("cleanup", "bugfix").alias("_small"), (F.col("intent") == "cleanup").alias("_clean"), (F.col("intent") != "feature").alias("_refers"), easy.alias("_easy"), *[at_least(d, "medium").alias(f"_{d}") for d in DIMENSIONS[1:5]], at_least("blast_radius", "medium").alias("_blast_radius"), at_least("complexity", "high").alias("_deep"))
+    t = _ranked(t.withColumn("_short", F.coalesce(F.col("_easy") & F.col("_small"), F.lit(False))), targets)
+    short, refers = F.col("_short"), F.coalesce(F.col("_refers"), F.lit(False))
+    no, one = F.array().cast("array<string>"), F.lit(True)
+    first_ref = lambda x: F.when(x["n"] == 1, "scope_callers").otherwise("scope_callers_0")
+    own = lambda x, base: F.when(x["n"] == 1, base).otherwise(F.concat(F.lit(f"{base}_"), x["k"]))
+    after = F.when(refers, 1).otherwise(0)
+
+    def row(place, step, tool, arg, required, needs, wave):
+        return F.struct(place.cast("int").alias("place"), step.alias("step"), F.lit(tool).alias("tool"), arg.alias("arg"), required.alias("required"), needs.alias("needs"), wave.cast("int").alias("wave"))
+
+    #: rows, when, order in the phase, tool, purpose, required, needs, wave
     made = [
-        (symbols, ~F.col("short") & refers & (F.col("k") < ALONE), 100, "find_references", own("scope_callers"), one, no),
-        (symbols, ~F.col("short") & refers & (F.col("k") == ALONE), 150, "impact_analysis", F.lit("batch_scope_callers"), one, no),
-        (symbols, F.col("short") & some & (F.col("intent") == "cleanup"), 100, "find_references", F.lit("scope_callers"), one, no),
-        (paths, ~F.col("short") & (F.col("k") < ALONE), 200, "find_test_file", own("verify_test_coverage"), at_least("test_risk", "medium"), no),
-        (symbols, ~F.col("short") & some & at_least("cross_coupling", "medium"), 300, "find_references", F.lit("check_cross_project"), one, F.when(refers, F.array(first_ref)).otherwise(no)),
-        (paths, ~F.col("short") & some & at_least("complexity", "medium"), 400, "dependency_graph", F.lit("map_dependencies"), at_least("complexity", "high"), no),
-        (symbols, ~F.col("short") & (F.col("n") <= ALONE), 500, "impact_analysis", own("assess_blast_radius"), at_least("blast_radius", "medium"), F.when(refers, F.array(own("scope_callers"))).otherwise(no)),
-        (symbols, ~F.col("short") & some & (F.col("n") > ALONE), 500, "impact_analysis", F.lit("batch_assess_blast_radius"), at_least("blast_radius", "medium"), F.when(refers, F.array(first_ref)).otherwise(no)),
-        (symbols, ~F.col("short") & some & at_least("breaking_risk", "medium"), 600, "edit_impact_preview", F.lit("preview_change_risk"), one, F.array(F.when(F.col("n") == 1, "assess_blast_radius").when(F.col("n") <= ALONE, "assess_blast_radius_0").otherwise("batch_assess_blast_radius"))),
+        ("symbols", lambda x: ~short & refers & (x["k"] < ALONE), 100, "find_references", lambda x: own(x, "scope_callers"), one, lambda x: no, F.lit(0)),
+        ("symbols", lambda x: ~short & refers & (x["k"] == ALONE), 150, "impact_analysis", lambda x: F.lit("batch_scope_callers"), one, lambda x: no, F.lit(0)),
+        ("symbols", lambda x: short & (x["k"] == 0) & F.col("_clean"), 100, "find_references", lambda x: F.lit("scope_callers"), one, lambda x: no, F.lit(0)),
+        ("paths", lambda x: ~short & (x["k"] < ALONE), 200, "find_test_file", lambda x: own(x, "verify_test_coverage"), F.col("_test_risk"), lambda x: no, F.lit(0)),
+        ("symbols", lambda x: ~short & (x["k"] == 0) & F.col("_cross_coupling"), 300, "find_references", lambda x: F.lit("check_cross_project"), one, lambda x: F.when(refers, F.array(first_ref(x))).otherwise(no), after),
+        ("paths", lambda x: ~short & (x["k"] == 0) & F.col("_complexity"), 400, "dependency_graph", lambda x: F.lit("map_dependencies"), F.col("_deep"), lambda x: no, F.lit(0)),
+        ("symbols", lambda x: ~short & (x["n"] <= ALONE), 500, "impact_analysis", lambda x: own(x, "assess_blast_radius"), F.col("_blast_radius"), lambda x: F.when(refers, F.array(own(x, "scope_callers"))).otherwise(no), after),
+        ("symbols", lambda x: ~short & (x["k"] == 0) & (x["n"] > ALONE), 500, "impact_analysis", lambda x: F.lit("batch_assess_blast_radius"), F.col("_blast_radius"), lambda x: F.when(refers, F.array(first_ref(x))).otherwise(no), after),
+        ("symbols", lambda x: ~short & (x["k"] == 0) & F.col("_breaking_risk"), 600, "edit_impact_preview", lambda x: F.lit("preview_change_risk"), one, lambda x: F.array(F.when(x["n"] == 1, "assess_blast_radius").when(x["n"] <= ALONE, "assess_blast_radius_0").otherwise("batch_assess_blast_radius")), after + 1),
     ]
-    all_ = None
-    for rows, when, place, tool, purpose, required, needs in made:
-        r = rows.where(when).select("task", (F.col("k") + place).alias("place"), purpose.alias("step"), F.lit(tool).alias("tool"), "arg", required.alias("required"), needs.alias("needs"))
-        all_ = r if all_ is None else all_.union(r)
-    all_ = written(all_, "steps")
-    gate = lambda rows, place, step, phase, needs: rows.select("task", F.lit(place).alias("place"), F.lit(step).alias("step"), F.lit("task_gate_check").alias("tool"), F.lit(phase).alias("arg"), F.lit(True).alias("required"), needs.alias("needs"))
-    before = all_.groupBy("task").agg(F.collect_set("step").alias("all"))  # a handful of steps a task
-    long = t.where("not short").join(before, "task", "left")
-    all_ = all_.union(gate(long, 700, "gate_before_plan", "plan_changes", F.coalesce("all", no)))
-    all_ = all_.union(gate(t.withColumn("all", F.when(F.col("short"), no).otherwise(F.array(F.lit("gate_before_plan")))), 800, "gate_before_apply", "apply_changes", F.col("all")))
-    return all_.drop("needs"), all_.select("task", "step", F.explode("needs").alias("needs")).distinct()
+    parts = []
+    for rows, when, place, tool, purpose, required, needs, wave in made:
+        step = lambda x: row(x["k"] + place, purpose(x), tool, x["arg"], required, needs(x), wave)  # noqa: B023, E731
+        parts.append(F.coalesce(F.transform(F.filter(rows, when), step), F.array()).cast(STEPS))
+    # generators keep the optimizer from copying what they give into every use of it
+    t = t.select("task", "_short", F.explode(F.array(F.array_sort(F.concat(*parts)))).alias("_all"))
+    t = t.select("task", "_short", "_all", F.explode(F.array(F.when(F.size("_all") == 0, 0).otherwise(F.array_max(F.transform("_all", lambda s: s["wave"])) + 1))).alias("_next"))
+    plan = F.when(~short, F.array(row(F.lit(700), F.lit("gate_before_plan"), "task_gate_check", F.lit("plan_changes"), one, F.array_distinct(F.transform("_all", lambda s: s["step"])), F.col("_next")))).otherwise(F.array().cast(STEPS))
+    last = row(F.lit(800), F.lit("gate_before_apply"), "task_gate_check", F.lit("apply_changes"), one, F.when(short, no).otherwise(F.array(F.lit("gate_before_plan"))), F.when(short, 0).otherwise(F.col("_next") + 1))
+    return t.select("task", F.concat("_all", plan, F.array(last)).cast(STEPS).alias("steps"))
+
+
+def steps(tasks: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Steps (task, place, step, tool, arg, required) and needs (task, step, needs) of ``placed``."""
+    rows = placed(tasks, targets).select("task", F.explode("steps").alias("s")).select("task", "s.*")
+    return rows.drop("needs", "wave"), rows.select("task", "step", F.explode("needs").alias("needs")).distinct()
 
 
 def waves(nodes: DataFrame, needs: DataFrame, key: tuple[str, ...] = ("task",), node: str = "step") -> DataFrame:
@@ -147,10 +167,8 @@ def waves(nodes: DataFrame, needs: DataFrame, key: tuple[str, ...] = ("task",),
 
 def plans(tasks: DataFrame, targets: DataFrame) -> DataFrame:
     """(task, number, wave, step, tool, arg, required, gate) of every task, numbered in order; steps of one wave need not wait for one another."""
-    rows, needs = steps(constraints(tasks), targets)
-    rows = written(rows, "rows")
-    out = waves(rows, needs).withColumn("number", F.row_number().over(W.partitionBy("task").orderBy("place")))
-    return out.select("task", "number", "wave", F.concat(F.lit("step_"), F.lpad(F.col("number").cast("string"), 2, "0"), F.lit("_"), "step").alias("step"), "tool", "arg", "required", (F.col("tool") == "task_gate_check").alias("gate"))
+    rows = placed(constraints(tasks), targets).select("task", F.posexplode("steps").alias("at", "s")).select("task", (F.col("at") + 1).alias("number"), "s.*")
+    return rows.select("task", "number", "wave", F.concat(F.lit("step_"), F.lpad(F.col("number").cast("string"), 2, "0"), F.lit("_"), "step").alias("step"), "tool", "arg", "required", (F.col("tool") == "task_gate_check").alias("gate"))
 
 
 def gate_check(tasks: DataFrame, states: DataFrame) -> DataFrame:

@@ -59,3 +59,18 @@ def test_constraints_and_gates(spark):
     states = spark.createDataFrame([(2, "plan_changes", None), (2, "plan_changes", ["impact_analysis_done"]), (3, "finalize", []), (3, "inspect", [])], "task long, phase string, done array<string>")
     got = sorted((r["task"], r["phase"], r["passed"], r["reasons"]) for r in P.gate_check(P.constraints(tasks), states).collect())
     assert got == [(2, "plan_changes", False, ["IMPACT_ANALYSIS_REQUIRED"]), (2, "plan_changes", True, []), (3, "finalize", False, ["VALIDATION_REQUIRED"]), (3, "inspect", True, [])]
+
+
+def test_plans_are_made_in_one_pass_and_their_waves_are_those_of_their_needs(spark, monkeypatch):
+    rng = random.Random(2)
+    levels = ["low", "medium", "high", None]
+    tasks = spark.createDataFrame([(k, rng.choice(["cleanup", "bugfix", "feature", "refactor", "migration"]), *([rng.choice(levels) for _ in range(6)] if k % 3 else ["low"] * 6)) for k in range(60)], TASK)
+    targets = spark.createDataFrame([(rng.randrange(65), rng.randrange(9), rng.choice(["s", None, f"s{rng.randrange(20)}"]), rng.choice([f"f{rng.randrange(15)}", ""])) for _ in range(400)], TARGET)
+    rows, needs = P.steps(P.constraints(tasks), targets)
+    want = sorted((r["task"], r["place"], r["wave"], r["step"]) for r in P.waves(rows, needs).collect())
+    for share in (None, 40):  # as it is, and dealt to many partitions
+        with monkeypatch.context() as m:
+            m.setattr(P, "written", lambda *a: 1 / 0)  # no table between
+            m.setattr(P, "shares", lambda df: 0 if share is None else df.count() // share)
+            got = sorted((r["task"], r["number"], r["wave"], r["step"][8:]) for r in P.plans(tasks, targets).collect())
+        assert [(t, w, s) for t, _, w, s in got] == [(t, w, s) for t, _, w, s in want] and max(w for _, _, w, _ in want) == 4
