@@ -3,7 +3,9 @@
 A round opens every type that is not a leaf by one step: alternatives, items
 of a list, values of a record, fields of a declared type with its type
 arguments put in. Types that come back inside themselves are leaves, so the
-rounds end. Names meet declarations in one equi-join a round.
+rounds end. Names meet declarations in one equi-join a round. Joins merge:
+names take many times their files' size in memory, by which a join would send
+them whole to the driver.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def leaves(roots: DataFrame, fields: DataFrame, params: DataFrame) -> DataFrame:
     anything on its way is, or null is one of its alternatives. An
     undeclared name is a leaf, and a type inside itself is ``@`` and its name.
     """
-    fields = written(fields.where("field is not null").join(params, ["project", "model"], "left").select("project", "model", "field", F.col("type").alias("kind"), F.col("optional").alias("opt"), F.coalesce("params", F.array().cast("array<string>")).alias("params")), "fields")
+    fields = written(fields.where("field is not null").join(params.hint("merge"), ["project", "model"], "left").select("project", "model", "field", F.col("type").alias("kind"), F.col("optional").alias("opt"), F.coalesce("params", F.array().cast("array<string>")).alias("params")), "fields")
     declared = fields.select("project", "model").distinct().withColumn("known", F.lit(True))
     live = written(roots.select("project", "root").distinct().select("project", "root", F.lit("").alias("path"), F.col("root").alias("type"), F.lit(False).alias("optional"), F.array().cast("array<string>").alias("seen")), "types")
     done = None
@@ -63,10 +65,10 @@ def leaves(roots: DataFrame, fields: DataFrame, params: DataFrame) -> DataFrame:
         one = one.withColumn("args", F.when(inner != "", outside(inner, ",")).otherwise(F.array().cast("array<string>"))).withColumn("head", F.when(listed | record, "").otherwise(head))
         wrapped = F.regexp_replace(F.regexp_replace(t, r"\[\]$", ""), r"(?s)^\((.*)\)$", "$1")
         open_ = one.where(listed | record).select("project", "root", F.concat("path", F.when(listed, "[]").otherwise("{}")).alias("path"), F.when(listed, wrapped).otherwise(F.get("args", F.lit(1))).alias("type"), "optional", "seen")
-        named = one.where(~(listed | record)).join(declared.withColumnRenamed("model", "head"), ["project", "head"], "left")
+        named = one.where(~(listed | record)).join(declared.withColumnRenamed("model", "head").hint("merge"), ["project", "head"], "left")
         again = F.array_contains("seen", t)
         leaf = named.where(F.col("known").isNull() | again).select("project", "root", "path", F.when(again, F.concat(F.lit("@"), t)).otherwise(t).alias("type"), "optional")
-        into = named.where(F.col("known").isNotNull() & ~again).join(fields.withColumnRenamed("model", "head"), ["project", "head"])
+        into = named.where(F.col("known").isNotNull() & ~again).join(fields.withColumnRenamed("model", "head").hint("merge"), ["project", "head"])
         into = into.select("project", "root", F.concat("path", F.lit("."), "field").alias("path"), substituted(F.col("kind"), F.col("params"), F.col("args")).alias("type"), (F.col("optional") | F.coalesce("opt", F.lit(False))).alias("optional"), F.concat("seen", F.array(t)).alias("seen"))
         leaf = written(leaf, "leaves")
         done = leaf if done is None else done.unionByName(leaf)
@@ -84,20 +86,21 @@ def compared(contracts: DataFrame, given: DataFrame, expected: DataFrame) -> Dat
     at fits if the sets are equal, or the caller's holds the handler's.
     """
     side = lambda rows, own, c: rows.groupBy("project", "root", "path").agg(F.array_sort(F.collect_set("type")).alias(f"{c}_types"), F.max("optional").alias(f"{c}_opt")).withColumnsRenamed(own)
-    g = contracts.select("contract", "project", "root").join(side(given, {}, "g"), ["project", "root"]).select("contract", "path", "g_types", "g_opt")
-    e = contracts.select("contract", "caller_project", "caller_root").join(side(expected, {"project": "caller_project", "root": "caller_root"}, "e"), ["caller_project", "caller_root"]).select("contract", "path", "e_types", "e_opt")
+    g = contracts.select("contract", "project", "root").join(side(given, {}, "g").hint("merge"), ["project", "root"]).select("contract", "path", "g_types", "g_opt")
+    e = contracts.select("contract", "caller_project", "caller_root").join(side(expected, {"project": "caller_project", "root": "caller_root"}, "e").hint("merge"), ["caller_project", "caller_root"]).select("contract", "path", "e_types", "e_opt")
     # a path below something that the other side leaves open is no lack
     loose = lambda rows, c: rows.where(F.array_contains(f"{c}_types", "any") | F.array_contains(f"{c}_types", "object")).select("contract", F.col("path").alias("above"))
-    j = g.join(e, ["contract", "path"], "full_outer")
+    g, e = written(g, "given"), written(e, "expected")
+    j = g.join(e.hint("merge"), ["contract", "path"], "full_outer")
 
     ups = F.filter(F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring(F.col("path"), F.lit(1), i)), lambda u: u != F.col("path"))
     above = lambda rows: rows.select("contract", F.explode(ups).alias("above")).distinct()
 
     def covered(rows: DataFrame, own: DataFrame, other: tuple[DataFrame, str], c: str) -> DataFrame:
         """Without rows below what the other side leaves open, and without open ones that the other side says more of."""
-        hit = rows.select("contract", "path", F.explode(ups).alias("above")).join(loose(other[0], other[1]), ["contract", "above"], "left_semi").select("contract", "path").distinct()
-        more = loose(own, c).join(above(other[0]), ["contract", "above"], "left_semi").withColumnRenamed("above", "path")
-        return rows.join(hit, ["contract", "path"], "left_anti").join(more, ["contract", "path"], "left_anti")
+        hit = rows.select("contract", "path", F.explode(ups).alias("above")).join(loose(other[0], other[1]).hint("merge"), ["contract", "above"], "left_semi").select("contract", "path").distinct()
+        more = loose(own, c).join(above(other[0]).hint("merge"), ["contract", "above"], "left_semi").withColumnRenamed("above", "path")
+        return rows.join(hit.hint("merge"), ["contract", "path"], "left_anti").join(more.hint("merge"), ["contract", "path"], "left_anti")
 
     both = j.where("g_types is not null and e_types is not null")
     fits = F.array_contains("g_types", "any") | F.array_contains("e_types", "any") | (F.size(F.array_except("g_types", "e_types")) == 0)

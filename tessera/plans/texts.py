@@ -225,8 +225,8 @@ FROM b, (VALUES ('only', 'missing_in_consumer', 'info', 0), ('more', 'missing_in
 WHERE w = 0 OR (w = 1 AND s % 3 = 0) OR (w = 2 AND c % 2 = 1)
 """)
 def contract_drift(spark, sf):
-    found = T.models(_models(spark, sf))
-    return T.drift(T.inherited(found.withColumn("bases", F.array().cast("array<string>")), depth=1))
+    found = written(T.models(_models(spark, sf)), "models")
+    return T.drift(written(T.inherited(found.withColumn("bases", F.array().cast("array<string>")), depth=1), "fields"))
 
 
 @query("""

@@ -148,15 +148,15 @@ def models(files: DataFrame, project: str = "project", path: str = "path", text:
 def inherited(found: DataFrame, depth: int = 3) -> DataFrame:
     """(project, model, field, type, optional) with the fields of bases up to ``depth`` levels; the nearest declaration of a field wins.
 
-    Each level is one join on (project, model); ``found`` should be written before.
+    Each level is one join on (project, model), which merges; ``found`` should be written before.
     """
     own = found.select("project", "model", "field", "type", "optional", F.lit(0).alias("level")).where("field is not null")
     up = found.select("project", "model", F.explode("bases").alias("base")).distinct()
     fields, links, out = own.drop("level"), up, own
     for level in range(1, depth + 1):
-        step = links.join(fields.withColumnRenamed("model", "base"), ["project", "base"])
+        step = links.join(fields.withColumnRenamed("model", "base").hint("merge"), ["project", "base"])
         out = out.unionByName(step.select("project", "model", "field", "type", "optional", F.lit(level).alias("level")))
-        links = links.join(up.select("project", F.col("model").alias("base"), F.col("base").alias("next")), ["project", "base"]).select("project", "model", F.col("next").alias("base")).distinct()
+        links = links.join(up.select("project", F.col("model").alias("base"), F.col("base").alias("next")).hint("merge"), ["project", "base"]).select("project", "model", F.col("next").alias("base")).distinct()
     g = out.groupBy("project", "model", "field").agg(F.min_by(F.struct("type", "optional"), F.struct("level", "type")).alias("x"))
     return g.select("project", "model", "field", "x.type", "x.optional")
 
@@ -164,14 +164,16 @@ def inherited(found: DataFrame, depth: int = 3) -> DataFrame:
 def drift(fields: DataFrame) -> DataFrame:
     """(model, project, first_project, field, issue, severity): models of one name in several projects, each against the first project in code point order.
 
-    Rows are fields, so a much used model name spreads over its fields and projects.
+    Rows are fields, so a much used model name spreads over its fields and
+    projects. ``fields`` are read several times: write them before. Joins
+    merge: names take many times their files' size in memory.
     """
     owners = fields.select("model", "project").distinct()
     first = owners.groupBy("model").agg(F.min("project").alias("first_project"), F.count("*").alias("n")).where("n > 1").drop("n")
-    others = owners.join(first, "model").where("project <> first_project")
-    base = fields.join(first, "model").where("project = first_project").select("model", "field", F.col("type").alias("p_type"), F.col("optional").alias("p_opt"))
-    left = others.join(base, "model")
-    right = fields.join(others, ["model", "project"]).select("model", "project", "first_project", "field", F.col("type").alias("c_type"), F.col("optional").alias("c_opt"))
+    others = owners.join(first.hint("merge"), "model").where("project <> first_project")
+    base = fields.join(first.hint("merge"), "model").where("project = first_project").select("model", "field", F.col("type").alias("p_type"), F.col("optional").alias("p_opt"))
+    left = others.join(base.hint("merge"), "model")
+    right = fields.join(others.hint("merge"), ["model", "project"]).select("model", "project", "first_project", "field", F.col("type").alias("c_type"), F.col("optional").alias("c_opt"))
     j = left.join(right, ["model", "project", "first_project", "field"], "full_outer")
     issue = (
         F.when(F.col("c_type").isNull(), "missing_in_consumer").when(F.col("p_type").isNull(), "missing_in_producer")

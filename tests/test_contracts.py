@@ -69,3 +69,18 @@ def test_alternatives(spark):
     d = K.leaves(spark.createDataFrame([("p", "M"), ("q", "M"), ("q", "N"), ("p", "N")], "project string, root string"), f, none)
     c = spark.createDataFrame([("fits", "p", "M", "q", "M"), ("not", "q", "M", "p", "M"), ("opt", "p", "N", "q", "N")], "contract string, project string, root string, caller_project string, caller_root string")
     assert {(r["contract"], r["issue"]) for r in K.compared(c, d, d).collect()} == {("not", "type_mismatch"), ("opt", "optionality_mismatch")}
+
+
+def test_contracts_meet_by_merging_and_models_are_parsed_once(spark, monkeypatch):
+    from tessera.operators import contracts
+    from tessera.plans import tasks, texts
+    from tests.oracle import SF
+
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    written = contracts.written
+    monkeypatch.setattr(contracts, "written", lambda df, label: plan(df) or written(df, label))
+    plan(tasks.api_contracts(spark, SF))
+    assert len(plans) > 8 and not [p for p in plans if "BroadcastHashJoin" in p]
+    plan(texts.contract_drift(spark, SF))
+    assert "MapInArrow" not in plans[-1] and "BroadcastHashJoin" not in plans[-1]
