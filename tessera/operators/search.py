@@ -13,9 +13,15 @@ from tessera.functions.text import tokens
 K1, B, MIN_SIMILARITY, RRF_K, RRF_ALPHA = 1.5, 0.75, 0.01, 60, 0.7
 
 
+#: Terms whose weights are sent to all tasks, the commonest; the others meet theirs in a join.
+COMMON = 50_000
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf)."""
-    return spread(docs.select(key, text)).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf). Terms are counted inside each row; only where rows share a key, which keys alone tell, are they added up."""
+    p = counted(docs, text, key).select(key, F.explode("posts").alias("p")).select(key, "p.term", "p.tf")
+    again = docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    return p if again.isEmpty() else p.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
 def counted(docs: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -60,19 +66,27 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int = 20) ->
 def tfidf(posts: DataFrame, key: str, n: int) -> DataFrame:
     """(key, term, w): (1 + ln tf) * idf, each document's vector of length one.
 
-    Postings are written first. Lengths are sums that map tasks begin, so a
-    filter on terms reaches the postings and leaves the rest out of the join.
+    Postings and weights are written first. The weights of the ``COMMON``
+    commonest terms, which most postings hold, go to all tasks; only postings
+    of the other terms are shuffled. Lengths are sums that map tasks begin, so
+    a filter on terms reaches the postings and leaves the rest out of the join.
     """
     posts = written(posts, "postings")
-    idf = posts.groupBy("term").agg((F.log((n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    raw = posts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    idf = written(posts.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")), "terms")
+    top = written(idf.orderBy(F.desc("df"), "term").limit(COMMON).select("term", "idf"), "common")
+    w = ((1 + F.log("tf")) * F.col("idf")).alias("w")
+    raw = posts.join(F.broadcast(top), "term").select(key, "term", w)
+    if top.count() == COMMON:
+        rest = posts.join(F.broadcast(top.select("term")), "term", "left_anti")
+        raw = raw.union(rest.join(idf.join(F.broadcast(top.select("term")), "term", "left_anti"), "term").select(key, "term", w))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def cosine_topk(vectors: DataFrame, query: DataFrame, key: str, k: int = 20) -> DataFrame:
     """The ``k`` best (key, score) of sparse ``vectors`` against ``query`` (term, q), a few rows."""
-    s = vectors.join(query, "term").groupBy(key).agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("score"))
+    words = [r["term"] for r in query.select("term").distinct().collect()]
+    s = vectors.where(F.col("term").isin(words)).join(F.broadcast(query), "term").groupBy(key).agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("score"))
     return s.where(F.col("score") > MIN_SIMILARITY).orderBy(F.desc("score"), key).limit(k)
 
 
