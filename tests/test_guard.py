@@ -65,3 +65,12 @@ def test_a_stream_that_is_restarted_tells_the_same(spark, tmp_path):
 def test_a_plan_holds_half_an_hour(spark, seconds, verdict):
     d = spark.createDataFrame([plan("t", 1, 0), call("t", 2, seconds, "edit")], G.EVENT)
     assert told(G.guard_verdicts(d))["t", 2][0] == verdict
+
+
+def test_equal_plans_are_read_once(spark):
+    from tessera.streaming import guard
+
+    guard._plan.cache_clear()
+    text = '[{"step":"s1","tool":"refs"},null,{"step":"s2","tool":"edit","arg":"x"}]'
+    assert [guard._plan(text) for _ in range(3)] == [(("s1", "refs", ""), ("s2", "edit", "x"))] * 3 and guard._plan(None) == ()
+    assert guard._plan.cache_info().misses == 2
