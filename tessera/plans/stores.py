@@ -102,10 +102,8 @@ def stored_topk(spark, sf):
 def stored_vectors(spark, sf):
     """The five nearest TF-IDF vectors for every benchmark passage from stored vectors; each of its terms counts once."""
     at = _place(spark)
-    docs = load(spark, sf, "documents")
-    none = F.lit(None).cast("string").alias("by")
-    B.save_blocks(B.tfidf_weights(docs, "doc_id", "text").withColumn("by", none), "doc_id", at, groups=docs.select("doc_id", none))
-    return B.search_blocks(spark, at, _asked(spark, sf).withColumn("q", F.lit(1.0)), k=5)[0].select(F.col("query_id").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+    B.save_tfidf(load(spark, sf, "documents"), "doc_id", "text", at)
+    return B.search_saved(spark, at, _asked(spark, sf).withColumn("q", F.lit(1.0)), k=5)[0].select(F.col("query_id").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
 
 
 @query(f"WITH {PMI} SELECT y AS term, round(sum(pmi), 6) AS score FROM top WHERE x IN ('steel', 'brand', 'small') AND y NOT IN ('steel', 'brand', 'small') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
