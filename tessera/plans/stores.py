@@ -87,9 +87,8 @@ ASKED = (
 def stored_topk(spark, sf):
     """The ten best documents for every benchmark passage from stored BM25 blocks, all passages at once."""
     at = _place(spark)
-    docs = load(spark, sf, "documents").withColumn("by", F.col("lang"))
-    B.save_blocks(B.bm25_weights(docs, "doc_id", "text", "by"), "doc_id", at, groups=docs.select("doc_id", "by"))
-    return B.search_blocks(spark, at, _asked(spark, sf), k=10)[0].select(F.col("query_id").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+    B.save_bm25(load(spark, sf, "documents"), "doc_id", "text", at, "lang")
+    return B.search_saved(spark, at, _asked(spark, sf), k=10)[0].select(F.col("query_id").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
 
 
 @query(
